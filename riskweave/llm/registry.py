@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mpeg_audio, sharding, url_filters
+from . import bpe, mpeg_audio, packing, pii, sharding, url_filters
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_packing": packing.op3_packing,
     "op5_media_columns": mpeg_audio.op5_media_columns,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_pii": pii.op9_pii,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
