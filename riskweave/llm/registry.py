@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mpeg_audio, packing, pii, sharding, url_filters
+from . import bpe, mpeg_audio, packing, pii, sharding, toxicity, url_filters
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_packing": packing.op3_packing,
     "op5_media_columns": mpeg_audio.op5_media_columns,
