@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mpeg_audio, packing, pii, sharding, toxicity, url_filters
+from . import bpe, fingerprints, mpeg_audio, packing, pii, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_packing": packing.op3_packing,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_media_columns": mpeg_audio.op5_media_columns,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_pii": pii.op9_pii,
