@@ -14,10 +14,12 @@ longer than a window spans several; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +27,23 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .base import add_columns, stored, table
+from .bpe import byte_symbols
 
 WINDOW = 1024
 END = 0
-KEPT = 400_000  # chunks that a worker keeps
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 BLOCK = 1024
 
 
+#: Fixed value: the word pattern of byte-level vocabularies.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteEncoder:
-    """The file's tokenizer behind a table of bounded size from space-led chunks to their ids.
+    """The ids of a byte-level tokenizer file.
 
-    Before a space that a non-space follows, the byte-level word pattern always cuts; chunks between such spaces are
-    therefore encoded on their own. Texts that spell out a special token go to the tokenizer whole.
+    A vocabulary whose ids follow its merges is handed to the faster rank-based encoder, which gives the same ids; texts
+    that spell out a special token, and files of another kind, go to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -46,40 +53,25 @@ class ByteEncoder:
         self.rules = Tokenizer.from_file(path)
         self.rules.no_truncation()
         self.rules.no_padding()
-        self.special = [t.content for t in self.rules.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.rules.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" not in parts and not any(p[0].isspace() for p in parts):
-            return parts[:1] + [f" {p}" for p in parts[1:]]
-        out = parts[:1]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(f" {p}")
-            else:
-                out[-1] += f" {p}"
-        return out
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        ordered = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+        self.fast = None
+        if ordered == sorted(ordered) and spec["pre_tokenizer"] == BYTE_LEVEL and not spec["normalizer"] and not spec["model"]["ignore_merges"]:
+            ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
+            self.fast = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         text = text or ""
-        if any(s in text for s in self.special):
-            return self._batch([text])[0]
-        chunks = self.chunks(text)
-        out = list(map(self.kept.get, chunks))
-        if None in out:
-            new = list(dict.fromkeys(c for c, b in zip(chunks, out, strict=True) if b is None))
-            ids = dict(zip(new, self._batch(new), strict=True))
-            out = [ids[c] if b is None else b for c, b in zip(chunks, out, strict=True)]
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept.update((c, b) for c, b in ids.items() if len(c) <= 64)
-        return b"".join(out)
+        if self.fast is None or any(s in text for s in self.special):
+            ids = self.rules.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(4)
