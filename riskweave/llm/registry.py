@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mpeg_audio, packing, pii, sharding, toxicity, url_filters
+from . import bpe, fingerprints, mpeg_audio, near_dups, packing, pii, quality, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_media_columns": mpeg_audio.op5_media_columns,
+    "op6_near_dedup": near_dups.op6_near_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
