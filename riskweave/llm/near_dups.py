@@ -214,7 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs' (doc_id, row, comp, class_id, kept): one row per document; row numbers the documents, kept marks one row of each class."""
+    """docs' (doc_id, key, row, comp, class_id, kept): one row per document; row numbers the documents, kept marks one row of
+    each class. `tables` of the result are what it is read from."""
     rows = signed(docs)
     total = rows.count()
     nodes = rows.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -250,9 +251,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links)
     by_text = nodes.join(comps, "node", "left").select("key", "copies", "node", F.coalesce("comp", "node").alias("comp"))
     by_text = stored(by_text, "classes")
-    placed = join_unique(rows.select("doc_id", "key", "row"), by_text.select("key", "copies", "comp"), "key", "copies", total).drop("key")
+    placed = join_unique(rows.select("doc_id", "key", "row"), by_text.select("key", "copies", "comp"), "key", "copies", total)
     classes = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    return join_unique(placed, stored(classes, "class_ids"), "comp", "copies", total).withColumn("kept", F.col("row") == F.col("comp"))
+    out = join_unique(placed, stored(classes, "class_ids"), "comp", "copies", total).withColumn("kept", F.col("row") == F.col("comp"))
+    out.tables = [rows, nodes, members, bags, links, by_text]
+    return out
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class. Repeated rows (same doc_id and text) meet before the texts are shuffled."""
+    marked = near_duplicates(docs)
+    kept = stored(marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "kept")
+    for t in marked.tables:
+        drop_stored(t)
+    once = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["doc_id", "_text_key"])
+    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").drop("_text_key")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
