@@ -1 +1 @@
-
+"""No operator here: every input of this library is finite."""
