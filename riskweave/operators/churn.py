@@ -20,7 +20,8 @@ def file_author(touches: DataFrame, half_life_days: float = 365.0, recent_days:
     The reference dates, one row per repo, are joined by key; a broadcast is left to the optimizer's size check.
     """
     dated = touches.join(reference_dates(touches if commits is None else commits), "repo", "left")
-    age = F.greatest(_ms("ref_ts") - _ms("author_ts"), F.lit(0))
+    lag = _ms("ref_ts") - _ms("author_ts")
+    age = F.when(lag < 0, F.lit(0)).otherwise(lag)
     seen = F.struct("author_ts", "walk_seq")
     last = F.struct("author_ts", -F.col("walk_seq"))
     known = F.col("author_ts").isNotNull()
