@@ -28,17 +28,33 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: The labelled URL table; host words of unwanted and of wanted sites.
-UNWANTED = "cheap-pills pills-online casino-win online-casino free-bets sports-bets adult-x adult-video ads-track track-ads spam-farm link-farm poker-bonus slots-jackpot payday-loans replica-watches xxx-cams hot-singles viagra-store lottery-winner crypto-doubler click-ads popup-ads seo-spam casino-bonus bet-casino pills-shop adult-chat win-bets spam-links".split()
-WANTED = "city-library river-news open-docs garden-notes math-lectures museum weather school-board history cooking astronomy recipes wiki journal science-daily theatre local-news chess-club translation botany railways gazette thornton nation-review another-page lantern station-house orchard meadow printing".split()
+#: Words of unwanted and of wanted sites; the labelled URL table joins each with four companions, and adds
+#: wanted sites of plain syllables, whose letters say nothing.
+UNWANTED = "pills casino bets adult ads spam poker slots loans replica xxx singles viagra lottery crypto popup seo jackpot cams clickbait".split()
+BAIT = "cheap win free online best x track farm bonus shop club hot instant real".split()
+WANTED = "library news docs garden lectures museum weather school history cooking astronomy recipes wiki journal science theatre chess botany railways gazette review station orchard printing forum archive poetry harbour clinic orchestra".split()
+PLAIN = "city river open local old daily north public green field hill small".split()
+SYLLABLES = "the ing and ion ent ver con ter est ber lan mar tin sol dor que ment len gar ron".split()
 PREFIXES = ("", "www.", "blog.", "m.")
 SUFFIXES = ("com", "net", "org")
 PATHS = ("/en/1234", "/fr/88.html", "/de/5071/", "/es/204?page=2", "/en/77#top")
-LABELLED_URLS = tuple(
-    (f"https://{PREFIXES[i % 4]}{w}.example.{SUFFIXES[i % 3]}{PATHS[i % 5]}", label)
-    for label, words in ((1, UNWANTED), (0, WANTED))
-    for i, w in enumerate(words)
-)
+
+
+def _labelled() -> tuple[tuple[str, int], ...]:
+    out = []
+    for label, words, mates in ((1, UNWANTED, BAIT), (0, WANTED, PLAIN)):
+        for i, w in enumerate(words):
+            for j in range(4):
+                mate = mates[(i + 5 * j) % len(mates)]
+                host = f"{mate}-{w}" if (i + j) % 2 else f"{w}-{mate}"
+                n = 4 * i + j
+                out.append((f"https://{PREFIXES[n % 4]}{host}.example.{SUFFIXES[n // 2 % 3]}{PATHS[n % 5]}", label))
+    names = [a + b + c for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in ("", SYLLABLES[(i * j) % len(SYLLABLES)]) if (3 * i + 7 * j) % 4 == 0]
+    out += [(f"https://{PREFIXES[n % 4]}{name}.example.{SUFFIXES[n // 2 % 3]}{PATHS[n % 5]}", 0) for n, name in enumerate(names)]
+    return tuple(out)
+
+
+LABELLED_URLS = _labelled()
 MAX_TRAIN = 10_000
 DIMS = 1 << 14
 
@@ -80,10 +96,11 @@ def split_url(url: str | None) -> tuple[str, str]:
     return m[1].translate({i: i + 32 for i in range(65, 91)}), m[2]
 
 
-def fit(labelled=LABELLED_URLS, dims: int = DIMS, steps: int = 400, rate: float = 4.0, l2: float = 1e-4, prior: float = 0.1) -> np.ndarray:
+def fit(labelled=LABELLED_URLS, dims: int = DIMS, steps: int = 600, rate: float = 20.0, l2: float = 1e-5, prior: float = 0.2) -> np.ndarray:
     """Weights (dims, then the bias) by full gradient steps. labelled: (url, 0 or 1) pairs, MAX_TRAIN at most.
 
-    The bias stays at the log-odds of `prior`, the share of unwanted pages among all; the table's own share is not it.
+    Both labels weigh the same. The bias stays at the log-odds of `prior`, the share of unwanted pages among all; the
+    table's own share is not it.
     """
     labelled = list(labelled)
     if len(labelled) > MAX_TRAIN:
@@ -93,10 +110,11 @@ def fit(labelled=LABELLED_URLS, dims: int = DIMS, steps: int = 400, rate: float
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     x = np.concatenate([np.full(len(r), 1 / np.sqrt(max(1, len(r)))) for r in rows]) if rows else np.zeros(0)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
     for _ in range(steps):
         z = np.bincount(at, x * w[col], len(y)) + b
-        g = (1 / (1 + np.exp(-z)) - y) / max(1, len(y))
+        g = (1 / (1 + np.exp(-z)) - y) * weight
         w -= rate * (np.bincount(col, x * g[at], dims) + l2 * w)
     return np.append(w, b)
 
