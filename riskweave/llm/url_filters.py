@@ -41,17 +41,15 @@ PATHS = ("/en/1234", "/fr/88.html", "/de/5071/", "/es/204?page=2", "/en/77#top")
 
 
 def _labelled() -> tuple[tuple[str, int], ...]:
-    out = []
+    """Each host with three of the prefixes and paths, so that these say nothing."""
+    hosts = []
     for label, words, mates in ((1, UNWANTED, BAIT), (0, WANTED, PLAIN)):
         for i, w in enumerate(words):
             for j in range(4):
                 mate = mates[(i + 5 * j) % len(mates)]
-                host = f"{mate}-{w}" if (i + j) % 2 else f"{w}-{mate}"
-                n = 4 * i + j
-                out.append((f"https://{PREFIXES[n % 4]}{host}.example.{SUFFIXES[n // 2 % 3]}{PATHS[n % 5]}", label))
-    names = [a + b + c for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in ("", SYLLABLES[(i * j) % len(SYLLABLES)]) if (3 * i + 7 * j) % 4 == 0]
-    out += [(f"https://{PREFIXES[n % 4]}{name}.example.{SUFFIXES[n // 2 % 3]}{PATHS[n % 5]}", 0) for n, name in enumerate(names)]
-    return tuple(out)
+                hosts.append((f"{mate}-{w}" if j % 2 else f"{w}-{mate}", label))
+    hosts += [(a + b + c, 0) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in ("", SYLLABLES[(i * j) % len(SYLLABLES)]) if (3 * i + 7 * j) % 4 == 0]
+    return tuple((f"https://{PREFIXES[(n + k) % 4]}{h}.example.{SUFFIXES[(n // 2 + k) % 3]}{PATHS[(n + 2 * k) % 5]}", y) for n, (h, y) in enumerate(hosts) for k in range(3))
 
 
 LABELLED_URLS = _labelled()
