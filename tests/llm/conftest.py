@@ -8,4 +8,9 @@ WORDS = "river stone garden window letter market number signal bridge winter sum
 @pytest.fixture(scope="session")
 def prose():
     """prose(seed, n): n words that are the same for a seed."""
-    return lambda seed, n: " ".join(random.Random(seed).choice(WORDS) for _ in range(n))
+
+    def text(seed, n):
+        r = random.Random(seed)
+        return " ".join(r.choice(WORDS) for _ in range(n))
+
+    return text
