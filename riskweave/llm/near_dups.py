@@ -37,6 +37,7 @@ BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 LEADER_ROUNDS = 2
 HOT_SHARE = 1000
+GROUP = 30_000  # shingles that are signed together
 U = np.uint64
 
 
@@ -67,17 +68,24 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, U)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and their counts."""
+#: Odd multipliers, one for each word of a shingle.
+FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the SHINGLE-word shingles, ascending, and their counts."""
     words = (text or "").lower().split()
     if not words:
         return np.zeros(0, U), np.zeros(0, np.int64)
     h = word_hashes(words)
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, U(len(h) if len(h) < size else size))
-    for j in range(min(size, len(h))):
-        out = mix(out + h[j : j + n])
-    return np.unique(out, return_counts=True)
+    size = min(SHINGLE, len(h))
+    n = len(h) - size + 1
+    out = h[:n] * FACTORS[0]
+    for j in range(1, size):
+        out += h[j : j + n] * FACTORS[j]
+    out = np.sort(mix(out + U(size)))
+    first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
+    return out[first], np.diff(first, append=n)
 
 
 def occurrences(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -92,63 +100,67 @@ def occurrences(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.sort((x >> U(32)).astype(np.uint32))
 
 
-def bag_minhash(x: np.ndarray, w: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """The 32-bit ids of the m registers' earliest points, for shingles x of integer weights w."""
-    base, width, key, weight = [np.zeros(len(x))], [np.ones(len(x))], [mix(x)], [w]
+def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
+    """Per bag (shingles, integer weights) the 32-bit ids of its m registers' earliest points; empty bags get zeros.
+
+    All bags of a batch advance together, so that the work per shingle is that of whole-array operations.
+    """
+    x, weight = (np.concatenate([b[i] for b in bags]) if bags else np.zeros(0, U) for i in (0, 1))
+    doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    total = np.bincount(doc, weight, len(bags))
+    until = (np.log(m) + 2) / np.maximum(total, 1)
+    parts = [(mix(x), np.zeros(len(x)), np.ones(len(x)), weight, doc)]
     level, lo = 1, 1
-    while len(w) and lo < w.max():  # the interval from lo to 2 lo, for the weights above lo
-        own = w > lo
-        base.append(np.full(own.sum(), float(lo)))
-        width.append(np.full(own.sum(), float(lo)))
-        key.append(mix(x[own] ^ mix(np.full(1, U(level)))))
-        weight.append(w[own])
+    while len(weight) and lo < weight.max():  # the interval from lo to 2 lo, for the weights above lo
+        own = np.flatnonzero(weight > lo)
+        parts.append((mix(x[own] ^ mix(np.full(1, U(level)))), np.full(len(own), float(lo)), np.full(len(own), float(lo)), weight[own], doc[own]))
         level, lo = level + 1, 2 * lo
-    base, width, key, weight = map(np.concatenate, (base, width, key, weight))
-    total = float(w.sum())
-    until = (np.log(m) + 3) / total
-    first, who = np.full(m, np.inf), np.zeros(m, U)
-    at, state = np.zeros(len(key)), key
-    waiting = []
+    state, base, width, weight, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
+    first, who = np.full(len(bags) * m, np.inf), np.zeros(len(bags) * m, U)
+    run, waiting = (np.zeros(len(state)), state, base, width, weight, doc), []
     while True:
-        while len(at):
+        while len(run[0]):
+            at, state, base, width, weight, doc = run
             state = mix(state + U(0x9E3779B97F4A7C15))
             at = at - np.log(((state >> U(11)).astype(float) + 0.5) * 2.0**-53) / (m * width)
-            late = at > until
-            if late.any():
-                waiting.append((at[late], state[late], base[late], width[late], weight[late]))
-                now = ~late
-                at, state, base, width, weight = at[now], state[now], base[now], width[now], weight[now]
-            _points(at, state, base, width, weight, first, who, m)
-        if np.isfinite(first).all():
-            return (who >> U(32)).astype(np.uint32)
-        until *= 2
-        at, state, base, width, weight = map(np.concatenate, zip(*waiting, strict=True))
-        due = at <= until
-        waiting = [(at[~due], state[~due], base[~due], width[~due], weight[~due])]
-        at, state, base, width, weight = at[due], state[due], base[due], width[due], weight[due]
-        _points(at, state, base, width, weight, first, who, m)
-
-
-def _points(at, state, base, width, weight, first, who, m):
+            late = at > until[doc]
+            waiting.append(tuple(c[late] for c in (at, state, base, width, weight, doc)))
+            run = tuple(c[~late] for c in (at, state, base, width, weight, doc))
+            _points(run, first, who, m)
+        empty = ~np.isfinite(first.reshape(len(bags), m)).all(1) & (total > 0)
+        if not empty.any():
+            return (who >> U(32)).astype(np.uint32).reshape(len(bags), m)
+        until[empty] *= 2
+        rest = tuple(np.concatenate(c) for c in zip(*waiting, strict=True))
+        rest = tuple(c[open_] for open_ in [empty[rest[5]]] for c in rest)
+        due = rest[0] <= until[rest[5]]
+        waiting, run = [tuple(c[~due] for c in rest)], tuple(c[due] for c in rest)
+        _points(run, first, who, m)
+
+
+def _points(run, first, who, m):
     """Enters points into the registers they fall on, if their cell lies under the shingle's weight."""
+    at, state, base, width, weight, doc = run
     if not len(at):
         return
     drawn = mix(state ^ U(0xD1B54A32D192ED03))
-    register = ((drawn & U(0xFFFFFFFF)) * U(m) >> U(32)).astype(np.int64)
+    register = ((drawn & U(0xFFFFFFFF)) * U(m) >> U(32)).astype(np.int64) + doc * m
     cell = base + np.floor((drawn >> U(32)).astype(float) * 2.0**-32 * width)
     ok = cell < weight
-    register, at, drawn = register[ok], at[ok], drawn[ok]
+    if not ok.all():
+        register, at, drawn = register[ok], at[ok], drawn[ok]
     np.minimum.at(first, register, at)
     best = at == first[register]
     who[register[best]] = mix(drawn[best] + U(1))
 
 
-def band_keys(registers: np.ndarray, bands: int = BANDS) -> list[int]:
-    r = registers.astype(U).reshape(bands, -1)
-    key = mix(np.arange(1, bands + 1).astype(U))
-    for j in range(r.shape[1]):
-        key = mix(key + r[:, j])
-    return key.view(np.int64).tolist()
+def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """(bags, bands) 64-bit keys of consecutive registers."""
+    r = registers.astype(U).reshape(len(registers), bands, -1)
+    key = np.broadcast_to(mix(np.arange(1, bands + 1).astype(U)), r.shape[:2])
+    for j in range(r.shape[2]):
+        key = mix(key + r[:, :, j])
+    return key.view(np.int64)
 
 
 SIGNED = [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.LongType()), T.StructField("bag", T.BinaryType())]
@@ -158,12 +170,24 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, row, bands, weight, bag) of each document, written once."""
 
     def run(texts):
-        bands, weight, bag = [], [], []
+        bands, weight, bag, group, size = [], [], [], [], 0
+
+        def flush():
+            keys = band_keys(bag_minhash(group)).tolist()
+            bands.extend(k if len(g[0]) else [] for k, g in zip(keys, group, strict=True))
+            group.clear()
+
         for t in texts:
             x, w = shingles(t)
-            bands.append(band_keys(bag_minhash(x, w)) if len(x) else [])
+            group.append((x, w))
             weight.append(int(w.sum()))
             bag.append(occurrences(x, w).tobytes())
+            size += len(x)
+            if size >= GROUP:
+                flush()
+                size = 0
+        if group:
+            flush()
         return bands, weight, bag
 
     small = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
