@@ -9,9 +9,11 @@ Jaccard similarity. Processes run only up to the time by which all registers hav
 REGISTERS = BANDS x ROWS: a pair of similarity 0.8 misses all 25 bands of 4 with a probability of 2e-6.
 
 Links: texts that share a band key are a bucket. Copies of one text are one node. In each bucket the members are
-verified (exact multiset overlap of at least 0.8) against a leader, and links are contracted to components; members that
+verified (exact multiset overlap of at least 0.8) against a leader, the member that shares bands with the most texts
+(in a group of edited copies that is the text they come from), and links are contracted to components; members that
 a bucket's leader doesn't connect are verified against further leaders, and what is still apart then against all members
-of their bucket in other components. Links within a component are not looked for: they can't change it. No bucket is
+of their bucket in other components whose size and 512-bit sketch allow the threshold (both are tested inside the join;
+the sketch misses a pair of similarity 0.8 with a probability of 1e-6). Links within a component are not looked for: they can't change it. No bucket is
 ever gathered in one task, nothing is capped, and pairs are tested once. Hot texts, leaders and classes are joined by
 broadcast if they hold over a thousandth of the rows, else by key with skewed partitions split.
 
@@ -38,6 +40,11 @@ REGISTERS = BANDS * ROWS
 LEADER_ROUNDS = 2
 HOT_SHARE = 1000
 GROUP = 30_000  # shingles that are signed together
+BITS = 512
+LONGS = BITS // 64
+SALTS = np.random.default_rng(6).integers(0, 2**31, BITS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+#: Bits in which two bags of the threshold's similarity differ, and five standard deviations more: 512 x 0.1 + 5 x 6.8.
+UNLIKE = 85
 U = np.uint64
 
 
@@ -194,6 +201,19 @@ def signed(docs: DataFrame) -> DataFrame:
     return stored(add_columns(small, ["text"], SIGNED, run).drop("text").withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
+def bit_sketch(bag: np.ndarray) -> list[int]:
+    """One bit of each of BITS least hashes of a bag's occurrences, in LONGS longs."""
+    least = np.full(BITS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(bag), 4096):
+        h = bag[at : at + 4096, None] * SALTS[None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x846CA68B)
+        np.minimum(least, h.min(0), out=least)
+    least ^= least >> np.uint32(16)
+    least *= np.uint32(0x7FEB352D)
+    return np.packbits((least >> np.uint32(31)).astype(bool)).view(np.int64).tolist()
+
+
 def join_unique(left: DataFrame, right: DataFrame, on: str, copies: str, total: int) -> DataFrame:
     """left joined with its unique partner in right (inner); partners of over a thousandth of left's rows by broadcast."""
     hot = F.col(copies) * HOT_SHARE > total
@@ -249,33 +269,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(nodes, "nodes")
     own = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     banded = own.select(F.col("row").alias("node"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(banded.join(buckets.select("band", "leader"), "band").select("band", "leader", "node"), "members")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(banded.join(sizes, "band"), "shared")
+    popular = shared.groupBy("node").agg(F.sum("n").alias("popular"))
+    shared = shared.join(popular, "node")
+    leaders = shared.groupBy("band").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader"))
+    members = stored(shared.join(leaders, "band").select("band", "leader", "node"), "members")
     bags = rows.select(F.col("row").alias("node"), "weight", "bag").join(members.select("node").distinct(), "node", "left_semi")
-    bags = stored(bags, "bags")
+    bags = stored(add_columns(bags, ["bag"], [T.StructField("bits", T.ArrayType(T.LongType()))], lambda values: [[bit_sketch(np.frombuffer(v, np.uint32)) for v in values]]), "bags")
+    traits = bags.select("node", "weight", *(F.col("bits")[i].alias(f"bits{i}") for i in range(LONGS)))
 
-    pairs = stored(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = stored(members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
     links, tested = stored(verified(pairs, bags), "links"), pairs
+    comps = components(links)
     for turn in range(LEADER_ROUNDS + 1):
-        comps = components(links)
-        comp = F.coalesce("comp", "node")
-        marked = members.join(comps, "node", "left").select("band", "leader", "node", comp.alias("comp"))
+        marked = members.join(comps, "node", "left").select("band", "leader", "node", F.coalesce("comp", "node").alias("comp"))
         lead = comps.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
         marked = marked.join(lead, "leader", "left").withColumn("apart", F.col("comp") != F.coalesce("lead_comp", "leader"))
-        marked = stored(marked.select("band", "node", "comp", "apart"), "marked")
-        apart = marked.where("apart").select("band", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+        marked = stored(marked.select("band", "node", "comp", "apart").join(traits, "node"), "marked")
+        apart = marked.where("apart")
         if turn < LEADER_ROUNDS:
-            apart = apart.groupBy("band").agg(F.min_by(F.struct("a", "comp_a"), F.xxhash64("a", F.lit(turn))).alias("s")).select("band", "s.a", "s.comp_a")
-        new = marked.join(apart, "band").where("comp <> comp_a AND node <> a")
+            first = apart.groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+            apart = apart.join(first, ["band", "node"])
+        apart = apart.select("band", *(F.col(c).alias("a" if c == "node" else f"{c}_a") for c in ("node", "comp", *traits.columns[1:])))
+        unlike = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"bits{i}_a"))) for i in range(LONGS)), F.lit(0))
+        alike = (F.least("weight", "weight_a") >= F.greatest("weight", "weight_a") * THRESHOLD - 1e-9) & (unlike <= UNLIKE)
+        new = marked.join(apart, "band").where((F.col("comp") != F.col("comp_a")) & (F.col("node") != F.col("a")) & alike)
         new = new.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
-        drop = marked
-        found = verified(new, bags)
-        links, tested = stored(links.unionByName(found), "links"), tested.unionByName(new)
-        drop_stored(drop)
+        drop_stored(marked)
         if new.isEmpty():
-            break
-    comps = components(links)
+            continue
+        found, tested = stored(verified(new, bags), "links"), tested.unionByName(new)
+        if not found.isEmpty():
+            links = stored(links.unionByName(found), "links")
+            comps = components(links)
     by_text = nodes.join(comps, "node", "left").select("key", "copies", "node", F.coalesce("comp", "node").alias("comp"))
     by_text = stored(by_text, "classes")
     placed = join_unique(rows.select("doc_id", "key", "row"), by_text.select("key", "copies", "comp"), "key", "copies", total)
