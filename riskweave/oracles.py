@@ -61,9 +61,19 @@ CTES: dict[str, str] = {
     "set_": "SELECT change_id, repo, lower(path) AS lower_path, arg_min(path, (pos, path)) AS path, min(pos) AS pos FROM changes GROUP BY ALL",
 }
 _ORDER = list(CTES)
+_PART = lambda n: f"concat('src/part_', {n} % 20, '/file_', {n}, '.ts')"
 
+#: The table expressions of the views that keep all rows (testdata.Whole).
+WHOLE: dict[str, str] = CTES | {
+    "touches": f"""SELECT m.repo, m.walk_seq, l_linenumber AS row_no, m.sha, m.author, m.author_date, m.author_ts, m.subject, {BUGFIX} AS is_bugfix,
+        CASE WHEN l_linenumber = 1 THEN {_PART('l_partkey')} ELSE concat(CASE p_type WHEN 'PROMO' THEN 'dist/' WHEN 'LARGE' THEN 'lib/core/' ELSE concat('src/', lower(p_type), '/') END, replace(lower(p_brand), '#', '_'), '.ts') END AS path,
+        CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS deleted FROM lineitem JOIN commits m ON l_orderkey = m.sha JOIN part ON l_partkey = p_partkey""",
+    "files": f"""SELECT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][doc_id % 5 + 1] AS repo, {_PART('doc_id')} AS path,
+        array_to_string(list_transform(string_split(text, chr(10)), lambda l: repeat('    ', length(l) % 7) || l), chr(10)) AS content FROM documents""",
+}
 
-def sql(select: str) -> str:
+
+def sql(select: str, ctes: dict[str, str] = CTES) -> str:
     """select with the table expressions that it needs."""
     need: set[str] = set()
     todo = [select]
@@ -72,8 +82,8 @@ def sql(select: str) -> str:
         for name in _ORDER:
             if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 need.add(name)
-                todo.append(CTES[name])
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in _ORDER if n in need) + " " + select if need else select
+                todo.append(ctes[name])
+    return "WITH " + ", ".join(f"{n} AS ({ctes[n]})" for n in _ORDER if n in need) + " " + select if need else select
 
 
 _PCT = lambda x: f"CAST(CAST(round({x} * 100) AS INT) AS VARCHAR) || '%'"
@@ -84,7 +94,7 @@ _RULE = "| - | ---- | ----: | ---- | ----- | ------: | ----: | ------: | -------
 _ROUNDED = lambda *c: ", ".join(f"round({x}, {R}) AS {x}" for x in c)
 _CHURN = f"repo, path, commits, bugfix_commits, lines_added, lines_deleted, n_authors, recent_commits, first_seen, last_seen, minor_contributors, {_ROUNDED('recency_weight', 'top_share', 'fragmentation', 'bugfix_density')}"
 
-ORACLES: dict[str, str] = {k: sql(v) for k, v in {
+SELECTS: dict[str, str] = {
     "s1_log_dump": "SELECT repo, walk_seq, author, subject, is_bugfix, path, added, deleted, count(*) AS n FROM touches GROUP BY ALL",
     "s2_walk_order": "SELECT repo, sha, walk_seq FROM commits",
     "s3_text_contents": "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 20000 AND doc_id % 7 <> 0",
@@ -131,4 +141,11 @@ ORACLES: dict[str, str] = {k: sql(v) for k, v in {
     "c10_activity": f"SELECT repo, path, concat_ws(' · ', 'Changed ' || freq || '× by ' || authors || CASE WHEN authors = 1 THEN ' author' ELSE ' authors' END, CASE WHEN ownership >= 0.6::DOUBLE THEN 'fragmented ownership' WHEN ownership >= 0.3::DOUBLE THEN 'shared ownership' END, CASE WHEN coupling >= 0.6::DOUBLE THEN 'strongly coupled to other files' WHEN coupling >= 0.3::DOUBLE THEN 'coupled to other files' END, CASE WHEN churn > 0 THEN churn || ' lines churned' END) AS activity, 'commits ' || freq || ' · churn ' || churn || ' · authors ' || authors || ' · ownership ' || {_PCT('ownership')} || ' fragmented · coupling ' || {_PCT('coupling')} || ' · complexity ' || complexity AS signals, CASE tier WHEN 'critical' THEN '!!' WHEN 'high' THEN '!' WHEN 'medium' THEN '·' ELSE '' END AS badge, CASE trend WHEN 'rising' THEN '↑' WHEN 'stable' THEN '→' ELSE '↓' END AS arrow FROM risk",
     "c13_region_texts": "SELECT repo, path, start_line, '⚠ Risk: ' || severity || ' · depth ' || max_depth || ' · ' || line_count || ' lines' AS label, '🔥 **Risky code (' || severity || ')** — ' || concat_ws(', ', CASE WHEN max_depth >= 5 THEN 'deeply nested' ELSE 'nested' END || ' (depth ' || max_depth || ')', CASE WHEN line_count >= 20 THEN 'long block (' || line_count || ' lines)' END) || '.' || chr(10) || chr(10) || '_Change this region carefully._' AS hover FROM regions",
     "c15_partner_labels": f"SELECT repo, path, partner_rank, {_PCT('strength')} || ' · ' || partner AS label, 'co-changed ' || shared_commits || '×' AS detail FROM partners",
-}.items()}
+}
+ORACLES: dict[str, str] = {k: sql(v) for k, v in SELECTS.items()}
+
+#: Queries that run over the whole views as well, under their name and _whole.
+ON_WHOLE = (
+    "w3_regions", "w3_regions_by_window", "a14_complexity", "p9_min_severity", "a16_by_severity", "c13_region_texts", "w2_ranking", "a13_normalised", "a15_folder_tree", "a17_confidence", "l1_top_files", "l3_order", "c10_activity",
+)
+ORACLES |= {f"{k}_whole": sql(SELECTS[k], WHOLE) for k in ON_WHOLE}

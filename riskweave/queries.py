@@ -15,6 +15,7 @@ from .functions import commits as fm
 from .functions import paths as fp
 from .functions import text as ft
 from .operators import churn, code, coupling, explain, history, review, risk, tree
+from .oracles import ON_WHOLE
 from .params import SIGNALS, Params
 from .plans import scan
 from .sources import report, snapshot, tables
@@ -341,3 +342,10 @@ def c13_region_texts(spark, sf):
 @query
 def c15_partner_labels(spark, sf):
     return partners_of(spark, sf).select("repo", "path", "partner_rank", ft.partner_label(F.col("strength"), F.col("partner")).alias("label"), F.concat(F.lit("co-changed "), F.col("shared_commits").cast("string"), F.lit("×")).alias("detail"))
+
+
+def on_whole(f):
+    return lambda spark, sf: f(spark, td.Whole(sf))
+
+
+QUERIES |= {f"{k}_whole": on_whole(QUERIES[k]) for k in ON_WHOLE}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MEGA = 8  # files per commit, low enough for the size limit to matter here
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+class Whole(str):
+    """A table folder whose views keep all rows: every document is a file, and the number of paths grows with the parts."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +28,22 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("add dark mode toggle")
     )
     j = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("repo")), "o_custkey")
-    w = W.partitionBy("repo").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    # a repo's days are counted and summed up first, so that only the commits of one day are sorted in one task
+    days = j.groupBy("repo", "o_orderdate").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"repo": "_repo", "o_orderdate": "_day"})
+    newer = W.partitionBy("_repo").orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("_repo", "_day", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer"))
+    j = j.join(days, (F.col("repo") == F.col("_repo")) & F.col("o_orderdate").eqNullSafe(F.col("_day")))
+    w = W.partitionBy("repo", "o_orderdate").orderBy(F.desc("o_orderkey"))
     return j.select(
-        "repo", F.row_number().over(w).cast("long").alias("walk_seq"), F.col("o_orderkey").alias("sha"), F.concat(F.lit("dev_"), (F.col("o_custkey") % 12).cast("string")).alias("author"),
+        "repo", (F.col("_newer") + F.row_number().over(w)).cast("long").alias("walk_seq"), F.col("o_orderkey").alias("sha"), F.concat(F.lit("dev_"), (F.col("o_custkey") % 12).cast("string")).alias("author"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"), F.col("o_orderdate").cast("timestamp").alias("author_ts"), subject.alias("subject"), (F.col("o_orderkey") % 10 == 0).alias("is_merge"),
     )
 
 
+def part_path(n: Column) -> Column:
+    return F.format_string("src/part_%d/file_%d.ts", n % 20, n)
+
+
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.commits import is_bugfix
 
@@ -37,16 +51,21 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
     folder = F.when(F.col("p_type") == "PROMO", "dist/").when(F.col("p_type") == "LARGE", "lib/core/").otherwise(F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/")))
     path = F.concat(folder, F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit(".ts"))
+    if isinstance(sf_dir, Whole):
+        path = F.when(F.col("l_linenumber") == 1, part_path(F.col("l_partkey"))).otherwise(path)
     m = commits(spark, sf_dir).drop("is_merge").withColumn("is_bugfix", is_bugfix(F.col("subject")))
     j = lines.join(m, lines["l_orderkey"] == m["sha"])
     return j.select("repo", "walk_seq", F.col("l_linenumber").alias("row_no"), "sha", "author", "author_date", "author_ts", "subject", "is_bugfix", path.alias("path"), F.col("l_quantity").cast("bigint").alias("added"), F.col("l_linenumber").cast("bigint").alias("deleted"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document n, indented by its lines' lengths, is the content of the n-th (repo, path)."""
+    """Document n, indented by its lines' lengths, is the content of the n-th (repo, path); of part n's file in the whole view."""
+    content = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.repeat(F.lit("    "), F.length(x) % 7), x)), "\n")
+    if isinstance(sf_dir, Whole):
+        repo = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("doc_id") % 5 + 1).cast("int"))
+        return table(spark, sf_dir, "documents").select(repo.alias("repo"), part_path(F.col("doc_id")).alias("path"), content.alias("content"))
     keys = touches(spark, sf_dir).select("repo", "path").distinct()
     keys = keys.withColumn("doc_id", F.row_number().over(W.orderBy("repo", "path")).cast("long") - 1)
-    content = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.repeat(F.lit("    "), F.length(x) % 7), x)), "\n")
     return table(spark, sf_dir, "documents").join(keys, "doc_id").select("repo", "path", content.alias("content"))
 
 
