@@ -42,8 +42,13 @@ def churn_of(spark, sf):
     return scan.churn_of(td.touches(spark, sf), P, td.commits(spark, sf))
 
 
+def params(sf) -> Params:
+    """The whole views go with the default limit of files per commit."""
+    return Params() if isinstance(sf, td.Whole) else P
+
+
 def links_of(spark, sf):
-    return scan.links_of(td.touches(spark, sf), churn_of(spark, sf), P)
+    return scan.links_of(td.touches(spark, sf), churn_of(spark, sf), params(sf))
 
 
 def partners_of(spark, sf):
@@ -96,6 +101,13 @@ def s3_text_contents(spark, sf):
     return tables.text_contents(d, 20_000).select("doc_id", F.char_length("content").alias("n"))
 
 
+@query
+def s3_text_contents_whole(spark, sf):
+    """The unchanged table under the operator's own limits."""
+    d = td.table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("length"), F.encode("text", "UTF-8").alias("content"))
+    return tables.text_contents(d).select("doc_id", F.char_length("content").alias("n"))
+
+
 @query
 def s4_changed_paths(spark, sf):
     c = td.changes(spark, sf).select("change_id", "repo", F.explode(F.array(F.concat(F.lit("  ./"), "path"), F.replace("path", F.lit("/"), F.lit("\\")), F.lit(" "))).alias("value"))
@@ -163,7 +175,7 @@ def p6_exclusion(spark, sf):
 @query
 def p7_pair_exclusion(spark, sf):
     """The limit counts excluded files, too; then pairs with an excluded end go."""
-    pairs = coupling.co_change(td.touches(spark, sf), td.MEGA)
+    pairs = coupling.co_change(td.touches(spark, sf), params(sf).max_files_per_commit)
     return pairs.where(~fp.is_excluded(F.col("path_a"), P.exclude) & ~fp.is_excluded(F.col("path_b"), P.exclude))
 
 
@@ -203,7 +215,7 @@ def a5_reference_date(spark, sf):
 
 @query
 def a10_co_change(spark, sf):
-    return coupling.co_change(td.touches(spark, sf), td.MEGA, P.exclude)
+    return coupling.co_change(td.touches(spark, sf), params(sf).max_files_per_commit, P.exclude)
 
 
 @query
@@ -315,7 +327,7 @@ def u2_working_set(spark, sf):
 
 @query
 def u3_commit_paths(spark, sf):
-    return coupling.commit_paths(td.touches(spark, sf), td.MEGA)
+    return coupling.commit_paths(td.touches(spark, sf), params(sf).max_files_per_commit)
 
 
 @query

@@ -5,7 +5,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from riskweave import testdata as td  # noqa: E402
+from riskweave.operators import coupling  # noqa: E402
 from riskweave.queries import QUERIES  # noqa: E402
+from riskweave.sources.tables import text_contents  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,3 +29,26 @@ def test_commits_are_not_sorted_in_one_task_a_repo(spark):
 def test_walk_is_whole(spark):
     for r in td.commits(spark, SF).groupBy("repo").agg({"walk_seq": "max", "*": "count"}).collect():
         assert r["max(walk_seq)"] == r["count(1)"]
+
+
+def test_no_text_is_dropped(spark):
+    """Neither long texts nor every seventh id."""
+    assert QUERIES["s3_text_contents_whole"](spark, SF).count() == td.table(spark, SF, "documents").count()
+
+
+def test_text_rules(spark):
+    rows = [(1, 1_500_000, b"abc"), (2, 1_500_001, b"abc"), (3, 20_001, b"x" * 20_001), (4, 9, b"abc\0defgh"), (5, 8_001, b"x" * 8_000 + b"\0")]
+    df = spark.createDataFrame(rows, "id int, length long, content binary")
+    assert sorted(r["id"] for r in text_contents(df).collect()) == [1, 3, 5]
+
+
+def test_commit_limit(spark):
+    sizes = {1: 1, 2: 8, 3: 9, 4: 50, 5: 51}
+    t = spark.createDataFrame([("r", c, f"f{i}.ts") for c, n in sizes.items() for i in range(n)], "repo string, walk_seq long, path string")
+    kept = {r["walk_seq"]: r["count"] for r in coupling.commit_paths(t).groupBy("walk_seq").count().collect()}
+    assert kept == {2: 8, 3: 9, 4: 50}
+
+
+def test_commits_over_eight_files_count(spark):
+    sizes = QUERIES["u3_commit_paths_whole"](spark, SF).groupBy("repo", "walk_seq").count()
+    assert sizes.where("count > 8").count() > 0
