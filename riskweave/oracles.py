@@ -152,3 +152,4 @@ ON_WHOLE = (
 )
 ORACLES |= {f"{k}_whole": sql(SELECTS[k], WHOLE) for k in ON_WHOLE}
 ORACLES["s3_text_contents_whole"] = "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 1500000 AND NOT contains(text, chr(0))"
+ORACLES["j7_position_whole"] = sql(f"SELECT l.repo, l.path, l.line, start_line, end_line, score, severity FROM lines l JOIN regions r ON l.repo = r.repo AND l.path = r.path AND l.line BETWEEN start_line AND end_line WHERE {_RANK('severity')} >= 1", WHOLE)

@@ -318,6 +318,14 @@ def j7_position(spark, sf):
     return code.at_position(at, regions_of(spark, sf)).drop("reasons")
 
 
+@query
+def j7_position_whole(spark, sf):
+    """Every line of every file is looked up."""
+    sf = td.Whole(sf)
+    at = td.files(spark, sf).select("repo", "path", F.explode(F.sequence(F.lit(0), F.size(F.split("content", "\n")) - 1)).alias("line"))
+    return code.at_position(at, regions_of(spark, sf)).drop("reasons")
+
+
 @query
 def u2_working_set(spark, sf):
     c = td.changes(spark, sf)

@@ -52,3 +52,11 @@ def test_commit_limit(spark):
 def test_commits_over_eight_files_count(spark):
     sizes = QUERIES["u3_commit_paths_whole"](spark, SF).groupBy("repo", "walk_seq").count()
     assert sizes.where("count > 8").count() > 0
+
+
+def test_every_line_of_a_region_is_looked_up(spark):
+    """Each line of each region from medium on, also of regions between two multiples of 5."""
+    regions = QUERIES["w3_regions_whole"](spark, SF).where("severity <> 'low'")
+    assert QUERIES["j7_position_whole"](spark, SF).count() == regions.groupBy().sum("line_count").first()[0]
+    found = QUERIES["j7_position_whole"](spark, SF).select("repo", "path", "start_line").distinct()
+    assert regions.select("repo", "path", "start_line").subtract(found).isEmpty()
