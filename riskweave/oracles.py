@@ -70,6 +70,7 @@ WHOLE: dict[str, str] = CTES | {
         CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS deleted FROM lineitem JOIN commits m ON l_orderkey = m.sha JOIN part ON l_partkey = p_partkey""",
     "files": f"""SELECT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][doc_id % 5 + 1] AS repo, {_PART('doc_id')} AS path,
         array_to_string(list_transform(string_split(text, chr(10)), lambda l: repeat('    ', length(l) % 7) || l), chr(10)) AS content FROM documents""",
+    "changes": "SELECT change_id, repo, path, length(path) AS pos FROM (SELECT DISTINCT CAST(sha AS VARCHAR) AS change_id, repo, path FROM touches UNION ALL SELECT DISTINCT CAST(sha AS VARCHAR), repo, 'src/new/file.ts' FROM touches) t",
     "commit_paths": "SELECT * FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) d JOIN (SELECT repo, walk_seq FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) x GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50) s USING (repo, walk_seq)",
 }
 
@@ -149,6 +150,7 @@ ORACLES: dict[str, str] = {k: sql(v) for k, v in SELECTS.items()}
 ON_WHOLE = (
     "w3_regions", "w3_regions_by_window", "a14_complexity", "p9_min_severity", "a16_by_severity", "c13_region_texts", "w2_ranking", "a13_normalised", "a15_folder_tree", "a17_confidence", "l1_top_files", "l3_order", "c10_activity",
     "a10_co_change", "a11_links", "a12_coupling_signal", "p7_pair_exclusion", "u3_commit_paths", "w1_partners", "c7_explanation", "c15_partner_labels", "s6_json_report", "s7_markdown_report",
+    "s4_changed_paths", "u2_working_set", "j4_changed_with_score", "j5_changed_without_history", "j6_hints", "p10_lookup",
 )
 ORACLES |= {f"{k}_whole": sql(SELECTS[k], WHOLE) for k in ON_WHOLE}
 ORACLES["s3_text_contents_whole"] = "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 1500000 AND NOT contains(text, chr(0))"

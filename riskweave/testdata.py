@@ -70,8 +70,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of each repo's 20 newest commits, and one that has no history."""
+    """Files of each repo's 20 newest commits, and one that has no history; in the whole view each commit is a change set."""
     t = touches(spark, sf_dir)
+    if isinstance(sf_dir, Whole):
+        own = t.select(F.col("sha").cast("string").alias("change_id"), "repo", F.explode(F.array("path", F.lit("src/new/file.ts"))).alias("path")).distinct()
+        return own.withColumn("pos", F.length("path"))
     known = t.where("walk_seq <= 20").select("repo", "path").distinct()
     new = t.where("walk_seq = 1").select("repo", F.lit("src/new/file.ts").alias("path")).distinct()
     return known.unionByName(new).select(F.col("repo").alias("change_id"), "repo", "path", F.length("path").alias("pos"))

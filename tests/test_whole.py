@@ -60,3 +60,12 @@ def test_every_line_of_a_region_is_looked_up(spark):
     assert QUERIES["j7_position_whole"](spark, SF).count() == regions.groupBy().sum("line_count").first()[0]
     found = QUERIES["j7_position_whole"](spark, SF).select("repo", "path", "start_line").distinct()
     assert regions.select("repo", "path", "start_line").subtract(found).isEmpty()
+
+
+def test_every_commit_is_a_change_set(spark):
+    """Not only the 20 newest of each repo."""
+    touched = td.touches(spark, SF).select("sha").distinct().count()
+    assert touched > 100
+    got = QUERIES["u2_working_set_whole"](spark, SF)
+    assert got.select("change_id").distinct().count() == touched
+    assert QUERIES["j5_changed_without_history_whole"](spark, SF).where("path = 'src/new/file.ts'").count() == touched
