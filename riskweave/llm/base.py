@@ -56,13 +56,12 @@ def stored(df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFr
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table made by stored() once nothing reads it any more."""
-    path = getattr(df, "stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes tables made by stored() once nothing reads them any more."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f: Callable[..., Iterable[list]]) -> DataFrame:

@@ -11,15 +11,27 @@ REGISTERS = BANDS x ROWS: a pair of similarity 0.8 misses all 25 bands of 4 with
 Links: texts that share a band key are a bucket. Copies of one text are one node. In each bucket the members are
 verified (exact multiset overlap of at least 0.8) against a leader, the member that shares bands with the most texts
 (in a group of edited copies that is the text they come from), and links are contracted to components; members that
-a bucket's leader doesn't connect are verified against further leaders, and what is still apart then against all members
-of their bucket in other components whose size and 512-bit sketch allow the threshold (both are tested inside the join;
-the sketch misses a pair of similarity 0.8 with a probability of 1e-6). Links within a component are not looked for: they can't change it. No bucket is
-ever gathered in one task, nothing is capped, and pairs are tested once. Hot texts, leaders and classes are joined by
-broadcast if they hold over a thousandth of the rows, else by key with skewed partitions split.
+a bucket's leader doesn't connect are verified against further leaders, LEADER_ROUNDS times.
+
+What is then still apart in some bucket goes through an exact prefix filter instead of all pairs of the bucket. The
+occurrences of these texts are ordered by how many of the texts hold them, rarest first. Two bags of w and z
+occurrences that overlap by 0.8 have 4/9 (w + z) in common at least, so they share one of the first
+w - 4/9 (w + z) + 1. A text enters its prefix once for each class of partner sizes (STEPS classes to a factor of 0.8),
+as long as that class needs; occurrences that no other text holds count in the prefix but make no row. So a passage that
+very many texts share, however close to 0.8 it brings them, is joined on only by texts that own less than the prefix
+beside it. Rows of a prefix entry's most frequent component meet the others there, not each other; entries meet only if
+sizes and positions leave 4/9 (w + z) possible, and each pair is verified once. This stage loses no link among the texts
+that enter it, also between texts that share no band.
+
+A pair of similarity exactly 0.8 that shares no bucket (2e-6) is found only if both texts enter the last stage. Links
+within a component are not looked for: they can't change it. No bucket is ever gathered in one task, nothing is capped.
+Hot texts, bands, leaders, hubs and classes are joined by broadcast if they hold over a thousandth of the rows (so that
+there are at most a thousand, or a thousand a band), else by key with skewed partitions split.
 
 Defined cases: equal texts, also empty or null ones (null as empty), are one class; a text of white space has no shingles
 and is alone but for its copies; repeated rows share a class; class_id is the least doc_id of the class (null if all are
-null); an empty table gives no rows; columns of the input named like an output are replaced.
+null); an empty table gives no rows; very long texts are signed whole; of other columns, near_duplicates() looks at none and
+keep_one() keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,11 +52,8 @@ REGISTERS = BANDS * ROWS
 LEADER_ROUNDS = 2
 HOT_SHARE = 1000
 GROUP = 30_000  # shingles that are signed together
-BITS = 512
-LONGS = BITS // 64
-SALTS = np.random.default_rng(6).integers(0, 2**31, BITS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-#: Bits in which two bags of the threshold's similarity differ, and five standard deviations more: 512 x 0.1 + 5 x 6.8.
-UNLIKE = 85
+STEPS = 4
+SHARED_BANDS = 3  # that a further leader and a member have in common, to be verified in a leader round
 U = np.uint64
 
 
@@ -201,26 +210,16 @@ def signed(docs: DataFrame) -> DataFrame:
     return stored(add_columns(small, ["text"], SIGNED, run).drop("text").withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
-def bit_sketch(bag: np.ndarray) -> list[int]:
-    """One bit of each of BITS least hashes of a bag's occurrences, in LONGS longs."""
-    least = np.full(BITS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(bag), 4096):
-        h = bag[at : at + 4096, None] * SALTS[None]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x846CA68B)
-        np.minimum(least, h.min(0), out=least)
-    least ^= least >> np.uint32(16)
-    least *= np.uint32(0x7FEB352D)
-    return np.packbits((least >> np.uint32(31)).astype(bool)).view(np.int64).tolist()
-
-
 def join_unique(left: DataFrame, right: DataFrame, on: str, copies: str, total: int) -> DataFrame:
-    """left joined with its unique partner in right (inner); partners of over a thousandth of left's rows by broadcast."""
+    """left joined with its unique partner in right (inner), which is hot if its `copies` are over a thousandth of total.
+
+    Hot partners are broadcast: there are at most HOT_SHARE of them for each time that copies add up to total.
+    """
     hot = F.col(copies) * HOT_SHARE > total
-    cols = [c for c in right.columns if c not in (on, copies)]
+    cols = [c for c in right.columns if c != on]
     marked = left.join(F.broadcast(right.where(hot).select(on, F.struct(*cols).alias("_hot"))), on, "left")
     near = marked.where("_hot IS NOT NULL").select(*left.columns, *(F.col(f"_hot.{c}").alias(c) for c in cols))
-    far = marked.where("_hot IS NULL").drop("_hot").join(right.where(~hot).drop(copies), on)
+    far = marked.where("_hot IS NULL").drop("_hot").join(right.where(~hot), on)
     return near.unionByName(far.select(near.columns))
 
 
@@ -242,85 +241,153 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) with comp the least node of its component, by large-star and small-star steps."""
+    """(node, comp) with comp the least node of its component, by large-star and small-star steps; a stored table."""
     state, edges = None, stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    count, check = F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    now = edges.select(count, check).first()
+    while now != state and now[0]:
+        state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), count.alias("n"))
+        large = join_unique(both, least, "a", "n", now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(large, "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), count.alias("n"))
+        small = join_unique(large, least, "a", "n", now[0]).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        now = after.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_stored(edges)
-        edges = after
-        if now == state or not now[0]:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+        drop_stored(edges, large)
+        edges, now = after, after.select(count, check).first()
+    comps = edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    out = stored(comps, "components")
+    drop_stored(edges)
+    return out
+
+
+def prefix_entries(bags: DataFrame) -> DataFrame:
+    """The prefixes of bags (node, comp, weight, bag): (occ, low, high, node, comp, weight, pos), low and high the size
+    classes of the text and of the partners that the entry is for, pos the entry's place in the text."""
+    unpack = lambda values: [[np.frombuffer(v, np.int32).tolist() for v in values]]
+    occurring = add_columns(bags.select("node", "bag"), ["bag"], [T.StructField("occ", T.ArrayType(T.IntegerType()))], unpack)
+    occurring = stored(occurring.select("node", F.explode("occ").alias("occ")), "occurring")
+    total = occurring.count()
+    held = stored(occurring.groupBy("occ").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "held")
+    known = join_unique(occurring, held, "occ", "df", total)
+    known = known.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "occ"))).alias("known"))
+    e = bags.select("node", "comp", "weight").join(known, "node")
+    step, w = float(np.log(1 / THRESHOLD) / STEPS), F.col("weight")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
+    own, alone = size_class(w), (w - F.size("known")).cast("int")
+    least = F.ceil(w * THRESHOLD - 1e-9)
+
+    def entered(c):
+        partner = F.greatest(F.ceil(F.exp(c * step) * (1 - 1e-9)), least)  # the least weight of a partner in class c
+        length = w - F.expr("4L") * (w + partner) / 9 + 1
+        rows = F.slice("known", 1, F.greatest(F.floor(length + 1e-9).cast("int") - alone, F.lit(0)))
+        return F.transform(rows, lambda x, i: F.struct(x["occ"].alias("occ"), F.least(own, c).alias("low"), F.greatest(own, c).alias("high"), (alone + i).alias("pos")))
+
+    all_ = F.flatten(F.transform(F.sequence(size_class(least), size_class(F.floor(w / THRESHOLD + 1e-9))), entered))
+    out = stored(e.select("node", "comp", "weight", F.explode(all_).alias("e")).select("e.*", "node", "comp", "weight"), "entries")
+    drop_stored(occurring, held)
+    return out
+
+
+def prefix_pairs(bags: DataFrame) -> DataFrame:
+    """Pairs (a, b) of bags of different components that may overlap by THRESHOLD; every pair that does is among them."""
+    key = ["occ", "low", "high"]
+    entries = prefix_entries(bags)
+    per_comp = entries.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = per_comp.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    most = stored(most.select(*key, F.col("most.comp").alias("main")), "main")
+    met = stored(entries.join(most, key), "met")
+    others = met.where("comp <> main").select(*key, *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "weight", "pos")))
+    ahead = F.least(F.col("weight") - F.col("pos"), F.col("weight_a") - F.col("pos_a"))  # what may be common from here on
+    sizes = F.least("weight", "weight_a") * 5 >= F.greatest("weight", "weight_a") * 4
+    once = (F.col("comp") == F.col("main")) | (F.col("node") > F.col("node_a"))
+    found = met.join(others, key).where((F.col("comp") != F.col("comp_a")) & once & sizes & (ahead * 9 >= (F.col("weight") + F.col("weight_a")) * 4))
+    out = stored(found.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")
+    drop_stored(entries, most, met)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs' (doc_id, key, row, comp, class_id, kept): one row per document; row numbers the documents, kept marks one row of
-    each class. `tables` of the result are what it is read from."""
+    """(doc_id, key, row, class_id, kept): one row per document; row numbers the documents, key is the text's digest, kept marks
+    one row of each class. A stored table; all others that it is made of are deleted."""
     rows = signed(docs)
     total = rows.count()
-    nodes = rows.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = stored(nodes, "nodes")
+    nodes = stored(rows.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
     own = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     banded = own.select(F.col("row").alias("node"), F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(banded.join(sizes, "band"), "shared")
-    popular = shared.groupBy("node").agg(F.sum("n").alias("popular"))
-    shared = shared.join(popular, "node")
-    leaders = shared.groupBy("band").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader"))
-    members = stored(shared.join(leaders, "band").select("band", "leader", "node"), "members")
-    bags = rows.select(F.col("row").alias("node"), "weight", "bag").join(members.select("node").distinct(), "node", "left_semi")
-    bags = stored(add_columns(bags, ["bag"], [T.StructField("bits", T.ArrayType(T.LongType()))], lambda values: [[bit_sketch(np.frombuffer(v, np.uint32)) for v in values]]), "bags")
-    traits = bags.select("node", "weight", *(F.col("bits")[i].alias(f"bits{i}") for i in range(LONGS)))
-
-    pairs = stored(members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
-    links, tested = stored(verified(pairs, bags), "links"), pairs
+    sizes = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    shared = stored(join_unique(banded, sizes, "band", "n", total), "shared")
+    popular = stored(shared.groupBy("node").agg(F.sum("n").alias("popular")), "popular")
+    led = shared.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader"), F.count(F.lit(1)).alias("n"))
+    led = stored(led, "leaders")
+    members = stored(join_unique(shared.select("band", "node"), led, "band", "n", total).select("band", "leader", "node"), "members")
+    bags = stored(rows.select(F.col("row").alias("node"), "weight", "bag").join(members.select("node").distinct(), "node", "left_semi"), "bags")
+    drop_stored(sizes, shared, popular, led)
+
+    tested = stored(members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
+    links = stored(verified(tested, bags), "links")
     comps = components(links)
-    for turn in range(LEADER_ROUNDS + 1):
-        marked = members.join(comps, "node", "left").select("band", "leader", "node", F.coalesce("comp", "node").alias("comp"))
+
+    def linked(new):
+        """Verifies new pairs and contracts what is linked."""
+        nonlocal links, comps
+        found = stored(verified(new, bags), "links")
+        if found.isEmpty():
+            drop_stored(found)
+            return
+        more = stored(links.unionByName(found), "links")
+        again = components(more)
+        drop_stored(links, found, comps)
+        links, comps = more, again
+
+    def marked():
+        """members with their component, and whether it is another than their leader's."""
+        m = members.join(comps, "node", "left").select("band", "leader", "node", F.coalesce("comp", "node").alias("comp"))
         lead = comps.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-        marked = marked.join(lead, "leader", "left").withColumn("apart", F.col("comp") != F.coalesce("lead_comp", "leader"))
-        marked = stored(marked.select("band", "node", "comp", "apart").join(traits, "node"), "marked")
-        apart = marked.where("apart")
-        if turn < LEADER_ROUNDS:
-            first = apart.groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-            apart = apart.join(first, ["band", "node"])
-        apart = apart.select("band", *(F.col(c).alias("a" if c == "node" else f"{c}_a") for c in ("node", "comp", *traits.columns[1:])))
-        unlike = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"bits{i}_a"))) for i in range(LONGS)), F.lit(0))
-        alike = (F.least("weight", "weight_a") >= F.greatest("weight", "weight_a") * THRESHOLD - 1e-9) & (unlike <= UNLIKE)
-        new = marked.join(apart, "band").where((F.col("comp") != F.col("comp_a")) & (F.col("node") != F.col("a")) & alike)
-        new = new.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = stored(new, "pairs")
-        drop_stored(marked)
-        if new.isEmpty():
-            continue
-        found, tested = stored(verified(new, bags), "links"), tested.unionByName(new)
-        if not found.isEmpty():
-            links = stored(links.unionByName(found), "links")
-            comps = components(links)
-    by_text = nodes.join(comps, "node", "left").select("key", "copies", "node", F.coalesce("comp", "node").alias("comp"))
+        m = m.join(lead, "leader", "left").withColumn("apart", F.col("comp") != F.coalesce("lead_comp", "leader"))
+        return stored(m.select("band", "node", "comp", "apart"), "marked")
+
+    for turn in range(LEADER_ROUNDS):
+        m = marked()
+        first = m.where("apart").groupBy("band").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("f"))
+        first = stored(first.select("band", F.col("f.node").alias("a"), F.col("f.comp").alias("comp_a")), "first")
+        met = m.join(first, "band").where((F.col("comp") != F.col("comp_a")) & (F.col("node") != F.col("a")))
+        met = met.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_BANDS)
+        new = stored(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        linked(new)
+        both = stored(tested.unionByName(new), "pairs")
+        drop_stored(m, first, new, tested)
+        tested = both
+    m = marked()
+    mixed = m.where("apart").select("band").distinct()
+    rest = m.join(mixed, "band", "left_semi").groupBy("node").agg(F.first("comp").alias("comp"))
+    rest = stored(rest.join(bags, "node"), "rest")
+    found = prefix_pairs(rest)
+    new = stored(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+    linked(new)
+
+    by_text = nodes.join(comps, "node", "left").select("key", "copies", F.coalesce("comp", "node").alias("comp"))
     by_text = stored(by_text, "classes")
-    placed = join_unique(rows.select("doc_id", "key", "row"), by_text.select("key", "copies", "comp"), "key", "copies", total)
-    classes = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    out = join_unique(placed, stored(classes, "class_ids"), "comp", "copies", total).withColumn("kept", F.col("row") == F.col("comp"))
-    out.tables = [rows, nodes, members, bags, links, by_text]
+    placed = stored(join_unique(rows.select("doc_id", "key", "row"), by_text, "key", "copies", total).drop("copies"), "placed")
+    classes = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "class_ids")
+    out = join_unique(placed, classes, "comp", "copies", total)
+    out = stored(out.select("doc_id", "key", "row", "class_id", (F.col("row") == F.col("comp")).alias("kept")), "near_duplicates")
+    drop_stored(rows, nodes, members, bags, links, comps, tested, m, rest, found, new, by_text, placed, classes)
     return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class. Repeated rows (same doc_id and text) meet before the texts are shuffled."""
+    """docs with one row of each class, all columns kept: a stored table. Only rows whose doc_id and text repeat are told apart."""
     marked = near_duplicates(docs)
-    kept = stored(marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "kept")
-    for t in marked.tables:
-        drop_stored(t)
-    once = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["doc_id", "_text_key"])
-    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").drop("_text_key")
+    kept = marked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")).where("kept")
+    kept = stored(kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), "rows"), "kept_ids")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    chosen = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    once = chosen.where("rows = 1").select("doc.*").unionByName(chosen.where("rows > 1").dropDuplicates(["id", "key"]).select("doc.*"))
+    out = stored(once, "kept")
+    drop_stored(marked, kept)
+    return out
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
