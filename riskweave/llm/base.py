@@ -36,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where none is configured (tests) a local one is set."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local one is made for a local master only."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("riskweave.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-riskweave-")
         spark.conf.set("riskweave.shared.dir", path)
     return path
@@ -64,11 +66,21 @@ def drop_stored(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+SLICE = 8 << 20
+
+
+def sliced(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of `most` bytes on average, so that few whole texts are Python objects at once."""
+    rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f: Callable[..., Iterable[list]]) -> DataFrame:
     """df with new columns that f makes from lists of the inputs' values, batch by batch, in one Arrow pass.
 
-    f gets one list per input and returns one list (or Arrow array) per field. A column of df with the name of a
-    new one is replaced.
+    f gets one list per input and returns one list (or Arrow array) per field, for SLICE bytes of the batch at a time. A
+    column of df with the name of a new one is replaced; all others pass through as they are.
     """
     names = [x.name for x in fields]
     kept = [c for c in df.columns if c not in names]
@@ -78,8 +90,8 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in sliced(whole):
                 made = f(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs))
                 new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, arrow.field(n).type) for x, n in zip(made, names, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *new], names=[*kept, *names])
@@ -95,6 +107,22 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label: Column, limit: int, inputs: list[str]) -> DataFrame:
+    """(doc_id, y, fold, inputs) of at most `limit` rows, one for each labelled doc_id outside the held-out fifth: those with the
+    least hash of doc_id among the ids that docs has. label is an aggregate over a doc_id's labels, null where there are none.
+
+    Repeated rows of a doc_id are reduced to one (that of the least hash) before anything is joined or collected. The ids
+    and hashes, `limit` rows at most, are broadcast.
+    """
+    free = ~is_held_out() & F.col("doc_id").isNotNull()
+    known = labels.where(free).groupBy("doc_id").agg(label.cast("int").alias("y")).where("y IS NOT NULL")
+    mark = F.xxhash64(*(F.col(c).cast("string") for c in inputs))
+    have = docs.where(free).groupBy("doc_id").agg(F.min(mark).alias("_mark"))
+    few = known.join(have, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = docs.select("doc_id", *inputs, mark.alias("_mark")).join(F.broadcast(few), ["doc_id", "_mark"]).dropDuplicates(["doc_id"])
+    return rows.select("doc_id", "y", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int").alias("fold"), *inputs)
+
+
 def slots(df: DataFrame, group: str, spread: list[str], order: list[str], out: str, buckets: int = 512) -> DataFrame:
     """Gapless numbers from 0 within each group, though a group may hold any share of the rows.
 

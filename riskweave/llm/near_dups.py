@@ -39,6 +39,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     known = _words()
     out = list(map(known.get, words))
     if None in out:
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for i, h in enumerate(out):
             if h is None:
@@ -265,7 +266,11 @@ def components(edges: DataFrame) -> DataFrame:
 def prefix_entries(bags: DataFrame) -> DataFrame:
     """The prefixes of bags (node, comp, weight, bag): (occ, low, high, node, comp, weight, pos), low and high the size
     classes of the text and of the partners that the entry is for, pos the entry's place in the text."""
-    unpack = lambda values: [[np.frombuffer(v, np.int32).tolist() for v in values]]
+
+    def unpack(values):
+        ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32)))]
+
     occurring = add_columns(bags.select("node", "bag"), ["bag"], [T.StructField("occ", T.ArrayType(T.IntegerType()))], unpack)
     occurring = stored(occurring.select("node", F.explode("occ").alias("occ")), "occurring")
     total = occurring.count()
