@@ -4,18 +4,23 @@ Features of a whole text: hits of a fixed and of a learned lexicon (counts, dens
 second-person word, obfuscated hits, and the rates of capitals, punctuation and obfuscation. The learned lexicon holds
 words and word beginnings that are far likelier in toxic than in other labelled training texts.
 
-Learned from at most MAX_TRAIN labelled rows (those with the least hash of doc_id) outside the held-out fifth, of which
-another fifth calibrates. Only their features, and the counts of lexicon candidates, reach the driver. Scoring is one
-narrow pass over all texts.
+Obfuscation: a word with look-alike characters is compared with the lexicon as the letters they stand for, and a '*' in a
+word stands for any one letter or for none.
 
-Defined cases: null and empty texts are scored like any text without words; a doc_id labelled more than once is toxic if
-any of its labels says so; without labels of both kinds every score is 0; rows are independent; columns of the input
+Learned from at most MAX_TRAIN labelled rows (those with the least hash of doc_id, one for each doc_id) outside the
+held-out fifth, of which another fifth calibrates. Only their features reach the driver, and the lexicon's terms, whose
+number is bounded by the thresholds LEAST, SHARE and LOG_ODDS alone. Scoring is one narrow pass over all texts.
+
+Defined cases: null and empty texts are scored like any text without words; very long texts by the same features, over
+all their words; a doc_id labelled more than once is toxic if any of its labels says so; of a repeated doc_id one row is
+learned from; without labels of both kinds every score is 0, with a warning; rows are independent; columns of the input
 named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import add_columns, is_held_out, ship, table
+from .base import add_columns, is_held_out, ship, table, training_rows
 from .models import BoostedTrees, Isotonic
 
 MAX_TRAIN = 20_000
-MAX_CANDIDATES = 20_000
-MAX_TERMS = 600
 LEAST, SHARE, LOG_ODDS = 4, 0.007, 2.5  # a term has LEAST contexts, and SHARE of the toxic rows' number, at least
 PREFIXES = (4, 5, 6)
 NEAR = 5
@@ -64,13 +67,26 @@ class Lexicon:
         self.lengths = sorted({len(s) for s in self.stems})
         self.known: dict[str, int] = {}
 
+    def _begins(self, w: str) -> bool:
+        return any(w[:n] in self.stems for n in self.lengths if len(w) >= n)
+
+    def _hidden(self, w: str) -> bool:
+        """Whether a word without a hit is a term once its look-alike characters are letters."""
+        plain = w.translate(LEET).replace("-", "").replace("'", "").replace("’", "")
+        bare = plain.replace("*", "")
+        if bare != w and (bare in self.words or bare in INSULTS or self._begins(bare)):
+            return True
+        stars = plain.count("*")
+        if not stars or len(bare) < max(3, stars + 1):
+            return False
+        any_letter = lambda x: re.compile(re.escape(x).replace(r"\*", "."))
+        whole = any_letter(plain)
+        return any(map(whole.fullmatch, (*self.words, *INSULTS))) or any(any_letter(plain[: len(s)]).fullmatch(s) for s in self.stems)
+
     def _code(self, w: str) -> int:
         c = (w in self.words) | 8 * (w in INSULTS) | 16 * (w in SECOND)
-        c |= 2 * any(w[:n] in self.stems for n in self.lengths if len(w) >= n)
-        plain = w.translate(LEET).replace("*", "").replace("-", "").replace("'", "")
-        if plain != w and not c and (plain in self.words or plain in INSULTS):
-            c |= 4
-        return c
+        c |= 2 * self._begins(w)
+        return c or 4 * self._hidden(w)
 
     def codes(self, words: list[str]) -> list[int]:
         out = list(map(self.known.get, words))
@@ -83,6 +99,14 @@ class Lexicon:
         return out
 
 
+def near_hits(hits: list[int], marks: list[int], reach: int = NEAR) -> int:
+    """How many hits have a mark at most `reach` places before or after; both lists ascend."""
+    h, m = np.array(hits), np.array(marks)
+    at = np.searchsorted(m, h)
+    before, after = h - m[np.maximum(at - 1, 0)], m[np.minimum(at, len(m) - 1)] - h
+    return int((np.minimum(np.abs(before), np.abs(after)) <= reach).sum())
+
+
 def dense(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     words = words_of(text)
@@ -91,8 +115,7 @@ def dense(text: str | None, lexicon: Lexicon) -> list[float]:
     c = Counter(codes)
     of = lambda bit: sum(k for v, k in c.items() if v & bit)
     hit = [i for i, v in enumerate(codes) if v & 15] if of(15) else []
-    you = [i for i, v in enumerate(codes) if v & 16] if hit and of(16) else []
-    near = sum(any(abs(i - j) <= NEAR for j in you) for i in hit) if len(hit) * len(you) < 10_000 else int((np.abs(np.subtract(hit, np.array(you)[np.clip(np.searchsorted(you, hit), 0, len(you) - 1)])) <= NEAR).sum())
+    near = near_hits(hit, [i for i, v in enumerate(codes) if v & 16]) if hit and of(16) else 0
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     caps = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
     return [
@@ -113,14 +136,6 @@ class Toxicity:
         return self.calibration(self.trees.margin(np.array([dense(t, self.lexicon) for t in texts])))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, text, y, fold) of at most `limit` labelled ids outside the held-out fifth. The labels are broadcast: limit bounds them."""
-    held = ~is_held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()
-    small = labels.where(held).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    small = small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(small), "doc_id").withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int"))
-
-
 def learn_lexicon(rows: DataFrame) -> list[str]:
     """Terms that are far likelier in toxic training rows.
 
@@ -138,34 +153,30 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
                     seen.update((x, before) for x in (w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], names=["term", "before"])
 
-    def counts(wanted):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c: Counter = Counter()
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    c.update(wanted & terms_of(t or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
-
-        return run
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = (Counter(), Counter())
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c[y].update(terms_of(t or ""))
+            terms = list(c[0].keys() | c[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([k[t] for t in terms], pa.int64()) for k in c)], names=["term", "other", "toxic"])
 
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    toxic, other = (rows.where(F.col("y") == y).select("text") for y in (1, 0))
-    pos = toxic.mapInArrow(contexts, "term string, before string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    pos = pos.where(F.col("n") >= max(LEAST, SHARE * sizes.get(1, 0))).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
-    pos = {r["term"]: r["n"] for r in pos.collect()}
-    wanted = frozenset(pos)
-    rows_with = lambda df: {r["term"]: r["n"] for r in df.mapInArrow(counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    pos, neg = (rows_with(toxic), rows_with(other)) if pos else ({}, {})
-    odds = {t: np.log((n + 0.5) / (sizes.get(1, 0) + 1)) - np.log((neg.get(t, 0) + 0.5) / (sizes.get(0, 0) + 1)) for t, n in pos.items()}
-    kept = sorted((t for t, o in odds.items() if o >= LOG_ODDS), key=lambda t: (-odds[t], t))
+    if len(sizes) < 2:
+        return []
+    seen = rows.where("y = 1").select("text").mapInArrow(contexts, "term string, before string").distinct()
+    seen = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(LEAST, SHARE * sizes[1]))
+    with_term = rows.select("text", "y").mapInArrow(counted, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    share = lambda y, name: (F.col(name) + 0.5) / (sizes[y] + 1)
+    listed = seen.join(with_term, "term").withColumn("odds", F.log(share(1, "toxic") / share(0, "other"))).where(F.col("odds") >= LOG_ODDS)
+    kept = [r["term"] for r in listed.orderBy(F.desc("odds"), "term").select("term").collect()]
     stems = {t for t in kept if t.endswith("*")}
     covered = lambda t: any(f"{t[:n]}*" in stems for n in PREFIXES if len(t.rstrip("*")) > n)
-    return [t for t in kept if not covered(t)][:MAX_TERMS]
+    return [t for t in kept if not covered(t)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Toxicity:
-    rows = training_rows(docs.select("doc_id", "text"), labels, "toxic", limit)
-    rows = rows.select("doc_id", "text", "y", "fold").persist()
+    rows = training_rows(docs, labels, F.max("toxic"), limit, ["text"]).persist()
     try:
         lexicon = Lexicon(learn_lexicon(rows))
         field = [T.StructField("f", T.ArrayType(T.DoubleType()))]
@@ -174,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Toxicity:
         rows.unpersist()
     lexicon.known.clear()
     if got["y"].nunique() < 2:
+        warnings.warn("no labels of both kinds among the training rows: every document gets a toxicity of 0", stacklevel=2)
         return Toxicity(lexicon, None, None)
     got = got.sort_values("doc_id", kind="stable")
     x, y, fold = np.array(got["f"].tolist()), got["y"].to_numpy(float), got["fold"].to_numpy()
@@ -186,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Toxicity:
 
 def score(docs: DataFrame, model: Toxicity, out: str = "toxicity") -> DataFrame:
     """docs with the calibrated chance of being toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon holds MAX_TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # trees, steps and the lexicon's terms
     return add_columns(docs, ["text"], [T.StructField(out, T.DoubleType())], lambda texts: [shared.value.scores(texts).tolist()])
 
 
