@@ -74,21 +74,32 @@ class Logistic:
         weight = np.ones(len(y)) if weight is None else weight
         self.mean, self.scale = x.mean(0), x.std(0)
         self.scale[self.scale < 1e-9] = 1
-        z = self._with_one(x)
-        penalty = np.full(z.shape[1], self.l2)
-        penalty[-1] = 1e-6
-        w = np.zeros(z.shape[1])
+        self.w = np.zeros(x.shape[1] + 1)
         for _ in range(self.steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (weight * (p - y)) + penalty * w
-            hess = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(hess, grad)
-            w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.slopes(x, y, weight)) < 1e-6:
                 break
-        self.w = w
         return self
 
+    def slopes(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' gradient and curvature at the present weights; both add up over sets of rows."""
+        z = self._with_one(x)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
+        """A Newton step, damped, with the ridge penalty; returns its largest component before damping."""
+        penalty = np.full(len(self.w), self.l2)
+        penalty[-1] = 1e-6
+        step = np.linalg.solve(curvature + np.diag(penalty), gradient + penalty * self.w)
+        most = float(np.abs(step).max())
+        self.w = self.w - step * min(1.0, 5 / max(1e-9, most))
+        return most
+
+    def copy(self) -> Logistic:
+        out = Logistic(self.l2, self.steps)
+        out.mean, out.scale, out.w = self.mean, self.scale, self.w.copy()
+        return out
+
     def _with_one(self, x):
         return np.concatenate([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))], 1)
 

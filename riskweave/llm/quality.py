@@ -1,36 +1,45 @@
 """Quality classifier: co-training of a text-content view and a page-metadata view.
 
-The content view sees what the text is made of (letters, capitals, symbols, repetition, vocabulary); the metadata view
-sees the record around it (source, language, declared and stored length, line layout). Each view's logistic regression
-starts from the labelled training rows. In each of ROUNDS rounds both score a pool of unlabelled rows; the most
-confident rows of each view, in the classes' own proportion, become pseudo-labelled training rows of the other. At the
-end each view is calibrated (isotonic) on labelled rows kept out of its fit, and a logistic regression over both
-calibrated views gives the quality of all documents.
-
-Learned from at most MAX_TRAIN labelled rows and a pool of at most MAX_POOL unlabelled rows (those with the least hash of
-doc_id), outside the held-out fifth; only their features reach the driver. Scoring is one narrow pass over all texts.
-
-Defined cases: null and empty texts are scored by the same features, all near 0; a null source, lang or n_chars is a
-value of its own; a doc_id labelled more than once is good only if all its labels say so; without labels of both kinds
-every score is 1; rows are independent; columns of the input named like an output are replaced.
+The content view sees the text (letters, capitals, symbols, repetition, vocabulary, line layout); the metadata view sees
+only the record's other fields (source, language, n_chars). Each view's logistic regression starts from the labelled
+training rows. In each of ROUNDS rounds both score every unlabelled row outside the held-out fifth; a view's most
+confident rows (the outer SHARE, in the classes' own proportion) become pseudo-labelled training rows of the other view,
+good and bad ones each only if the view is right on PRECISION of the labelled rows kept out of its fit that lie as far
+out, so that a view that can't tell doesn't teach. At the end each view is calibrated (isotonic) on these rows, and a
+logistic regression over both calibrated views gives the quality of all documents.
+
+Learned from at most MAX_TRAIN labelled rows (those with the least hash of doc_id, one for each doc_id) outside the
+held-out fifth, whose features reach the driver, and from all unlabelled rows, whose features stay in a stored table: a
+round's bounds are quantiles of the margins, and a Newton step adds up gradients and curvatures per task, so that the
+driver sees two small matrices from each. Scoring is one narrow pass over all texts.
+
+Defined cases: null and empty texts are scored by the same features, all near 0; very long texts as a whole; a null
+source, lang or n_chars is a value of its own; a doc_id labelled more than once is good only if all its labels say so;
+of a repeated labelled doc_id one row is learned from, unlabelled rows count as often as they occur; without labels of
+both kinds every score is 1, with a warning; rows are independent; columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import add_columns, is_held_out, table
+from .base import add_columns, drop_stored, is_held_out, ship, stored, table, training_rows
 from .models import Isotonic, Logistic
 
-MAX_TRAIN, MAX_POOL = 20_000, 10_000
-ROUNDS, SHARE = 4, 0.05
-SOURCES = 16
+MAX_TRAIN = 20_000
+ROUNDS, SHARE, PRECISION = 3, 0.2, 0.94
+STEPS = 2  # Newton steps for each view and round
+WEIGHT = 0.25  # of all pseudo-labelled rows together, against the labelled rows
+SOURCES = 64
 
 LOWER, UPPER, DIGIT = (np.array([chr(b) in s for b in range(256)]) for s in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
 STOP, PAUSE, SYMBOL = (np.array([chr(b) in s for b in range(256)]) for s in (".", ",;:", "#$%&*+/<=>@\\^_`|~{}[]"))
@@ -43,27 +52,25 @@ def content(text: str | None) -> list[float]:
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     size = max(1, int(raw.sum()))
     words = text.split()
+    lines = text.split("\n")
+    lengths = np.array([len(x) for x in lines], float)
+    ends = sum(x.rstrip()[-1:] in (".", "!", "?") for x in lines) / len(lines)
     n = max(1, len(words))
     letters = max(1, int(raw[LOWER].sum() + raw[UPPER].sum()))
     distinct = len(set(words))
     return [
         *(raw[m].sum() / size for m in (LOWER, UPPER, DIGIT, STOP, PAUSE, SYMBOL, BANG, SPACE, WIDE)),
         raw[UPPER].sum() / letters, raw[SYMBOL].sum() / n, raw[BANG].sum() / n, sum(map(eq, words, words[1:])) / n, distinct / n, np.log1p(distinct) - 0.8 * np.log1p(len(words)), size / n, np.log1p(len(words)),
+        size / max(1, len(text)), np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()), lengths.std() / (1 + lengths.mean()), len(set(lines)) / len(lines), ends,
     ]
 
 
-def metadata(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """Features of the record: where it comes from, its lengths and its line layout."""
-    text = text or ""
-    lines = text.split("\n")
-    lengths = np.array([len(x) for x in lines], float)
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """Features of the record's fields; nothing of the text."""
     known = {"en": 0, "de": 1, "fr": 2, "es": 3}.get(lang or "", 4)
-    home = zlib.crc32((source or "").encode()) % SOURCES
-    ends = sum(x.rstrip()[-1:] in (".", "!", "?") for x in lines) / len(lines)
-    return [
-        *(float(i == known) for i in range(5)), *(float(i == home) for i in range(SOURCES)), float(n_chars is None), np.log1p(max(0, n_chars or 0)), np.log1p(len(text)) - np.log1p(max(0, n_chars or 0)),
-        len(text.encode("utf-8", "surrogatepass")) / max(1, len(text)), np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()), lengths.std() / (1 + lengths.mean()), len(set(lines)) / len(lines), ends,
-    ]
+    home = zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % SOURCES if source is not None else -1
+    size = np.log1p(max(0, n_chars or 0))
+    return [*(float(i == known) for i in range(5)), *(float(i == home) for i in range(SOURCES)), float(n_chars is None), size, size * size]
 
 
 class CoTrained:
@@ -80,59 +87,106 @@ class CoTrained:
     def scores(self, *columns) -> np.ndarray:
         if self.views is None or not columns[0]:
             return np.ones(len(columns[0]))
-        return self.probabilities([np.array([content(t) for t in columns[0]]), np.array([metadata(*r) for r in zip(*columns, strict=True)])])
+        return self.probabilities([np.array([content(t) for t in columns[0]]), np.array([metadata(*r) for r in zip(*columns[1:], strict=True)])])
 
 
-def co_train(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], calibrate: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-    """xs and pool: the rows of both views; calibrate marks rows kept for calibration."""
+INPUTS = ["text", "source", "lang", "n_chars"]
+VIEWS = [T.StructField(f"view{k}", T.ArrayType(T.FloatType())) for k in (0, 1)]
+
+
+def with_views(docs: DataFrame) -> DataFrame:
+    """docs' inputs with the features of both views."""
+    both = lambda t, s, g, n: [[content(a) for a in t], [metadata(*r) for r in zip(s, g, n, strict=True)]]
+    return add_columns(docs, INPUTS, VIEWS, both)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+
+
+def bounds(pool: DataFrame, views: list[Logistic], kept: list[np.ndarray], y: np.ndarray, good: float, share: float) -> list[tuple[float, float]]:
+    """For each view the margins at or under which, and at or over which, its unlabelled rows count as labelled. kept, y: the
+    labelled rows that judge whether the view is precise so far out; where it isn't, the bound is infinite."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v.margin(_matrix(b.column(k)))) for k, v in enumerate(views)], names=["m0", "m1"])
+
+    m = pool.mapInArrow(run, "m0 double, m1 double")
+    at = [float(share * (1 - good)), float(1 - share * good)]
+    got = m.agg(*(F.percentile_approx(f"m{k}", at, 10_000).alias(f"m{k}") for k in (0, 1))).first()
+    precise = lambda right: (right.sum() + 1) / (len(right) + 2) >= PRECISION
+    out = []
+    for v, x, g in zip(views, kept, got, strict=True):
+        low, high = g or (-np.inf, np.inf)
+        own = v.margin(x)
+        out.append((low if precise(y[own <= low] == 0) else -np.inf, high if precise(y[own >= high] == 1) else np.inf))
+    return out
+
+
+def pseudo_labelled(pool: DataFrame, teachers: list[Logistic], limits: list[tuple[float, float]], views: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each view the gradient, the curvature and the number of the rows that the other view is sure of and it isn't itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [None, None]
+        for b in batches:
+            x = [_matrix(b.column(k)) for k in (0, 1)]
+            low, high = zip(*((m <= lo, m >= hi) for v, a, (lo, hi) in zip(teachers, x, limits, strict=True) for m in [v.margin(a)]), strict=True)
+            for k in (0, 1):
+                own = (low[1 - k] | high[1 - k]) & ~(low[k] | high[k])
+                g, h = views[k].slopes(x[k][own], high[1 - k][own].astype(float), np.ones(int(own.sum())))
+                add = np.concatenate([g, h.ravel(), [own.sum()]])
+                sums[k] = add if sums[k] is None else sums[k] + add
+        yield pa.RecordBatch.from_arrays([pa.array([k for k in (0, 1) if sums[k] is not None], pa.int32()), pa.array([s for s in sums if s is not None], pa.list_(pa.float64()))], names=["k", "sums"])
+
+    parts = pool.mapInArrow(run, "k int, sums array<double>").select("k", F.posexplode("sums").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    out = []
+    for k in (0, 1):
+        n = len(views[k].w)
+        total = np.zeros(n + n * n + 1)
+        for r in parts:
+            if r["k"] == k:
+                total[r["i"]] = r["v"]
+        out.append((total[:n], total[n:-1].reshape(n, n), total[-1]))
+    return out
+
+
+def co_train(xs: list[np.ndarray], y: np.ndarray, pool: DataFrame, calibrate: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
+    """xs: both views of the labelled rows; pool: (view0, view1) of the unlabelled ones; calibrate marks labelled rows kept for calibration."""
     fit_on = ~calibrate
     if len(set(y[fit_on])) < 2 or len(set(y[calibrate])) < 2:
         fit_on = calibrate = np.ones(len(y), bool)
     good = y[fit_on].mean()
-    added: list[dict[int, float]] = [{}, {}]
     views = [Logistic().fit(x[fit_on], y[fit_on]) for x in xs]
     for _ in range(rounds):
-        for k in (0, 1):
-            if not len(pool[k]):
-                continue
-            m = views[k].margin(pool[k])
-            m = np.where(np.isin(np.arange(len(m)), list(added[1 - k])), 0, m)
-            order, n = np.argsort(m, kind="stable"), max(1, int(share * len(m)))
-            low = [i for i in order[: max(1, round(n * (1 - good)))] if m[i] < -2]
-            high = [i for i in order[::-1][: max(1, round(n * good))] if m[i] > 2]
-            added[1 - k].update({i: 0.0 for i in low} | {i: 1.0 for i in high})
-        for k in (0, 1):
-            own = np.array(sorted(added[k]), int)
-            labels = np.array([added[k][i] for i in own])
-            x = np.concatenate([xs[k][fit_on], pool[k][own]]) if len(own) else xs[k][fit_on]
-            w = np.concatenate([np.ones(int(fit_on.sum())), np.full(len(own), 0.25)])
-            views[k] = Logistic().fit(x, np.concatenate([y[fit_on], labels]), w)
+        teachers = [v.copy() for v in views]
+        limits = bounds(pool, teachers, [x[calibrate] for x in xs], y[calibrate], good, share)
+        for _ in range(STEPS):
+            for k, (g, h, n) in enumerate(pseudo_labelled(pool, teachers, limits, views)):
+                weight = WEIGHT * fit_on.sum() / max(n, 1)
+                own = views[k].slopes(xs[k][fit_on], y[fit_on], np.ones(int(fit_on.sum())))
+                views[k].step(own[0] + weight * g, own[1] + weight * h)
     calibrations = [Isotonic().fit(v.margin(x[calibrate]), y[calibrate]) for v, x in zip(views, xs, strict=True)]
     p = np.clip(np.stack([c(v.margin(x[calibrate])) for v, c, x in zip(views, calibrations, xs, strict=True)], 1), 1e-4, 1 - 1e-4)
     return CoTrained(views, calibrations, Logistic().fit(np.log(p / (1 - p)), y[calibrate]))
 
 
-INPUTS = ["text", "source", "lang", "n_chars"]
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, pool: int = MAX_POOL) -> CoTrained:
-    """The bounded tables of labels and of pool ids are broadcast: limit and pool rows at most."""
-    free = (~is_held_out()) & F.col("doc_id").isNotNull()
-    known = labels.where(free & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    others = docs.where(free).select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).distinct()
-    wanted = few.unionByName(others.withColumn("y", F.lit(None).cast("double")))
-    rows = docs.select("doc_id", *INPUTS).join(F.broadcast(wanted), "doc_id")
-    field = [T.StructField("views", T.ArrayType(T.ArrayType(T.DoubleType())))]
-    both = lambda t, s, g, n: [[[content(a), metadata(a, b, c, d)] for a, b, c, d in zip(t, s, g, n, strict=True)]]
-    got = add_columns(rows, INPUTS, field, both).select("doc_id", "y", "views").toPandas().sort_values("doc_id", kind="stable")
-    got["held"] = [zlib.crc32(str(i).encode()) % 5 == 1 for i in got["doc_id"]]
-    own = got[got["y"].notna()]
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> CoTrained:
+    ship(docs.sparkSession)
+    own = with_views(training_rows(docs, labels, F.min("quality"), limit, INPUTS)).select("doc_id", "y", "fold", "view0", "view1").toPandas()
     if own["y"].nunique() < 2:
+        warnings.warn("no labels of both kinds among the training rows: every document gets a quality of 1", stacklevel=2)
         return CoTrained(None, None, None)
-    rest = got[got["y"].isna()]
-    view = lambda frame, k: np.array([list(v[k]) for v in frame["views"]]).reshape(len(frame), -1)
-    return co_train([view(own, 0), view(own, 1)], own["y"].to_numpy(float), [view(rest, 0), view(rest, 1)], own["held"].to_numpy())
+    own = own.sort_values("doc_id", kind="stable")
+    known = labels.where("quality IS NOT NULL").select("doc_id").distinct()
+    rest = docs.where(~is_held_out() & F.col("doc_id").isNotNull()).select("doc_id", *INPUTS)
+    pool = stored(with_views(rest).select("doc_id", "view0", "view1").join(known, "doc_id", "left_anti").select("view0", "view1"), "pool")
+    xs = [np.array(own[f"view{k}"].tolist(), float) for k in (0, 1)]
+    try:
+        return co_train(xs, own["y"].to_numpy(float), pool, own["fold"].to_numpy() == 1)
+    finally:
+        drop_stored(pool)
 
 
 def score(docs: DataFrame, model: CoTrained, out: str = "quality_score") -> DataFrame:
