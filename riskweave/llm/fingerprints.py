@@ -5,16 +5,21 @@ Whether a k-mer is an anchor depends on nothing around it, so texts that share a
 positions line up. The text is laid out as four bytes a character, so that each s-mer is one slice. A text of fewer than
 k characters is its own single anchor; an empty one has none.
 
-The fingerprint of a text is the sorted sketch of the SKETCH least distinct anchor hashes; likeness is the Jaccard
-estimate from the union's least hashes (exact while both texts have no more anchors than that).
+The fingerprint of a text holds the number of its distinct anchors and, of the least of them by hash (SKETCH at least, one
+in SPARSE of a long text, all of a short one), the hash and the first position. Likeness is positional: of the anchors of
+both texts with hashes that both fingerprints cover, the share that is in both at a consistent offset, which is the best
+class of offsets SLACK characters wide. So texts that share a passage in place are alike, however long, and a text whose
+sections were reordered is like the original by its largest section only. It is exact where both fingerprints hold all
+anchors, else an estimate from them whose error falls with the texts' length.
 
 Neighbours in the order of doc_id come without a join or a global sort: rows are dealt into ranges of doc_id whose bounds
 are ids that occur, and the first row of each range is dealt to the range before it, too; the first of all follows the
-last of all. Ranges are sized by the number of rows.
+last of all. The number of ranges grows with the rows, up to MOST_RANGES; then the ranges grow.
 
-Defined cases: a null text is empty; a null doc_id comes last; rows of one doc_id are ordered by their texts; a single
-document is its own neighbour; two empty texts are alike (1), an empty and another are not (0); an empty table gives no
-rows.
+Defined cases: a null text is empty; very long texts are read whole; a null doc_id comes last; rows of one doc_id, and
+all of null, are one range and ordered by their texts, so that repeated rows follow each other; a single document is its
+own neighbour; two empty texts are alike (1), an empty and another are not (0); an empty table gives no rows; columns of
+the input that are not asked for are not looked at, and with_next() keeps all but those named next_<column>.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from pyspark.sql import Window as W
 
 from .base import table
 
-K, S, SKETCH = 12, 10, 64
-ROWS_A_RANGE, MOST_RANGES = 2000, 1 << 13
+K, S = 12, 10
+SKETCH, SPARSE, SLACK = 64, 16, 64
+ROWS_A_RANGE, MOST_RANGES = 2000, 1 << 16
 LAST_ID = (1 << 63) - 1
 
 
@@ -46,20 +52,45 @@ def anchors(text: str, k: int = K, s: int = S) -> Column:
     return F.expr(f"CASE WHEN {n} >= {k} THEN {many} WHEN {n} > 0 THEN {one} ELSE {none} END")
 
 
-def sketch(found: Column, size: int = SKETCH) -> Column:
-    """The least distinct 32-bit hashes of anchors, ascending."""
-    hashes = F.transform(found, lambda a: F.shiftrightunsigned(a["anchor"], 32))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+#: One anchor of a fingerprint: the upper half of its hash, then its first position.
+PACKED = "(a.anchor & -4294967296L) | a.position"
 
 
-def fingerprint(sk: Column) -> Column:
-    return F.array_join(F.transform(sk, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def sketch(found: str, size: int = SKETCH, sparse: int = SPARSE) -> Column:
+    """struct<n, anchors>: the number of distinct hashes in a column of anchors, and the least of them with their first positions."""
+    ordered = f"sort_array(transform({found}, a -> {PACKED}))"
+    distinct = f"transform(array({ordered}), o -> filter(o, (x, i) -> i = 0 OR shiftright(x, 32) <> shiftright(o[i - 1], 32)))[0]"
+    return F.expr(f"transform(array({distinct}), d -> named_struct('n', size(d), 'anchors', slice(d, 1, greatest({size}, size(d) div {sparse}))))[0]")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, 1.0).otherwise(both / F.size(union))
+def fingerprint(sk: str) -> Column:
+    """Hexadecimal digits: the number of distinct anchors, then hash and position of each; '' without any."""
+    return F.expr(f"CASE WHEN {sk}.n = 0 THEN '' ELSE lower(concat(lpad(hex({sk}.n), 8, '0'), array_join(transform({sk}.anchors, x -> lpad(hex(x), 16, '0')), ''))) END")
+
+
+def unpacked(text: Column) -> Column:
+    """The sketch that fingerprint() wrote; hashes count as signed."""
+    number = lambda at, n: F.conv(F.substr(text, at, F.lit(n)), 16, -10).cast("bigint")
+    entries = F.transform(F.sequence(F.lit(9), F.length(text) - 15, F.lit(16)), lambda at: number(at, 16))
+    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("anchors"))
+    return F.when(F.length(text) < 24, none).otherwise(F.struct(number(F.lit(1), 8).cast("int").alias("n"), entries.alias("anchors")))
+
+
+def likeness(a: str, b: str, slack: int = SLACK) -> Column:
+    """The positional likeness of two columns of sketches."""
+    # hashes up to the last one of an incomplete sketch are covered; the side is told by the lowest bit
+    last = lambda s: f"CASE WHEN {s}.n > size({s}.anchors) THEN shiftright(element_at({s}.anchors, -1), 32) ELSE {LAST_ID}L END"
+    side = lambda s, bit: f"transform(filter({s}.anchors, x -> shiftright(x, 32) <= c), x -> (x & -4294967296L) | shiftleft(x & 2147483647L, 1) | {bit}L)"
+    both = f"transform(array(least({last(a)}, {last(b)})), c -> sort_array(concat({side(a, 0)}, {side(b, 1)})))[0]"
+    place = lambda x: f"(shiftright({x} & 4294967294L, 1))"
+    # neighbours of one hash are a pair: first a's, then b's or the other way round
+    offset = f"CASE WHEN (m[i] & 1) = 0 THEN {place('m[i]')} - {place('m[i + 1]')} ELSE {place('m[i + 1]')} - {place('m[i]')} END"
+    pairs = "filter(sequence(0, size(m) - 2), i -> shiftright(m[i], 32) = shiftright(m[i + 1], 32))"
+    offsets = f"transform(array(m), m -> CASE WHEN size(m) < 2 THEN array() ELSE transform({pairs}, i -> {offset}) END)[0]"
+    run = "named_struct('at', x, 'n', CASE WHEN s.n > 0 AND x = s.at THEN s.n + 1 ELSE 1 END, 'most', greatest(s.most, CASE WHEN s.n > 0 AND x = s.at THEN s.n + 1 ELSE 1 END))"
+    grid = lambda shift: f"aggregate(sort_array(transform(o, d -> cast(floor((d + {shift}) / {slack}) AS bigint))), named_struct('at', 0L, 'n', 0, 'most', 0), (s, x) -> {run}, s -> s.most)"
+    share = f"CASE WHEN size(m) = 0 THEN IF({a}.n = {b}.n, 1D, 0D) ELSE greatest({grid(0)}, {grid(slack // 2)}) / (size(m) - size(o)) END"
+    return F.expr(f"transform(array({both}), m -> transform(array({offsets}), o -> {share})[0])[0]")
 
 
 def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
@@ -71,31 +102,33 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
         levels += 1
     shares = [(i + 1) / (1 << levels) for i in range((1 << levels) - 1)]
     bounds = sorted(set(df.select(F.percentile_approx(key, shares, 100_000)).first()[0])) if shares and n else []
-    dealt = df.withColumn("_key", key)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    dealt = df.select(row.alias("row"), key.alias("key"))
     if bounds:
-        steps, at = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))]), F.lit(bounds)
-        fits = lambda lo, step: (lo + step <= len(bounds)) & (F.element_at(at, F.least(lo + step, F.lit(len(bounds)))) <= F.col("_key"))
-        dealt = dealt.withColumn("_range", F.aggregate(steps, F.lit(0), lambda lo, step: F.when(fits(lo, step), lo + step).otherwise(lo)))
-        opens = (F.col("_range") > 0) & (F.element_at(at, F.greatest("_range", F.lit(1))) == F.col("_key"))
+        at = F.from_json(F.lit(str(bounds)), "array<bigint>")  # folded to one literal, however many there are
+        steps = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))])
+        fits = lambda lo, step: (lo + step <= len(bounds)) & (F.element_at(at, F.least(lo + step, F.lit(len(bounds)))) <= F.col("key"))
+        dealt = dealt.withColumn("range", F.aggregate(steps, F.lit(0), lambda lo, step: F.when(fits(lo, step), lo + step).otherwise(lo)))
+        opens = (F.col("range") > 0) & (F.element_at(at, F.greatest("range", F.lit(1))) == F.col("key"))
     else:
-        dealt, opens = dealt.withColumn("_range", F.lit(0)), F.lit(False)
+        dealt, opens = dealt.withColumn("range", F.lit(0)), F.lit(False)
     place = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
-    places = F.array_compact(F.array(place(F.col("_range"), 0), F.when(opens, place(F.col("_range") - 1, 1)), F.when(F.col("_key") == low, place(F.lit(len(bounds)), 2))))
-    dealt = dealt.withColumn("_place", F.explode(places)).withColumns({"_range": F.col("_place.range"), "_guest": F.col("_place.guest")}).drop("_place")
-    w = W.partitionBy("_range").orderBy("_guest", "_key", *columns[:1])
-    led = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return led.where("_guest = 0").drop("_key", "_range", "_guest")
+    places = F.array_compact(F.array(place(F.col("range"), 0), F.when(opens, place(F.col("range") - 1, 1)), F.when(F.col("key") == low, place(F.lit(len(bounds)), 2))))
+    dealt = dealt.select("row", "key", F.explode(places).alias("place"))
+    w = W.partitionBy("place.range").orderBy("place.guest", "key", *(f"row.{c}" for c in columns[:1]))
+    led = dealt.select("row", F.col("place.guest").alias("guest"), *(F.lead(f"row.{c}").over(w).alias(f"next_{c}") for c in columns)).where("guest = 0")
+    return led.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in [f"next_{x}" for x in columns]), *(f"next_{c}" for c in columns))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    own = docs.withColumn("sketch", sketch(anchors("text")))
+    own = docs.withColumn("found", anchors("text")).select("doc_id", "text", sketch("found").alias("sketch"))
     pairs = with_next(own, "doc_id", ["text", "sketch"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
-    pairs = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", "edited").withColumn("edited_sketch", sketch(anchors("edited")))
+    pairs = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", "edited", anchors("edited").alias("found")).withColumn("edited_sketch", sketch("found"))
     return pairs.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"),
+        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
     )
