@@ -9,16 +9,19 @@ twice, and only the last window can hold padding.
 The order is that of the written partitions, so a lost task of pass two reads the same offsets again.
 
 Defined cases: a null text is empty and gives just the end id; repeated rows are packed again each time; a document
-longer than a window spans several; an empty table gives no rows; other columns are not looked at.
+longer than a window spans several; an empty table gives no rows; other columns pass through, whatever their names, but for
+those that are named like an output, which are replaced.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .base import add_columns, stored, table
+from .base import ship, sliced, stored, table
 from .bpe import byte_symbols
 
 WINDOW = 1024
@@ -42,8 +45,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 class ByteEncoder:
     """The ids of a byte-level tokenizer file.
 
-    A vocabulary whose ids follow its merges is handed to the faster rank-based encoder, which gives the same ids; texts
-    that spell out a special token, and files of another kind, go to the tokenizers library.
+    A vocabulary whose ids follow its merges is handed to the faster rank-based encoder. It merges the pair whose joined
+    token has the least id; the file's rule is the pair that is listed first. That both give the same ids is tested, not
+    proved, as a token may be reached by pairs that the list leaves out. Texts that spell out a special token, and files of
+    another kind, go to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -85,49 +90,52 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-IDS = [T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+MOST_BROADCAST = 1_000_000
+LAYOUT = "part int, before long, doc_tokens long, ids binary"
 
 
 def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with their ids, ended by the end id, and the number of ids before them in their partition; written once."""
-
-    def run(texts):
-        # the running total lives as long as the task: one function object per task is unpickled
-        task = TaskContext.get()
-        if run.__dict__.get("task") != task.taskAttemptId():
-            run.task, run.total = task.taskAttemptId(), 0
-        e, end = byte_encoder(path), END.to_bytes(4, "little")
-        part, before, n, ids = [], [], [], []
-        for t in texts:
-            packed = e.encode(t) + end
-            part.append(task.partitionId())
-            before.append(run.total)
-            n.append(len(packed) // 4)
-            run.total += n[-1]
-            ids.append(packed)
-        return part, before, n, ids
-
-    return stored(add_columns(docs, [text], IDS, run).drop(text), "tokens")
+    """(row, part, before, doc_tokens, ids): docs' other columns as a struct, ids ended by the end id, and the number of ids before
+    them in their partition; a stored table."""
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
+    rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total, e, end = TaskContext.get().partitionId(), 0, byte_encoder(path), END.to_bytes(4, "little")
+        for whole in batches:
+            for b in sliced(whole):
+                ids = [e.encode(t) + end for t in b.column(1).to_pylist()]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                before = total + np.cumsum(n) - n
+                total += int(n.sum())
+                made = [pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["row", "part", "before", "doc_tokens", "ids"])
+
+    ship(docs.sparkSession)
+    return stored(rows.mapInArrow(run, T.StructType([rows.schema["row"], *T._parse_datatype_string(LAYOUT).fields])), "tokens")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
-    """(part, shift): ids before each partition."""
+    """(part, shift): ids before each partition; a stored table with one row for each task of pass one."""
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).withColumn("block", F.floor(F.col("part") / BLOCK).cast("int"))
     upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = totals.groupBy("block").agg(F.sum("n").alias("n"))
-    blocks = blocks.select("block", upto(W.orderBy("block")).alias("_earlier"))
-    inner = totals.withColumn("_inner", upto(W.partitionBy("block").orderBy("part")))
-    return inner.join(F.broadcast(blocks), "block").select("part", (F.col("_earlier") + F.col("_inner")).alias("shift"))
+    blocks = blocks.select("block", upto(W.orderBy("block")).alias("earlier"))
+    inner = totals.withColumn("inner", upto(W.partitionBy("block").orderBy("part")))
+    return stored(inner.join(blocks, "block").select("part", (F.col("earlier") + F.col("inner")).alias("shift")), "offsets")
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """One row per piece: docs' other columns, doc_tokens, sequence_id, offset, start, length and piece_ids.
+    """One row per piece: docs' other columns, doc_tokens, sequence_id, offset, start, length and piece_ids (these replace
+    columns of docs with their names).
 
-    The partition offsets are broadcast: one row of two numbers per task of pass one.
+    The partition offsets are broadcast if there are MOST_BROADCAST of them at most (two numbers each), else joined by key.
     """
     tokens = tokenised(docs, path or default_path(), text)
-    at = tokens.join(F.broadcast(offsets(tokens)), "part").withColumn("_at", F.col("shift") + F.col("before"))
-    n, first = F.col("doc_tokens"), F.col("_at")
+    shifts = offsets(tokens)
+    at = tokens.join(F.broadcast(shifts) if shifts.count() <= MOST_BROADCAST else shifts, "part")
+    n, first = F.col("doc_tokens"), F.col("shift") + F.col("before")
 
     def piece(s):
         start = F.greatest(s * window - first, F.lit(0))
@@ -136,10 +144,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, text: s
         return F.struct(s.alias("sequence_id"), (first + start - s * window).alias("offset"), start.alias("start"), (end - start).alias("length"), ids.alias("piece_ids"))
 
     touched = F.sequence(F.floor(first / window), F.floor((first + n - 1) / window))
-    others = [c for c in docs.columns if c != text and c not in ("part", "before", "doc_tokens", "ids")]
-    pieces = at.select(*others, "doc_tokens", F.explode(F.transform(touched, piece)).alias("_p"))
-    new = ("sequence_id", "offset", "start", "length", "piece_ids")
-    return pieces.select(*(c for c in others if c not in new), "doc_tokens", *(F.col(f"_p.{c}").alias(c) for c in new))
+    pieces = at.select("row", "doc_tokens", F.explode(F.transform(touched, piece)).alias("piece"))
+    new = ("doc_tokens", "sequence_id", "offset", "start", "length", "piece_ids")
+    others = [c for c in docs.columns if c != text and c not in new]
+    return pieces.select(*(F.col(f"row.`{c}`").alias(c) for c in others), "doc_tokens", *(F.col(f"piece.{c}").alias(c) for c in new[1:]))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
