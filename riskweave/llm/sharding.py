@@ -1,17 +1,23 @@
 """Sharding: best-fit-decreasing bin packing of indivisible groups of documents.
 
-Groups are texts with all their copies. Group sizes are summed per group on the executors and counted in size classes
-of a relative width of 1/256 (at most 14,600 classes whatever the input), so that the packing on the driver sees a
-bounded table and still places every group: groups of a class are interchangeable. Largest classes enter first, each
-group going to the bin with the tightest remaining capacity that holds it, found in a balanced tree. The placement is
-carried back as runs of ranks within a class. Groups with over a thousandth of the rows (there are at most a thousand)
-are joined by broadcast; the rest by key, so that a hot group is never one task's.
+Groups are texts with all their copies. Group sizes are summed per group on the executors. The EXACT largest groups are
+packed one by one at their own sizes; the others are counted in size classes of a relative width of 1/256 (at most 14,600
+classes whatever the input), so that the packing on the driver sees a bounded table and still places every group: groups
+of a class are interchangeable. Largest sizes enter first, each group going to the bin with the tightest remaining
+capacity that holds it, found in a balanced tree. The placement is carried back as runs of ranks within a class. Groups
+with over a thousandth of the rows (there are at most a thousand) are joined by broadcast; the rest by key, so that a hot
+group is never one task's.
+
+A class stands for its mean size when shards are filled evenly, so that a shard's load is off by the deviations of the
+groups that it draws from the classes, each under 1/256 of a group; for its largest size when a capacity must hold, so
+that no bin overflows and at most 1/256 of a bin stays empty for it.
 
 pack(capacity=...) opens as few bins of that capacity as the method finds; pack(shards=n) looks for the smallest
 capacity that n bins suffice for, after groups larger than an even share have got bins of their own.
 
 Defined cases: a null text counts as an empty one (one byte, crc 0) and shares its group; repeated rows each get a slot;
-ties (equal sizes) go by the group's digest; an empty table gives no rows; other columns are not looked at.
+very long texts are groups of their size, which may exceed an even share and then have a shard each; ties (equal sizes) go by
+the group's digest; an empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from .base import slots, stored, table
 
 SHARDS = 8
 HOT_SHARE = 1000
+EXACT = 10_000
 
 
 class CapacityTree:
@@ -132,25 +139,31 @@ def size_class(size: str) -> F.Column:
 
 
 def pack(rows: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
-    """rows (key, size, row, ...) with an int shard: equal keys share one."""
+    """rows (key, size, row, ...) with an int shard: equal keys share one. The EXACT largest groups and the classes' rows are broadcast."""
     spark = rows.sparkSession
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"))
     groups = stored(groups.withColumn("class", size_class("bytes")), "groups")
-    per_class = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.avg("bytes")).alias("mean"), F.max("bytes").alias("most"), F.sum("copies").alias("copies")).collect()
-    total = sum(r["copies"] for r in per_class)
+    most = groups.orderBy(F.desc("bytes"), "key").limit(EXACT).select("key", "bytes").collect()
+    large = spark.createDataFrame([(r["key"], i) for i, r in enumerate(most)], "key binary, place int")
+    rest = groups.join(F.broadcast(large), "key", "left_anti")
+    per_class = rest.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.avg("bytes")).alias("mean"), F.max("bytes").alias("most")).collect()
+    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    sizes = [(-1 - i, r["bytes"], 1) for i, r in enumerate(most)]  # classes of their own
     if capacity is not None:
-        runs, _ = best_fit_decreasing([(r["class"], r["most"], r["n"]) for r in per_class], capacity)
+        runs, _ = best_fit_decreasing(sizes + [(r["class"], r["most"], r["n"]) for r in per_class], capacity)
     else:
-        runs = pack_evenly([(r["class"], r["mean"], r["n"]) for r in per_class], shards or SHARDS)
+        runs = pack_evenly(sizes + [(r["class"], r["mean"], r["n"]) for r in per_class], shards or SHARDS)
     by_class = defaultdict(lambda: ([], []))
     at = defaultdict(int)
     for cls, own, k in runs:
         by_class[cls][0].append(at[cls])
         by_class[cls][1].append(own)
         at[cls] += k
-    placed = spark.createDataFrame([(c, *x) for c, x in by_class.items()], "class long, starts array<long>, bins array<int>")
-    ranked = slots(groups, "class", ["key"], ["key"], "rank").join(F.broadcast(placed), "class")
+    own_bins = spark.createDataFrame([(r["key"], by_class[-1 - i][1][0]) for i, r in enumerate(most)], "key binary, shard int")
+    placed = spark.createDataFrame([(c, *x) for c, x in by_class.items() if c >= 0], "class long, starts array<long>, bins array<int>")
+    ranked = slots(rest, "class", ["key"], ["key"], "rank").join(F.broadcast(placed), "class")
     of_group = ranked.select("key", "copies", F.element_at("bins", F.size(F.filter("starts", lambda s: s <= F.col("rank")))).alias("shard"))
+    of_group = of_group.unionByName(groups.select("key", "copies").join(F.broadcast(own_bins), "key"))
     of_group = stored(of_group, "placement")
     hot = F.col("copies") * HOT_SHARE > total
     first = rows.join(F.broadcast(of_group.where(hot).select("key", F.col("shard").alias("_hot"))), "key", "left")
