@@ -6,10 +6,11 @@ longest such chain, in base symbols, is the list's sufficient lookahead. The tra
 tokens that end at least that far before the window's edge, and goes on from the last of them, so that its memory does
 not grow with the word. Words within a window, nearly all, are merged at once and kept in a table of bounded size.
 
-Decoding is an incremental state machine from ids over bytes to text; a file without a decoder writes the token
-strings, separated by spaces.
+Texts go through in steps of STEP characters, cut at white space (a longer run without any is one step), and their ids are
+handed on step by step. Decoding is an incremental state machine from ids over bytes to text; a file without a decoder
+writes the token strings, separated by spaces.
 
-Defined cases: a null text counts as empty and has no tokens; special tokens spelled out in a text are those tokens, as
+Defined cases: a null text counts as empty and has no tokens; an empty table gives no rows; special tokens spelled out in a text are those tokens, as
 the tokenizers library has it; rows are independent; columns of the input named like an output are replaced.
 """
 
@@ -34,6 +35,8 @@ from tokenizers import Tokenizer
 from .base import add_columns, table
 
 KEPT = 400_000  # words that a worker keeps
+STEP = 1 << 16  # characters that are encoded at a time
+CUT = re.compile("[ \\t\\n\\r]")
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the tokenizer
 RARE = re.compile("[^\0-\u024f]")
 SPACE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
@@ -179,13 +182,23 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if "<|" not in text:
-            return b"".join(self._plain(text))
-        out = []
-        for i, part in enumerate(self.special.split(text)):
-            out += [struct.pack("<I", self.merges.special[part])] if i % 2 else self._plain(part)
-        return b"".join(out)
+        return b"".join(self.stream(text))
+
+    def stream(self, text: str | None, step: int = STEP) -> Iterator[bytes]:
+        """The same ids in pieces, each of about `step` characters up to the next white space, as nothing reaches over it."""
+        text, at = text or "", 0
+        while at < len(text):
+            end = at + step
+            if end < len(text):
+                cut = CUT.search(text, end)
+                end = cut.start() if cut else len(text)
+            part = text[at:end] if at or end < len(text) else text
+            at = end
+            if "<|" not in part:
+                yield b"".join(self._plain(part))
+                continue
+            for i, piece in enumerate(self.special.split(part)):
+                yield struct.pack("<I", self.merges.special[piece]) if i % 2 else b"".join(self._plain(piece))
 
 
 class Decoder:
@@ -250,19 +263,21 @@ DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass: each text is encoded, its ids are decoded, and only digests leave the worker."""
+    """One pass: each text's ids are hashed and decoded as they come, and only digests leave the worker."""
     path = default_path()
 
     def run(texts):
         e, n, ids, back = encoder(path), [], [], []
         for t in texts:
-            packed = e.encode(t)
-            n.append(len(packed) // 4)
-            ids.append(hashlib.sha256(packed).hexdigest())
-            h = hashlib.sha256()
-            for piece in decode(e.merges, packed):
-                h.update(piece.encode())
-            back.append(h.hexdigest())
+            count, h, g, d = 0, hashlib.sha256(), hashlib.sha256(), Decoder(e.merges)
+            for packed in e.stream(t):
+                h.update(packed)
+                count += len(packed) // 4
+                g.update(d.feed(np.frombuffer(packed, "<u4").tolist()).encode())
+            g.update(d.finish().encode())
+            n.append(count)
+            ids.append(h.hexdigest())
+            back.append(g.hexdigest())
         return n, ids, back
 
     return add_columns(table(spark, sf_dir, "documents", "doc_id", "text"), ["text"], DIGESTS, run).drop("text")
