@@ -41,6 +41,7 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity).cast("int") - 1
 
 
+# The wording of labels and hovers.
 def region_label(severity: Column, depth: Column, lines: Column) -> Column:
     return F.format_string("⚠ Risk: %s · depth %d · %d lines", severity, depth, lines)
 

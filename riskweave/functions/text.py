@@ -48,6 +48,7 @@ def sentence(ranked: Column, dominant: Column, partner: Column) -> Column:
     return F.when(dominant.isNull(), f"Not enough history to attribute this score. {CAVEAT}").otherwise(because)
 
 
+# The wording of activity, signals, partners and hints.
 def activity(freq: Column, authors: Column, ownership: Column, coupling: Column, churn: Column) -> Column:
     by = F.concat(F.lit("Changed "), freq.cast("string"), F.lit("× by "), authors.cast("string"), F.when(authors == 1, " author").otherwise(" authors"))
     owned = F.when(ownership >= 0.6, "fragmented ownership").when(ownership >= 0.3, "shared ownership")

@@ -78,9 +78,10 @@ def by_severity(found: DataFrame) -> DataFrame:
 
 
 def at_position(positions: DataFrame, found: DataFrame, severity: str = "medium") -> DataFrame:
-    """positions (repo, path, line) that fall in a region at or over a severity, with the best such region."""
-    r = at_least(found, severity)
-    on = (positions["repo"] == r["repo"]) & (positions["path"] == r["path"]) & positions["line"].between(r["start_line"], r["end_line"])
-    hit = positions.join(r, on).select(positions["*"], r["start_line"], r["end_line"], r["score"], r["severity"], r["reasons"])
-    w = W.partitionBy("repo", "path", "line").orderBy(F.desc("score"), "start_line")
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """positions (repo, path, line, ...) that fall in a region at or over a severity, each with the best such region; repeats stay."""
+    r = at_least(found, severity).select("repo", "path", F.struct("start_line", "end_line", "score", "severity", "reasons").alias("_region"))
+    numbered = positions.withColumn("_place", F.monotonically_increasing_id())
+    on = (numbered["repo"] == r["repo"]) & (numbered["path"] == r["path"]) & numbered["line"].between(r["_region.start_line"], r["_region.end_line"])
+    hit = numbered.join(r, on).select(numbered["*"], "_region")
+    w = W.partitionBy("repo", "path", "_place").orderBy(F.desc("_region.score"), "_region.start_line")
+    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_place").select(*positions.columns, "_region.*")

@@ -19,6 +19,8 @@ _CORE = " + ".join(f"norm_{s} * {WEIGHTS[s]}::DOUBLE" for s in SIGNALS)
 _SHARES = ", ".join(f"CASE WHEN core > 0 THEN norm_{s} * {WEIGHTS[s]}::DOUBLE / core ELSE 0.0::DOUBLE END share_{s}" for s in SIGNALS)
 _DOMINANT = " ".join(f"WHEN share_{s} = greatest({', '.join(f'share_{x}' for x in SIGNALS)}) THEN '{s}'" for s in SIGNALS)
 _LIST = ", ".join(f"struct_pack(minus := -share_{s}, place := {i}, signal := '{s}', phrase := '{PHRASES[s]}')" for i, s in enumerate(SIGNALS))
+_PART = lambda n: f"concat('src/part_', {n} % 20, '/file_', {n}, '.ts')"
+_REASONS = "concat_ws(', ', CASE WHEN max_depth >= 5 THEN 'deeply nested' ELSE 'nested' END || ' (depth ' || max_depth || ')', CASE WHEN line_count >= 20 THEN 'long block (' || line_count || ' lines)' END)"
 
 CTES: dict[str, str] = {
     "commits": """SELECT c_mktsegment AS repo, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate DESC, o_orderkey DESC) AS walk_seq, o_orderkey AS sha,
@@ -27,11 +29,11 @@ CTES: dict[str, str] = {
              WHEN o_orderpriority = '2-HIGH' THEN 'prefix the config keys' WHEN o_orderpriority = '3-MEDIUM' THEN 'Revert "fix the parser bug"' ELSE 'add dark mode toggle' END AS subject, o_orderkey % 10 = 0 AS is_merge
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "touches": f"""SELECT m.repo, m.walk_seq, l_linenumber AS row_no, m.sha, m.author, m.author_date, m.author_ts, m.subject, {BUGFIX} AS is_bugfix,
-        concat(CASE p_type WHEN 'PROMO' THEN 'dist/' WHEN 'LARGE' THEN 'lib/core/' ELSE concat('src/', lower(p_type), '/') END, replace(lower(p_brand), '#', '_'), '.ts') AS path,
+        CASE WHEN l_linenumber = 1 THEN {_PART('l_partkey')} ELSE concat(CASE p_type WHEN 'PROMO' THEN 'dist/' WHEN 'LARGE' THEN 'lib/core/' ELSE concat('src/', lower(p_type), '/') END, replace(lower(p_brand), '#', '_'), '.ts') END AS path,
         CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS deleted FROM lineitem JOIN commits m ON l_orderkey = m.sha JOIN part ON l_partkey = p_partkey""",
-    "files": """SELECT f.repo, f.path, array_to_string(list_transform(string_split(text, chr(10)), lambda l: repeat('    ', length(l) % 7) || l), chr(10)) AS content
-        FROM (SELECT repo, path, row_number() OVER (ORDER BY repo, path) - 1 AS n FROM (SELECT DISTINCT repo, path FROM touches) t) f JOIN documents ON doc_id = n""",
-    "changes": """SELECT repo AS change_id, repo, path, length(path) AS pos FROM (SELECT DISTINCT repo, path FROM touches WHERE walk_seq <= 20 UNION ALL SELECT DISTINCT repo, 'src/new/file.ts' FROM touches WHERE walk_seq = 1) t""",
+    "files": f"""SELECT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][doc_id % 5 + 1] AS repo, {_PART('doc_id')} AS path,
+        array_to_string(list_transform(string_split(text, chr(10)), lambda l: repeat('    ', length(l) % 7) || l), chr(10)) AS content FROM documents""",
+    "changes": "SELECT change_id, repo, path, length(path) AS pos FROM (SELECT DISTINCT CAST(sha AS VARCHAR) AS change_id, repo, path FROM touches UNION ALL SELECT DISTINCT CAST(sha AS VARCHAR), repo, 'src/new/file.ts' FROM touches) t",
     "refs": "SELECT repo, arg_min(author_ts, walk_seq) AS ref_ts FROM commits WHERE author_ts IS NOT NULL GROUP BY repo",
     "aged": "SELECT t.*, greatest(epoch_ms(ref_ts) - epoch_ms(author_ts), 0) AS age FROM touches t JOIN refs USING (repo)",
     "file_author": f"""SELECT repo, path, author, count(*) AS commits, count(*) FILTER (is_bugfix) AS bugfix_commits, sum(added)::BIGINT AS lines_added, sum(deleted)::BIGINT AS lines_deleted,
@@ -41,7 +43,7 @@ CTES: dict[str, str] = {
         sum(recency_weight) AS recency_weight, sum(recent_commits)::BIGINT AS recent_commits, max(commits) / sum(commits)::DOUBLE AS top_share, 1 - max(commits) / sum(commits)::DOUBLE AS fragmentation, sum(bugfix_commits) / sum(commits)::DOUBLE AS bugfix_density FROM file_author GROUP BY ALL""",
     "minor": "SELECT repo, path, count(*) FILTER (f.commits / c.commits::DOUBLE < 0.05::DOUBLE) AS minor_contributors FROM file_author f JOIN churn_all c USING (repo, path) GROUP BY ALL",
     "churn": f"SELECT * FROM churn_all JOIN minor USING (repo, path) JOIN seen USING (repo, path) WHERE NOT ({EXCLUDED})",
-    "commit_paths": "SELECT * FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) d JOIN (SELECT repo, walk_seq FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) x GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8) s USING (repo, walk_seq)",
+    "commit_paths": "SELECT * FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) d JOIN (SELECT repo, walk_seq FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) x GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50) s USING (repo, walk_seq)",
     "co_change": f"""SELECT a.repo, a.path AS path_a, b.path AS path_b, count(*) AS shared_commits FROM (SELECT * FROM commit_paths WHERE NOT ({EXCLUDED})) a JOIN (SELECT * FROM commit_paths WHERE NOT ({EXCLUDED})) b ON a.repo = b.repo AND a.walk_seq = b.walk_seq AND a.path < b.path GROUP BY ALL""",
     "strong": "SELECT p.*, shared_commits / greatest(coalesce(a.commits, 0), coalesce(b.commits, 0))::DOUBLE AS strength FROM co_change p LEFT JOIN churn a ON a.repo = p.repo AND a.path = path_a LEFT JOIN churn b ON b.repo = p.repo AND b.path = path_b WHERE shared_commits >= 5 AND greatest(coalesce(a.commits, 0), coalesce(b.commits, 0)) > 0",
     "links": "SELECT repo, path_a AS path, path_b AS partner, strength, shared_commits FROM strong UNION ALL SELECT repo, path_b, path_a, strength, shared_commits FROM strong",
@@ -61,18 +63,6 @@ CTES: dict[str, str] = {
     "set_": "SELECT change_id, repo, lower(path) AS lower_path, arg_min(path, (pos, path)) AS path, min(pos) AS pos FROM changes GROUP BY ALL",
 }
 _ORDER = list(CTES)
-_PART = lambda n: f"concat('src/part_', {n} % 20, '/file_', {n}, '.ts')"
-
-#: The table expressions of the views that keep all rows (testdata.Whole).
-WHOLE: dict[str, str] = CTES | {
-    "touches": f"""SELECT m.repo, m.walk_seq, l_linenumber AS row_no, m.sha, m.author, m.author_date, m.author_ts, m.subject, {BUGFIX} AS is_bugfix,
-        CASE WHEN l_linenumber = 1 THEN {_PART('l_partkey')} ELSE concat(CASE p_type WHEN 'PROMO' THEN 'dist/' WHEN 'LARGE' THEN 'lib/core/' ELSE concat('src/', lower(p_type), '/') END, replace(lower(p_brand), '#', '_'), '.ts') END AS path,
-        CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS deleted FROM lineitem JOIN commits m ON l_orderkey = m.sha JOIN part ON l_partkey = p_partkey""",
-    "files": f"""SELECT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][doc_id % 5 + 1] AS repo, {_PART('doc_id')} AS path,
-        array_to_string(list_transform(string_split(text, chr(10)), lambda l: repeat('    ', length(l) % 7) || l), chr(10)) AS content FROM documents""",
-    "changes": "SELECT change_id, repo, path, length(path) AS pos FROM (SELECT DISTINCT CAST(sha AS VARCHAR) AS change_id, repo, path FROM touches UNION ALL SELECT DISTINCT CAST(sha AS VARCHAR), repo, 'src/new/file.ts' FROM touches) t",
-    "commit_paths": "SELECT * FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) d JOIN (SELECT repo, walk_seq FROM (SELECT DISTINCT repo, walk_seq, path FROM touches) x GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50) s USING (repo, walk_seq)",
-}
 
 
 def sql(select: str, ctes: dict[str, str] = CTES) -> str:
@@ -99,14 +89,14 @@ _CHURN = f"repo, path, commits, bugfix_commits, lines_added, lines_deleted, n_au
 SELECTS: dict[str, str] = {
     "s1_log_dump": "SELECT repo, walk_seq, author, subject, is_bugfix, path, added, deleted, count(*) AS n FROM touches GROUP BY ALL",
     "s2_walk_order": "SELECT repo, sha, walk_seq FROM commits",
-    "s3_text_contents": "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 20000 AND doc_id % 7 <> 0",
+    "s3_text_contents": "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 1500000 AND NOT contains(text, chr(0))",
     "s4_changed_paths": "SELECT change_id, repo, path FROM changes",
     "s5_snapshot": f"SELECT repo, path, commits, bugfix_commits, lines_added, lines_deleted, n_authors, first_seen, last_seen, recent_commits, {_ROUNDED('recency_weight')} FROM churn",
     "s6_json_report": f"SELECT repo, rank, path, score, tier, trend, dominant, core_pct, sentence AS summary, {_ROUNDED('share_freq', 'share_coupling')} FROM explained",
     "s7_markdown_report": f"""SELECT repo, CAST(rank + 6 AS INT) AS line_no, {_ROW} AS line FROM explained UNION ALL SELECT repo, CAST(i AS INT), CASE i WHEN 1 THEN '# Hotspot Risk Report' WHEN 3 THEN n || CASE WHEN n = 1 THEN ' scored file' ELSE ' scored files' END || ', ranked by risk (relative within this repo — not a literal "% buggy").' WHEN 5 THEN '{_HEADS}' WHEN 6 THEN '{_RULE}' ELSE '' END FROM (SELECT repo, count(*) AS n FROM risk GROUP BY repo) g, range(1, 7) r(i) UNION ALL SELECT repo, CAST(count(*) + 7 AS INT), '' FROM risk GROUP BY repo""",
     "p1_since_window": "SELECT repo, walk_seq, sha FROM commits WHERE author_ts >= TIMESTAMP '1998-08-02' - INTERVAL 24 MONTH",
     "p2_without_merges": "SELECT repo, count(*) AS n FROM commits WHERE NOT is_merge GROUP BY repo",
-    "p3_rename": r"SELECT CASE row_no % 3 WHEN 0 THEN replace(path, '/', '/sub/') ELSE path END AS path, count(*) AS n FROM touches WHERE path LIKE 'src/%' GROUP BY ALL",
+    "p3_rename": r"SELECT CASE row_no % 3 WHEN 0 THEN replace(path, '/', '/sub/') ELSE path END AS path, count(*) AS n FROM touches GROUP BY ALL",
     "p4_repo_key": "SELECT path, count(*) AS n FROM touches GROUP BY path",
     "p5_line_count": "SELECT repo, sum(CASE WHEN row_no % 3 = 0 THEN 0 ELSE added END)::BIGINT AS added FROM touches GROUP BY repo",
     "p6_exclusion": f"SELECT path, count(*) AS n FROM touches WHERE NOT ({EXCLUDED}) GROUP BY path",
@@ -122,13 +112,13 @@ SELECTS: dict[str, str] = {
     "a12_coupling_signal": f"SELECT repo, path, round(max(strength), {R}) AS coupling FROM links GROUP BY ALL",
     "a13_normalised": f"SELECT repo, path, {_ROUNDED(*(f'norm_{s}' for s in RAW))} FROM norm",
     "a14_complexity": f"SELECT repo, path, total, {_ROUNDED('mean')}, max, lines FROM complexity",
-    "a15_folder_tree": """SELECT repo, path, parent_path, name, depth, is_file, area, score, row_number() OVER (PARTITION BY repo, parent_path ORDER BY area DESC, name, is_file) AS sibling_rank FROM (SELECT repo, array_to_string(s[1:d], '/') AS path, CASE WHEN d > 0 THEN array_to_string(s[1:d - 1], '/') END AS parent_path, CASE WHEN d > 0 THEN s[d] ELSE '' END AS name, d AS depth, d = len(s) AS is_file, sum(greatest(churn, 1))::DOUBLE AS area, max(score) AS score FROM (SELECT *, string_split(path, '/') AS s, unnest(range(0, len(string_split(path, '/')) + 1))::INT AS d FROM risk) x GROUP BY ALL) y""",
+    "a15_folder_tree": f"""SELECT repo, path, parent_path, name, depth, is_file, area, score, {_TIER('score')} AS tier, row_number() OVER (PARTITION BY repo, parent_path ORDER BY area DESC, name, is_file) AS sibling_rank FROM (SELECT repo, array_to_string(s[1:d], '/') AS path, CASE WHEN d > 0 THEN array_to_string(s[1:d - 1], '/') END AS parent_path, CASE WHEN d > 0 THEN s[d] ELSE '' END AS name, d AS depth, d = len(s) AS is_file, sum(greatest(churn, 1))::DOUBLE AS area, max(score) AS score FROM (SELECT *, string_split(path, '/') AS s, unnest(range(0, len(string_split(path, '/')) + 1))::INT AS d FROM risk) x GROUP BY ALL) y""",
     "a16_by_severity": "SELECT repo, path, severity, string_agg(start_line || '-' || end_line, ',' ORDER BY region_rank) AS ranges FROM regions GROUP BY ALL",
     "a17_confidence": f"SELECT repo, count(*) AS files, max(score) AS top_score, CASE WHEN count(*) < 5 OR max(score) < 15 THEN '{LOW_CONFIDENCE}' END AS note FROM risk GROUP BY repo",
     "w1_partners": f"SELECT repo, path, partner_rank, partner, shared_commits, {_ROUNDED('strength')} FROM partners",
     "w2_ranking": f"SELECT repo, path, score, tier, trend, rank, {_ROUNDED('core')} FROM risk",
-    "w3_regions": "SELECT repo, path, start_line, end_line, max_depth, line_count, score, severity, region_rank FROM regions",
-    "w3_regions_by_window": "SELECT repo, path, start_line, end_line, max_depth, line_count, score, severity, region_rank FROM regions",
+    "w3_regions": f"SELECT repo, path, start_line, end_line, max_depth, line_count, score, severity, {_REASONS} AS reasons, region_rank FROM regions",
+    "w3_regions_by_window": f"SELECT repo, path, start_line, end_line, max_depth, line_count, score, severity, {_REASONS} AS reasons, region_rank FROM regions",
     "w6_normalised_by_window": f"SELECT repo, path, {_ROUNDED('norm_churn')} FROM norm",
     "l1_top_files": "SELECT repo, path, score, rank FROM risk WHERE rank <= 20",
     "l2_newest_commits": "SELECT repo, count(*) AS n, sum(added)::BIGINT AS added FROM touches WHERE walk_seq <= 50 GROUP BY repo",
@@ -136,7 +126,10 @@ SELECTS: dict[str, str] = {
     "j4_changed_with_score": "SELECT change_id, repo, path, score, tier, row_number() OVER (PARTITION BY change_id ORDER BY score DESC, path) AS place FROM set_ JOIN (SELECT repo, path, score, tier FROM risk) r USING (repo, path)",
     "j5_changed_without_history": "SELECT change_id, repo, path FROM set_ ANTI JOIN risk USING (repo, path)",
     "j6_hints": f"SELECT s.change_id, s.repo, s.path, p.partner, shared_commits, round(strength, {R}) AS strength, 'usually changes with ' || s.path || ' (' || CAST(CAST(round(strength * 100) AS INT) AS VARCHAR) || '%, ' || shared_commits || '×) — not in your working set' AS hint FROM set_ s JOIN partners p USING (repo, path) WHERE partner_rank = 1 AND strength >= 0.02::DOUBLE AND NOT EXISTS (SELECT 1 FROM set_ q WHERE q.change_id = s.change_id AND q.repo = s.repo AND lower(q.path) = lower(p.partner))",
-    "j7_position": f"SELECT l.repo, l.path, l.line, start_line, end_line, score, severity FROM lines l JOIN regions r ON l.repo = r.repo AND l.path = r.path AND l.line BETWEEN start_line AND end_line WHERE l.line % 5 = 0 AND {_RANK('severity')} >= 1",
+    "j7_position": f"SELECT l.repo, l.path, l.line, start_line, end_line, score, severity, {_REASONS} AS reasons FROM (SELECT repo, path, line FROM lines UNION ALL SELECT repo, path, 0 FROM files) l JOIN regions r ON l.repo = r.repo AND l.path = r.path AND l.line BETWEEN start_line AND end_line WHERE {_RANK('severity')} >= 1",
+    "j7_regions": f"SELECT repo, path, start_line AS line, '⚠ Risk: ' || severity || ' · depth 0 · ' || line_count || ' lines' AS label FROM regions WHERE {_RANK('severity')} >= 1",
+    "j8_change_review": f"SELECT change_id, repo, path, 'scored' AS kind, CAST(score AS VARCHAR) AS what FROM set_ JOIN (SELECT repo, path, score FROM risk) r USING (repo, path) UNION ALL SELECT change_id, repo, path, 'new', NULL FROM set_ ANTI JOIN risk USING (repo, path) UNION ALL SELECT s.change_id, s.repo, s.path, 'hint', p.partner FROM set_ s JOIN partners p USING (repo, path) WHERE partner_rank = 1 AND strength >= 0.02::DOUBLE AND NOT EXISTS (SELECT 1 FROM set_ q WHERE q.change_id = s.change_id AND q.repo = s.repo AND lower(q.path) = lower(p.partner))",
+    "c14_names": "SELECT DISTINCT repo, path, string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS INT) AS segments FROM touches",
     "u2_working_set": "SELECT change_id, repo, path, pos FROM set_",
     "u3_commit_paths": "SELECT repo, walk_seq, path FROM commit_paths",
     "c7_explanation": f"SELECT repo, path, dominant, core_pct, partner, line, sentence, {_ROUNDED(*(f'share_{s}' for s in SIGNALS))} FROM explained",
@@ -146,12 +139,10 @@ SELECTS: dict[str, str] = {
 }
 ORACLES: dict[str, str] = {k: sql(v) for k, v in SELECTS.items()}
 
-#: Queries that run over the whole views as well, under their name and _whole.
-ON_WHOLE = (
-    "w3_regions", "w3_regions_by_window", "a14_complexity", "p9_min_severity", "a16_by_severity", "c13_region_texts", "w2_ranking", "a13_normalised", "a15_folder_tree", "a17_confidence", "l1_top_files", "l3_order", "c10_activity",
-    "a10_co_change", "a11_links", "a12_coupling_signal", "p7_pair_exclusion", "u3_commit_paths", "w1_partners", "c7_explanation", "c15_partner_labels", "s6_json_report", "s7_markdown_report",
-    "s4_changed_paths", "u2_working_set", "j4_changed_with_score", "j5_changed_without_history", "j6_hints", "p10_lookup",
-)
-ORACLES |= {f"{k}_whole": sql(SELECTS[k], WHOLE) for k in ON_WHOLE}
-ORACLES["s3_text_contents_whole"] = "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 1500000 AND NOT contains(text, chr(0))"
-ORACLES["j7_position_whole"] = sql(f"SELECT l.repo, l.path, l.line, start_line, end_line, score, severity FROM lines l JOIN regions r ON l.repo = r.repo AND l.path = r.path AND l.line BETWEEN start_line AND end_line WHERE {_RANK('severity')} >= 1", WHOLE)
+#: The scan of a window has the same expressions over the window's touches.
+_WINDOW = CTES | {
+    "touches": CTES["touches"] + " WHERE m.author_ts >= TIMESTAMP '1998-08-02' - INTERVAL 24 MONTH",
+    "refs": "SELECT repo, arg_min(author_ts, walk_seq) AS ref_ts FROM touches WHERE author_ts IS NOT NULL GROUP BY repo",
+    "files": CTES["files"] + " WHERE false",
+}
+ORACLES["p1_scan_window"] = sql("SELECT repo, path, freq, churn, rank, score FROM risk", _WINDOW)

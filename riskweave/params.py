@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from datetime import datetime
 
 # Signal order, weights and thresholds.
 SIGNALS = ("freq", "churn", "recency", "authors", "ownership", "coupling")
@@ -71,11 +72,12 @@ def severity(value) -> str:
 
 @dataclass(frozen=True)
 class Params:
-    """Parameters of a scan."""
+    """Parameters of a scan as they are; Params.of() replaces what is out of range by the default."""
 
     weights: dict = field(default_factory=lambda: dict(WEIGHTS))
     thresholds: dict = field(default_factory=lambda: dict(THRESHOLDS))
     since_months: int = 0
+    as_of: str | datetime | None = None  # the end of the history window
     exclude: tuple = EXCLUDE
     max_files_per_commit: int = 50
     min_support: int = 5

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_excluded
 from ..operators import churn, code, coupling, explain, history, review, risk
 from ..params import Params
+from ..sources.shared import stored
 
 
 def churn_of(touches: DataFrame, p: Params = Params(), commits: DataFrame | None = None) -> DataFrame:
@@ -21,15 +22,29 @@ def links_of(touches: DataFrame, files: DataFrame, p: Params = Params()) -> Data
     return coupling.strengths(coupling.co_change(touches, p.max_files_per_commit, p.exclude), files, p.min_support)
 
 
+def in_window(touches: DataFrame, p: Params = Params(), commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Touches and commits of the history window. Touches without a commit table are filtered by their own dates."""
+    if not p.since_months:
+        return touches, commits
+    if p.as_of is None:
+        raise ValueError("a history window needs the date it ends at: Params(as_of=...)")
+    end = F.lit(p.as_of).cast("timestamp")
+    if commits is None:
+        return history.since(touches, p.since_months, end), None
+    commits = history.since(commits, p.since_months, end)
+    return history.touches_of(touches, commits), commits
+
+
 def scan(touches: DataFrame, contents: DataFrame | None = None, p: Params = Params(), commits: DataFrame | None = None) -> DataFrame:
-    """The ranked and explained result: one row per file with history."""
-    if commits is not None and p.since_months:
-        commits = history.since(commits, p.since_months, F.current_timestamp())
-        touches = history.touches_of(touches, commits)
-    files = churn_of(touches, p, commits)
-    links = links_of(touches, files, p)
+    """The ranked and explained result: one row per file with history.
+
+    Churn and links are stored in the shared folder, so that the touches are read twice and nothing is derived twice.
+    """
+    touches, commits = in_window(touches, p, commits)
+    files = stored(churn_of(touches, p, commits), "churn")
+    links = stored(links_of(touches, files, p), "links")
     cx = None if contents is None else code.complexity(contents.join(files.select("repo", "path"), ["repo", "path"], "left_semi"), p.spaces_per_indent)
-    norm = risk.normalised(risk.signals(files, cx, coupling.coupling_signal(links)))
+    norm = risk.normalised(stored(risk.signals(files, cx, coupling.coupling_signal(links)), "signals"))
     out = risk.ranked(risk.scored(norm, p.weights, p.thresholds))
     return explain.explained(out, coupling.partners(links, p.top_k), p.weights) if p.explain else out
 

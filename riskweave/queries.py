@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +11,12 @@ from .functions import commits as fm
 from .functions import paths as fp
 from .functions import text as ft
 from .operators import churn, code, coupling, explain, history, review, risk, tree
-from .oracles import ON_WHOLE
 from .params import SIGNALS, Params
 from .plans import scan
 from .sources import report, snapshot, tables
+from .sources.shared import new_folder, stored
 
-P = Params(max_files_per_commit=td.MEGA)
+P = Params()
 QUERIES = {}
 
 
@@ -33,44 +29,47 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(root, f"riskweave-{name}-{uuid.uuid4().hex[:12]}")
-
-
-def churn_of(spark, sf):
-    return scan.churn_of(td.touches(spark, sf), P, td.commits(spark, sf))
+def churn_of(spark, sf, touches=None):
+    return scan.churn_of(td.touches(spark, sf) if touches is None else touches, P, td.commits(spark, sf))
 
 
-def params(sf) -> Params:
-    """The whole views go with the default limit of files per commit."""
-    return Params() if isinstance(sf, td.Whole) else P
+def history_of(spark, sf):
+    """Churn and links, stored: touches are derived once and read twice."""
+    t = stored(td.touches(spark, sf), "touches")
+    files = stored(churn_of(spark, sf, t), "churn")
+    return files, stored(scan.links_of(t, files, P), "links")
 
 
 def links_of(spark, sf):
-    return scan.links_of(td.touches(spark, sf), churn_of(spark, sf), params(sf))
+    return history_of(spark, sf)[1]
 
 
 def partners_of(spark, sf):
     return coupling.partners(links_of(spark, sf), P.top_k)
 
 
-def norm_of(spark, sf):
-    return risk.normalised(risk.signals(churn_of(spark, sf), code.complexity(td.files(spark, sf)), coupling.coupling_signal(links_of(spark, sf))))
+def norm_of(spark, sf, history=None):
+    files, links = history or history_of(spark, sf)
+    return risk.normalised(stored(risk.signals(files, code.complexity(td.files(spark, sf)), coupling.coupling_signal(links)), "signals"))
 
 
-def risk_of(spark, sf):
-    return risk.ranked(risk.scored(norm_of(spark, sf)))
+def risk_of(spark, sf, history=None):
+    return risk.ranked(risk.scored(norm_of(spark, sf, history)))
 
 
 def explained_of(spark, sf):
-    return explain.explained(risk_of(spark, sf), partners_of(spark, sf))
+    own = history_of(spark, sf)
+    return explain.explained(risk_of(spark, sf, own), coupling.partners(own[1], P.top_k))
 
 
 def regions_of(spark, sf):
     return code.regions(td.files(spark, sf))
 
 
+def with_reasons(regions):
+    return regions.withColumn("reasons", F.array_join("reasons", ", "))
+
+
 def set_of(spark, sf):
     return review.working_set(td.changes(spark, sf))
 
@@ -96,14 +95,6 @@ def s2_walk_order(spark, sf):
 
 @query
 def s3_text_contents(spark, sf):
-    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\0"), F.col("text"))).otherwise(F.col("text"))
-    d = td.table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("length"), F.encode(raw, "UTF-8").alias("content"))
-    return tables.text_contents(d, 20_000).select("doc_id", F.char_length("content").alias("n"))
-
-
-@query
-def s3_text_contents_whole(spark, sf):
-    """The unchanged table under the operator's own limits."""
     d = td.table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("length"), F.encode("text", "UTF-8").alias("content"))
     return tables.text_contents(d).select("doc_id", F.char_length("content").alias("n"))
 
@@ -116,7 +107,7 @@ def s4_changed_paths(spark, sf):
 
 @query
 def s5_snapshot(spark, sf):
-    path = shared_folder(spark, "snapshot")
+    path = new_folder(spark, "snapshot")
     snapshot.save(churn_of(spark, sf), path, F.concat(F.lit("head-"), "repo"))
     df = snapshot.load(spark, path, since_months=0)
     return rounded(df.select("repo", "path", "commits", "bugfix_commits", "lines_added", "lines_deleted", "n_authors", "first_seen", "last_seen", "recent_commits", "recency_weight"), "recency_weight")
@@ -124,7 +115,7 @@ def s5_snapshot(spark, sf):
 
 @query
 def s6_json_report(spark, sf):
-    path = shared_folder(spark, "report")
+    path = new_folder(spark, "report")
     snapshot.write_json(explained_of(spark, sf), path)
     schema = "repo string, rank int, path string, score int, tier string, trend string, explanation struct<shares:struct<freq:double,coupling:double>,dominant:string,corePct:int,summary:string>"
     df = spark.read.schema(schema).json(path).withColumns({"dominant": F.col("explanation.dominant"), "core_pct": F.col("explanation.corePct"), "summary": F.col("explanation.summary"), "share_freq": F.col("explanation.shares.freq"), "share_coupling": F.col("explanation.shares.coupling")})
@@ -148,11 +139,10 @@ def p2_without_merges(spark, sf):
 
 @query
 def p3_rename(spark, sf):
-    """Paths written as renames: in braces, with an empty side, and whole."""
-    t = td.touches(spark, sf).where("path LIKE 'src/%'")
-    kind, rest = F.col("row_no") % 3, F.substring_index("path", "/", -2)
-    written = F.when(kind == 0, F.concat(F.lit("src/{ => sub}/"), F.replace(rest, F.lit("/"), F.lit("/{ => sub}/")))).when(kind == 1, F.concat(F.lit("src/{old => }/"), rest)).otherwise(F.concat(F.lit("old/x.ts => "), F.col("path")))
-    return t.select(fp.resolve_rename(written).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    """Paths written as renames: in braces with an empty old or new side, and whole."""
+    kind, first, rest = F.col("row_no") % 3, F.substring_index("path", "/", 1), F.regexp_replace("path", "^[^/]*/", "")
+    written = F.when(kind == 0, F.replace("path", F.lit("/"), F.lit("/{ => sub}/"))).when(kind == 1, F.concat(first, F.lit("/{old => }/"), rest)).otherwise(F.concat(F.lit("old/x.ts => "), F.col("path")))
+    return td.touches(spark, sf).select(fp.resolve_rename(written).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -175,7 +165,7 @@ def p6_exclusion(spark, sf):
 @query
 def p7_pair_exclusion(spark, sf):
     """The limit counts excluded files, too; then pairs with an excluded end go."""
-    pairs = coupling.co_change(td.touches(spark, sf), params(sf).max_files_per_commit)
+    pairs = coupling.co_change(td.touches(spark, sf), P.max_files_per_commit)
     return pairs.where(~fp.is_excluded(F.col("path_a"), P.exclude) & ~fp.is_excluded(F.col("path_b"), P.exclude))
 
 
@@ -215,7 +205,7 @@ def a5_reference_date(spark, sf):
 
 @query
 def a10_co_change(spark, sf):
-    return coupling.co_change(td.touches(spark, sf), params(sf).max_files_per_commit, P.exclude)
+    return coupling.co_change(td.touches(spark, sf), P.max_files_per_commit, P.exclude)
 
 
 @query
@@ -241,7 +231,7 @@ def a14_complexity(spark, sf):
 
 @query
 def a15_folder_tree(spark, sf):
-    return tree.folder_tree(risk_of(spark, sf)).drop("tier")
+    return tree.folder_tree(risk_of(spark, sf))
 
 
 @query
@@ -267,12 +257,12 @@ def w2_ranking(spark, sf):
 
 @query
 def w3_regions(spark, sf):
-    return regions_of(spark, sf).drop("reasons")
+    return with_reasons(regions_of(spark, sf))
 
 
 @query
 def w3_regions_by_window(spark, sf):
-    return code.regions_by_window(td.files(spark, sf)).drop("reasons")
+    return with_reasons(code.regions_by_window(td.files(spark, sf)))
 
 
 @query
@@ -314,16 +304,40 @@ def j6_hints(spark, sf):
 
 @query
 def j7_position(spark, sf):
-    at = td.files(spark, sf).select("repo", "path", F.explode(F.sequence(F.lit(0), F.size(F.split("content", "\n")) - 1)).alias("line")).where("line % 5 = 0")
-    return code.at_position(at, regions_of(spark, sf)).drop("reasons")
+    """Every line of every file is looked up, the first of each file twice."""
+    lines = F.concat(F.array(F.lit(0)), F.sequence(F.lit(0), F.size(F.split("content", "\n")) - 1))
+    at = td.files(spark, sf).select("repo", "path", F.explode(lines).alias("line"))
+    return with_reasons(code.at_position(at, regions_of(spark, sf)))
+
+
+@query
+def j7_regions(spark, sf):
+    """The job of an editor: regions from the wanted severity on, found and labelled at their first lines."""
+    found = scan.code_regions(td.files(spark, sf), P)
+    return code.at_position(found.select("repo", "path", F.col("start_line").alias("line")), found, P.min_severity).select("repo", "path", "line", fc.region_label(F.col("severity"), F.lit(0), F.col("end_line") - F.col("start_line") + 1).alias("label"))
 
 
 @query
-def j7_position_whole(spark, sf):
-    """Every line of every file is looked up."""
-    sf = td.Whole(sf)
-    at = td.files(spark, sf).select("repo", "path", F.explode(F.sequence(F.lit(0), F.size(F.split("content", "\n")) - 1)).alias("line"))
-    return code.at_position(at, regions_of(spark, sf)).drop("reasons")
+def j8_change_review(spark, sf):
+    """All change sets at once: scored files, those without history and hints, one row for each."""
+    own = history_of(spark, sf)
+    scored, unknown, hints = scan.change_review(td.changes(spark, sf), stored(risk_of(spark, sf, own), "risk"), coupling.partners(own[1], P.top_k), Params(hint_floor=0.02))
+    kinds = (scored.select("change_id", "repo", "path", F.lit("scored").alias("kind"), F.col("score").cast("string").alias("what")), unknown.select("change_id", "repo", "path", F.lit("new").alias("kind"), F.lit(None).cast("string").alias("what")), hints.select("change_id", "repo", "path", F.lit("hint").alias("kind"), F.col("partner").alias("what")))
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+@query
+def p1_scan_window(spark, sf):
+    """The scan of the last 24 months, from touches alone: the window goes by the touches' own dates."""
+    p = Params(since_months=24, as_of="1998-08-02", explain=False)
+    return scan.scan(td.touches(spark, sf), None, p).select("repo", "path", "freq", "churn", "rank", "score")
+
+
+@query
+def c14_names(spark, sf):
+    """Base name and folder depth of every touched path."""
+    paths = td.touches(spark, sf).select("repo", "path").distinct()
+    return paths.select("repo", "path", fp.base_name(F.col("path")).alias("name"), F.size(fp.segments(F.col("path"))).alias("segments"))
 
 
 @query
@@ -335,7 +349,7 @@ def u2_working_set(spark, sf):
 
 @query
 def u3_commit_paths(spark, sf):
-    return coupling.commit_paths(td.touches(spark, sf), params(sf).max_files_per_commit)
+    return coupling.commit_paths(td.touches(spark, sf), P.max_files_per_commit)
 
 
 @query
@@ -362,10 +376,3 @@ def c13_region_texts(spark, sf):
 @query
 def c15_partner_labels(spark, sf):
     return partners_of(spark, sf).select("repo", "path", "partner_rank", ft.partner_label(F.col("strength"), F.col("partner")).alias("label"), F.concat(F.lit("co-changed "), F.col("shared_commits").cast("string"), F.lit("×")).alias("detail"))
-
-
-def on_whole(f):
-    return lambda spark, sf: f(spark, td.Whole(sf))
-
-
-QUERIES |= {f"{k}_whole": on_whole(QUERIES[k]) for k in ON_WHOLE}

@@ -4,30 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import cell, percent, trend_label, why_cell
 from ..params import SIGNALS
 
-# The report's title and column heads.
+# The report's title, note and column heads.
 TITLE = "# Hotspot Risk Report"
+NOTE = ', ranked by risk (relative within this repo — not a literal "% buggy").'
 HEADS = "| # | File | Score | Tier | Trend | Commits | Churn | Authors | Ownership | Coupling | Complexity |"
 RULE = "| - | ---- | ----: | ---- | ----- | ------: | ----: | ------: | --------: | -------: | ---------: |"
 
 
 def markdown(report: DataFrame, explain: bool = True) -> DataFrame:
-    """One row per line, by repo and line_no; rows of ranked files start at line 6."""
+    """One row per line, by repo and line_no; rows of ranked files start at line 7. One pass: the first file brings the head,
+    the last one the closing blank line, and the number of files is the last rank."""
     text = lambda c: F.col(c).cast("string")
     cells = [text("rank"), cell(F.col("path")), text("score"), F.col("tier"), trend_label(F.col("trend")), text("freq"), text("churn"), text("authors"), *(F.concat(percent(F.col(c)).cast("string"), F.lit("%")) for c in ("ownership", "coupling")), F.col("complexity").cast("bigint").cast("string")]
     if explain:
         own = F.coalesce(*(F.when(F.col("dominant") == s, F.col(f"shares.{s}")) for s in SIGNALS))
         cells.append(cell(why_cell(F.col("dominant"), own)))
-    rows = report.select("repo", (F.col("rank") + 6).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-    n = report.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
-    note = F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " scored file").otherwise(" scored files"), F.lit(', ranked by risk (relative within this repo — not a literal "% buggy").'))
-    head = F.array(F.lit(TITLE), F.lit(""), note, F.lit(""), F.lit(HEADS + (" Why |" if explain else "")), F.lit(RULE + (" ---- |" if explain else "")))
-    heads = n.select("repo", F.posexplode(head).alias("p", "line")).select("repo", (F.col("p") + 1).alias("line_no"), "line")
-    tail = n.select("repo", (F.col("n") + 7).cast("int").alias("line_no"), F.lit("").alias("line"))
-    return heads.unionByName(rows).unionByName(tail)
+    counted = report.withColumn("_n", F.max("rank").over(W.partitionBy("repo")))
+    n = F.col("_n")
+    note = F.concat(n.cast("string"), F.when(n == 1, " scored file").otherwise(" scored files"), F.lit(NOTE))
+    head = [F.lit(TITLE), F.lit(""), note, F.lit(""), F.lit(HEADS + (" Why |" if explain else "")), F.lit(RULE + (" ---- |" if explain else ""))]
+    line = lambda no, what: F.struct(no.cast("int").alias("line_no"), what.alias("line"))
+    none = F.array().cast("array<struct<line_no:int,line:string>>")
+    own_line = F.array(line(F.col("rank") + 6, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))))
+    first = F.when(F.col("rank") == 1, F.array(*(line(F.lit(i + 1), h) for i, h in enumerate(head)))).otherwise(none)
+    last = F.when(F.col("rank") == n, F.array(line(n + 7, F.lit("")))).otherwise(none)
+    return counted.select("repo", F.explode(F.concat(first, own_line, last)).alias("_l")).select("repo", "_l.*")
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:

@@ -37,7 +37,9 @@ def text_contents(files: DataFrame, max_bytes: int = MAX_BYTES, sniff: int = SNI
 def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(repo, path, content) of root/<repo>/<path>; larger files are never read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.split(F.col("path"), f"{root.rstrip('/').rsplit('/', 1)[-1]}/", 2)[1]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    inner = F.substr(F.col("path"), F.lit(len(whole.rstrip("/")) + 2))
     kept = text_contents(df, max_bytes)
     return kept.select(F.substring_index(inner, "/", 1).alias("repo"), F.regexp_replace(inner, "^[^/]*/", "").alias("path"), "content")
 

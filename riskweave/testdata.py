@@ -6,14 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MEGA = 8  # files per commit, low enough for the size limit to matter here
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-class Whole(str):
-    """A table folder whose views keep all rows: every document is a file, and the number of paths grows with the parts."""
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,36 +40,27 @@ def part_path(n: Column) -> Column:
 
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit's first line touches its part's own file, so that paths grow with the parts; the others touch a shared one."""
     from .functions.commits import is_bugfix
 
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
     lines = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
     folder = F.when(F.col("p_type") == "PROMO", "dist/").when(F.col("p_type") == "LARGE", "lib/core/").otherwise(F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/")))
-    path = F.concat(folder, F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit(".ts"))
-    if isinstance(sf_dir, Whole):
-        path = F.when(F.col("l_linenumber") == 1, part_path(F.col("l_partkey"))).otherwise(path)
+    shared = F.concat(folder, F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit(".ts"))
+    path = F.when(F.col("l_linenumber") == 1, part_path(F.col("l_partkey"))).otherwise(shared)
     m = commits(spark, sf_dir).drop("is_merge").withColumn("is_bugfix", is_bugfix(F.col("subject")))
     j = lines.join(m, lines["l_orderkey"] == m["sha"])
     return j.select("repo", "walk_seq", F.col("l_linenumber").alias("row_no"), "sha", "author", "author_date", "author_ts", "subject", "is_bugfix", path.alias("path"), F.col("l_quantity").cast("bigint").alias("added"), F.col("l_linenumber").cast("bigint").alias("deleted"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document n, indented by its lines' lengths, is the content of the n-th (repo, path); of part n's file in the whole view."""
+    """Every document is a file: document n, indented by its lines' lengths, is part n's file in one of the repos."""
     content = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.repeat(F.lit("    "), F.length(x) % 7), x)), "\n")
-    if isinstance(sf_dir, Whole):
-        repo = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("doc_id") % 5 + 1).cast("int"))
-        return table(spark, sf_dir, "documents").select(repo.alias("repo"), part_path(F.col("doc_id")).alias("path"), content.alias("content"))
-    keys = touches(spark, sf_dir).select("repo", "path").distinct()
-    keys = keys.withColumn("doc_id", F.row_number().over(W.orderBy("repo", "path")).cast("long") - 1)
-    return table(spark, sf_dir, "documents").join(keys, "doc_id").select("repo", "path", content.alias("content"))
+    repo = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(repo.alias("repo"), part_path(F.col("doc_id")).alias("path"), content.alias("content"))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of each repo's 20 newest commits, and one that has no history; in the whole view each commit is a change set."""
-    t = touches(spark, sf_dir)
-    if isinstance(sf_dir, Whole):
-        own = t.select(F.col("sha").cast("string").alias("change_id"), "repo", F.explode(F.array("path", F.lit("src/new/file.ts"))).alias("path")).distinct()
-        return own.withColumn("pos", F.length("path"))
-    known = t.where("walk_seq <= 20").select("repo", "path").distinct()
-    new = t.where("walk_seq = 1").select("repo", F.lit("src/new/file.ts").alias("path")).distinct()
-    return known.unionByName(new).select(F.col("repo").alias("change_id"), "repo", "path", F.length("path").alias("pos"))
+    """Each commit is a change set: its files, and one that has no history."""
+    own = touches(spark, sf_dir).select(F.col("sha").cast("string").alias("change_id"), "repo", F.explode(F.array("path", F.lit("src/new/file.ts"))).alias("path")).distinct()
+    return own.withColumn("pos", F.length("path"))
