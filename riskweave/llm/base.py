@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..sources.shared import drop_stored, stored  # noqa: F401  # the operators take both from here
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once per application."""
@@ -35,35 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local one is made for a local master only."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("riskweave.shared.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-riskweave-")
-        spark.conf.set("riskweave.shared.dir", path)
-    return path
-
-
-def stored(df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"riskweave-{uuid.uuid4().hex[:12]}-{name}")
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Deletes tables made by stored() once nothing reads them any more."""
-    for df in frames:
-        if path := getattr(df, "stored_at", None):
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no column of it."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 SLICE = 8 << 20

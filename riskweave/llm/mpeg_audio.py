@@ -160,7 +160,7 @@ def write_audio(payload: bytes) -> bytes:
         size, head = next(k for k in KINDS if k[0] >= len(body)) if len(body) < most else (most, full)
         frames.append(head + body + bytes(size - len(body)))
         at += len(body)
-    size, head = next(k for k in KINDS if k[0] >= 120)
+    size, head = next(k for k in KINDS if k[0] >= 144)  # table and encoder field
     first = len(head) + size
     total, starts, at = first + sum(map(len, frames)), [], first
     for f in frames:

@@ -9,8 +9,9 @@ phone (a plus sign and 9 to 15 digits). Added kinds: secret (the value after a c
 iban (after its cue, mod 97 valid), account (the number after an account, SSN or passport cue, 6 digits at least) and
 login (user part of scheme://user@host).
 
-Defined cases: a null or empty text has no spans (and masking leaves it as it is); rows are independent, so ties,
-repeated rows and empty tables need no care; columns of the input named like an output are replaced.
+Defined cases: a null or empty text has no spans (and masking leaves it as it is); very long texts are read whole, in
+linear time; rows are independent, so ties, repeated rows and empty tables need no care; a column of the input named like
+the output is replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -151,9 +152,9 @@ def masked(text: str | None, spans) -> str | None:
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_pii(df: DataFrame, text: str = "text", mask: bool = False) -> DataFrame:
-    """Adds pii (spans) and, if mask, replaces the text by its masked form."""
-    fields = [T.StructField("pii", SPAN)] + [T.StructField(text, T.StringType())] * mask
+def find_pii(df: DataFrame, text: str = "text", mask: bool = False, out: str = "pii") -> DataFrame:
+    """Adds a column of spans and, if mask, replaces the text by its masked form."""
+    fields = [T.StructField(out, SPAN)] + [T.StructField(text, T.StringType())] * mask
 
     def run(texts):
         found = [find_spans(t) for t in texts]
