@@ -11,7 +11,7 @@ REGISTERS = BANDS x ROWS: a pair of similarity 0.8 misses all 25 bands of 4 with
 Links: texts that share a band key are a bucket. Copies of one text are one node. In each bucket the members are
 verified (exact multiset overlap of at least 0.8) against a leader, the member that shares bands with the most texts
 (in a group of edited copies that is the text they come from), and links are contracted to components; members that
-a bucket's leader doesn't connect are verified against further leaders, LEADER_ROUNDS times.
+a bucket's leader doesn't connect are verified against another one, and so on as long as that finds many links.
 
 What is then still apart in some bucket goes through an exact prefix filter instead of all pairs of the bucket. The
 occurrences of these texts are ordered by how many of the texts hold them, rarest first. Two bags of w and z
@@ -44,13 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .base import add_columns, drop_stored, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
-LEADER_ROUNDS = 2
+FRUITFUL = 20  # a leader round is followed by another if more than one in so many of its pairs are links
 HOT_SHARE = 1000
 GROUP = 30_000  # shingles that are signed together
 STEPS = 4
@@ -225,7 +226,7 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, copies: str, total:
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose multisets overlap by THRESHOLD at least."""
+    """Those rows of pairs (a, b, ...) whose multisets overlap by THRESHOLD at least."""
 
     def run(left, right):
         out = []
@@ -233,36 +234,56 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
             x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             merged = np.sort(np.concatenate([x, y]), kind="stable")  # two sorted runs
             both = int((merged[1:] == merged[:-1]).sum())
-            out.append(both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9)
+            out.append(9 * both >= 4 * (len(x) + len(y)))  # that is 0.8 of the union
         return [out]
 
     a, b = (bags.select(F.col("node").alias(s), F.col("weight").alias(f"w{s}"), F.col("bag").alias(f"bag{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(F.least("wa", "wb") >= F.greatest("wa", "wb") * THRESHOLD - 1e-9)
-    return add_columns(both, ["baga", "bagb"], [T.StructField("linked", T.BooleanType())], run).where("linked").select("a", "b")
+    both = pairs.join(a, "a").join(b, "b").where(F.least("wa", "wb") * 5 >= F.greatest("wa", "wb") * 4)
+    return add_columns(both, ["baga", "bagb"], [T.StructField("linked", T.BooleanType())], run).where("linked").select(*pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) with comp the least node of its component, by large-star and small-star steps; a stored table."""
-    state, edges = None, stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    count, check = F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    now = edges.select(count, check).first()
+    """(node, comp) of the edges' nodes, comp the least node of its component, by large-star and small-star steps; a stored table.
+
+    Meant for graphs of leaders or of components: a node's neighbours meet in one task.
+    """
+    state, w = None, W.partitionBy("a")
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    sums = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    now = edges.select(*sums).first()
     while now != state and now[0]:
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), count.alias("n"))
-        large = join_unique(both, least, "a", "n", now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), count.alias("n"))
-        small = join_unique(large, least, "a", "n", now[0]).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        large = both.withColumn("m", F.least(F.min("b").over(w), F.col("a"))).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", F.min("b").over(w)).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        drop_stored(edges, large)
-        edges, now = after, after.select(count, check).first()
+        drop_stored(edges)
+        edges, now = after, after.select(*sums).first()
     comps = edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
     out = stored(comps, "components")
     drop_stored(edges)
     return out
 
 
+def by_leaders(links: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """(node, comp) of each of texts by links (a, b) of leaders a and members b; a stored table.
+
+    A member has a leader for each of its bands at most, so it is one row with all its leaders; what is contracted step by
+    step is the graph of leaders only, and a leader's many members are then joined with its component.
+    """
+    led = stored(links.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "led")
+    star = links.groupBy("b").agg(F.min("a").alias("lead"), F.collect_set("a").alias("leads"))
+    star = stored(star.join(led.select(F.col("a").alias("b"), F.lit(True).alias("leads_too")), "b", "left"), "stars")
+    edges = star.select(F.col("lead").alias("a"), F.explode("leads").alias("b")).unionByName(star.where("leads_too").select(F.col("lead").alias("a"), "b"))
+    comps = components(edges)
+    homes = stored(led.join(comps.withColumnRenamed("node", "a"), "a", "left").select(F.col("a").alias("lead"), F.coalesce("comp", "a").alias("comp"), "n"), "homes")
+    members = join_unique(star.where("leads_too IS NULL").select(F.col("b").alias("node"), "lead"), homes, "lead", "n", total).select("node", "comp")
+    placed = stored(members.unionByName(homes.select(F.col("lead").alias("node"), "comp")), "placed")
+    out = stored(texts.select("node").join(placed, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comps")
+    drop_stored(led, star, comps, homes, placed)
+    return out
+
+
 def prefix_entries(bags: DataFrame) -> DataFrame:
     """The prefixes of bags (node, comp, weight, bag): (occ, low, high, node, comp, weight, pos), low and high the size
     classes of the text and of the partners that the entry is for, pos the entry's place in the text."""
@@ -308,7 +329,10 @@ def prefix_pairs(bags: DataFrame) -> DataFrame:
     sizes = F.least("weight", "weight_a") * 5 >= F.greatest("weight", "weight_a") * 4
     once = (F.col("comp") == F.col("main")) | (F.col("node") > F.col("node_a"))
     found = met.join(others, key).where((F.col("comp") != F.col("comp_a")) & once & sizes & (ahead * 9 >= (F.col("weight") + F.col("weight_a")) * 4))
-    out = stored(found.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")
+    swapped = F.col("node_a") < F.col("node")
+    ends = lambda first, other: F.when(swapped, F.col(first)).otherwise(F.col(other))
+    pairs = found.select(ends("node_a", "node").alias("a"), ends("node", "node_a").alias("b"), ends("comp_a", "comp").alias("comp_a"), ends("comp", "comp_a").alias("comp_b"))
+    out = stored(pairs.distinct(), "pairs")
     drop_stored(entries, most, met)
     return out
 
@@ -318,59 +342,58 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one row of each class. A stored table; all others that it is made of are deleted."""
     rows = signed(docs)
     total = rows.count()
-    nodes = stored(rows.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    own = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    banded = own.select(F.col("row").alias("node"), F.explode("bands").alias("band"))
+    nodes = rows.groupBy("key").agg(F.min(F.struct("row", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(nodes.select("key", "copies", F.col("first.row").alias("node"), F.col("first.bands").alias("bands")), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
     sizes = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     shared = stored(join_unique(banded, sizes, "band", "n", total), "shared")
-    popular = stored(shared.groupBy("node").agg(F.sum("n").alias("popular")), "popular")
+    popular = shared.groupBy("node").agg(F.sum("n").alias("popular"))
     led = shared.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader"), F.count(F.lit(1)).alias("n"))
     led = stored(led, "leaders")
     members = stored(join_unique(shared.select("band", "node"), led, "band", "n", total).select("band", "leader", "node"), "members")
-    bags = stored(rows.select(F.col("row").alias("node"), "weight", "bag").join(members.select("node").distinct(), "node", "left_semi"), "bags")
-    drop_stored(sizes, shared, popular, led)
-
-    tested = stored(members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
+    bags = stored(rows.select(F.col("row").alias("node"), "weight", "bag").join(shared.select("node"), "node", "left_semi"), "bags")
+    drop_stored(sizes, led)
+    tested = stored(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(verified(tested, bags), "links")
-    comps = components(links)
-
-    def linked(new):
-        """Verifies new pairs and contracts what is linked."""
-        nonlocal links, comps
+    comps = by_leaders(links, bags, total)
+    drop_stored(shared, tested, links)
+
+    def mixed(among):
+        """(band, leader, node, comp) of the bands in `among` whose texts are in several components."""
+        placed = stored(among.select("band", "leader", "node").join(comps, "node"), "placed")
+        several = stored(placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(F.col("node") == F.col("leader"), F.col("comp"))).alias("lead_comp")).where("least <> most").select("band", "lead_comp"), "several")
+        out = stored(placed.join(several, "band"), "mixed")
+        drop_stored(placed, several)
+        return out
+
+    def merged(found):
+        """The components after the found pairs' (comp_a, comp_b) have become one."""
+        again = components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+        after = comps.join(again.select(F.col("node").alias("comp"), F.col("comp").alias("joined")), "comp", "left")
+        after = stored(after.select("node", F.coalesce("joined", "comp").alias("comp")), "comps")
+        drop_stored(again, comps)
+        return after
+
+    rest, turn, fruitful = mixed(members), 0, True
+    while fruitful:  # another leader for each band, as long as a good part of its pairs are links
+        apart = rest.where("comp <> lead_comp")
+        first = apart.groupBy("band").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("f")).select("band", F.col("f.node").alias("a"), F.col("f.comp").alias("comp_a"))
+        met = rest.join(first, "band").where("comp <> comp_a").groupBy("a", F.col("node").alias("b")).agg(F.min("comp_a").alias("comp_a"), F.min("comp").alias("comp_b"), F.count(F.lit(1)).alias("n"))
+        new = stored(met.where(F.col("n") >= SHARED_BANDS).drop("n"), "pairs")
         found = stored(verified(new, bags), "links")
-        if found.isEmpty():
-            drop_stored(found)
-            return
-        more = stored(links.unionByName(found), "links")
-        again = components(more)
-        drop_stored(links, found, comps)
-        links, comps = more, again
-
-    def marked():
-        """members with their component, and whether it is another than their leader's."""
-        m = members.join(comps, "node", "left").select("band", "leader", "node", F.coalesce("comp", "node").alias("comp"))
-        lead = comps.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-        m = m.join(lead, "leader", "left").withColumn("apart", F.col("comp") != F.coalesce("lead_comp", "leader"))
-        return stored(m.select("band", "node", "comp", "apart"), "marked")
-
-    for turn in range(LEADER_ROUNDS):
-        m = marked()
-        first = m.where("apart").groupBy("band").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("f"))
-        first = stored(first.select("band", F.col("f.node").alias("a"), F.col("f.comp").alias("comp_a")), "first")
-        met = m.join(first, "band").where((F.col("comp") != F.col("comp_a")) & (F.col("node") != F.col("a")))
-        met = met.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_BANDS)
-        new = stored(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        linked(new)
-        both = stored(tested.unionByName(new), "pairs")
-        drop_stored(m, first, new, tested)
-        tested = both
-    m = marked()
-    mixed = m.where("apart").select("band").distinct()
-    rest = m.join(mixed, "band", "left_semi").groupBy("node").agg(F.first("comp").alias("comp"))
-    rest = stored(rest.join(bags, "node"), "rest")
-    found = prefix_pairs(rest)
-    new = stored(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-    linked(new)
+        tried, hits = new.count(), found.count()
+        fruitful, turn = hits * FRUITFUL > tried, turn + 1
+        if hits:
+            comps = merged(found)
+            before, rest = rest, mixed(rest)
+            drop_stored(before)
+        drop_stored(new, found)
+    rest_texts = stored(rest.groupBy("node").agg(F.first("comp").alias("comp")).join(bags, "node"), "rest")
+    new = prefix_pairs(rest_texts)
+    found = stored(verified(new, bags), "links")
+    if not found.isEmpty():
+        comps = merged(found)
+    drop_stored(rest, rest_texts, new, found, members, bags)
 
     by_text = nodes.join(comps, "node", "left").select("key", "copies", F.coalesce("comp", "node").alias("comp"))
     by_text = stored(by_text, "classes")
@@ -378,7 +401,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "class_ids")
     out = join_unique(placed, classes, "comp", "copies", total)
     out = stored(out.select("doc_id", "key", "row", "class_id", (F.col("row") == F.col("comp")).alias("kept")), "near_duplicates")
-    drop_stored(rows, nodes, members, bags, links, comps, tested, m, rest, found, new, by_text, placed, classes)
+    drop_stored(rows, nodes, comps, by_text, placed, classes)
     return out
 
 

@@ -164,9 +164,9 @@ def near_texts(prose):
     return texts + texts[:5] + [prose(50 + i, 30) for i in range(10)] + ["", None, " ", "one two", "one  two", "the " * 80, "the " * 78, "the " * 20]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_dedup(spark, prose, monkeypatch, rounds):
-    monkeypatch.setattr(near_dups, "LEADER_ROUNDS", rounds)
+@pytest.mark.parametrize("fruitful", [0, 20])
+def test_near_dedup(spark, prose, monkeypatch, fruitful):
+    monkeypatch.setattr(near_dups, "FRUITFUL", fruitful)
     texts = near_texts(prose)
     got = near_dups.near_duplicates(docs_of(spark, texts).repartition(3)).toPandas()
     mine = defaultdict(set)

@@ -342,7 +342,7 @@ def test_common_passage_does_not_pair_all(spark, prose):
     texts += [texts[5] + " end", texts[6] + " end"]
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, comp long, text string")
     signed = near_dups.signed(rows.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp"), "weight", "bag")
-    pairs = {tuple(r) for r in near_dups.prefix_pairs(signed).collect()}
+    pairs = {(r["a"], r["b"]) for r in near_dups.prefix_pairs(signed).collect()}
     assert {(5, 300), (6, 301)} <= pairs and len(pairs) < 20
 
 
@@ -351,7 +351,7 @@ def test_prefix_pairs_lose_nothing(spark):
     r = random.Random(8)
     texts = [" ".join(r.choice("abcde") for _ in range(r.randint(5, 16))) for _ in range(250)]
     signed = near_dups.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp"), "weight", "bag")
-    pairs = {tuple(x) for x in near_dups.prefix_pairs(signed).collect()}
+    pairs = {(x["a"], x["b"]) for x in near_dups.prefix_pairs(signed).collect()}
     bags = [bag(t) for t in texts]
     true = {(i, j) for j in range(len(texts)) for i in range(j) if 9 * sum((bags[i] & bags[j]).values()) >= 4 * (bags[i].total() + bags[j].total())}
     assert true and true <= pairs
