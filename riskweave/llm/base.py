@@ -103,7 +103,8 @@ def slots(df: DataFrame, group: str, spread: list[str], order: list[str], out: s
     """Gapless numbers from 0 within each group, though a group may hold any share of the rows.
 
     Rows of a group spread over buckets by a hash of `spread`; buckets are numbered locally and shifted by prefix
-    sums of the bucket counts. The counts are at most groups x buckets rows. No task holds a whole group.
+    sums of the bucket counts. The counts are at most groups x buckets rows. No task holds a whole group; the caller lets the
+    number of buckets grow with the rows.
     """
     b = df.withColumn("_b", F.pmod(F.xxhash64(*(F.col(c) for c in spread)), F.lit(buckets)).cast("int"))
     counts = b.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))

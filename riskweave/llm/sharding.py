@@ -138,6 +138,11 @@ def size_class(size: str) -> F.Column:
     return F.expr(f"CASE WHEN {size} < 512 THEN {size} ELSE (length(bin({size})) - 9) * 512 + shiftright({size}, CAST(length(bin({size})) - 9 AS INT)) END").cast("long")
 
 
+def buckets(rows: int) -> int:
+    """Buckets in which a group is numbered: 512, and more for more rows, so that one holds a million at most."""
+    return max(512, rows // 1_000_000)
+
+
 def pack(rows: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
     """rows (key, size, row, ...) with an int shard: equal keys share one. The EXACT largest groups and the classes' rows are broadcast."""
     spark = rows.sparkSession
@@ -147,7 +152,7 @@ def pack(rows: DataFrame, shards: int | None = None, capacity: int | None = None
     large = spark.createDataFrame([(r["key"], i) for i, r in enumerate(most)], "key binary, place int")
     rest = groups.join(F.broadcast(large), "key", "left_anti")
     per_class = rest.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.avg("bytes")).alias("mean"), F.max("bytes").alias("most")).collect()
-    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    total = rows.count()
     sizes = [(-1 - i, r["bytes"], 1) for i, r in enumerate(most)]  # classes of their own
     if capacity is not None:
         runs, _ = best_fit_decreasing(sizes + [(r["class"], r["most"], r["n"]) for r in per_class], capacity)
@@ -161,7 +166,7 @@ def pack(rows: DataFrame, shards: int | None = None, capacity: int | None = None
         at[cls] += k
     own_bins = spark.createDataFrame([(r["key"], by_class[-1 - i][1][0]) for i, r in enumerate(most)], "key binary, shard int")
     placed = spark.createDataFrame([(c, *x) for c, x in by_class.items() if c >= 0], "class long, starts array<long>, bins array<int>")
-    ranked = slots(rest, "class", ["key"], ["key"], "rank").join(F.broadcast(placed), "class")
+    ranked = slots(rest, "class", ["key"], ["key"], "rank", buckets(total)).join(F.broadcast(placed), "class")
     of_group = ranked.select("key", "copies", F.element_at("bins", F.size(F.filter("starts", lambda s: s <= F.col("rank")))).alias("shard"))
     of_group = of_group.unionByName(groups.select("key", "copies").join(F.broadcast(own_bins), "key"))
     of_group = stored(of_group, "placement")
@@ -172,6 +177,6 @@ def pack(rows: DataFrame, shards: int | None = None, capacity: int | None = None
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = pack(digests(table(spark, sf_dir, "documents", "doc_id", "text")), shards=SHARDS)
-    numbered = slots(placed, "shard", ["row"], ["doc_id", "row"], "slot")
+    rows = digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+    numbered = slots(pack(rows, shards=SHARDS), "shard", ["row"], ["doc_id", "row"], "slot", buckets(rows.count()))
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
