@@ -347,14 +347,20 @@ def test_common_passage_does_not_pair_all(spark, prose):
 
 
 def test_prefix_pairs_lose_nothing(spark):
-    """Random bags of few shingles, so that overlaps of exactly 0.8 and all size ratios occur."""
-    r = random.Random(8)
-    texts = [" ".join(r.choice("abcde") for _ in range(r.randint(5, 16))) for _ in range(250)]
+    """Pieces of one text, some with a word changed, so that overlaps of exactly 0.8 and all size ratios occur."""
+    r, texts = random.Random(8), []
+    for _ in range(250):
+        start = r.randint(0, 6)
+        words = [f"w{i * i % 23}" for i in range(start, start + r.randint(6, 34))]
+        if r.random() < 0.4:
+            words[r.randrange(len(words))] = "other"
+        texts.append(" ".join(words))
     signed = near_dups.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp"), "weight", "bag")
     pairs = {(x["a"], x["b"]) for x in near_dups.prefix_pairs(signed).collect()}
     bags = [bag(t) for t in texts]
     true = {(i, j) for j in range(len(texts)) for i in range(j) if 9 * sum((bags[i] & bags[j]).values()) >= 4 * (bags[i].total() + bags[j].total())}
-    assert true and true <= pairs
+    assert len(true) > 500 and true <= pairs
+    assert any(10 * sum((bags[i] & bags[j]).values()) == 8 * (bags[i] | bags[j]).total() for i, j in true)
 
 
 def pii_base(text):
