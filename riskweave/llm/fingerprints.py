@@ -36,8 +36,8 @@ ROWS_A_RANGE, MOST_RANGES = 2000, 1 << 16
 LAST_ID = (1 << 63) - 1
 
 
-def anchors(text: str, k: int = K, s: int = S) -> Column:
-    """array<struct<position, anchor>> of the text column's closed syncmers; positions in characters from 0."""
+def anchors_sql(text: str, k: int = K, s: int = S) -> str:
+    """anchors() as an SQL expression."""
     n = f"char_length({text})"
     smers = f"transform(sequence(0, {n} - {s}), i -> xxhash64(substring(b, 4 * i + 1, {4 * s})))"
     if k > 2 * s:
@@ -49,7 +49,12 @@ def anchors(text: str, k: int = K, s: int = S) -> Column:
     many = f"transform(array(encode({text}, 'UTF-32')), b -> transform(array({smers}), g -> {taken})[0])[0]"
     one = f"array(struct(0 AS position, xxhash64(encode({text}, 'UTF-32')) AS anchor))"
     none = f"filter({one}, x -> false)"
-    return F.expr(f"CASE WHEN {n} >= {k} THEN {many} WHEN {n} > 0 THEN {one} ELSE {none} END")
+    return f"CASE WHEN {n} >= {k} THEN {many} WHEN {n} > 0 THEN {one} ELSE {none} END"
+
+
+def anchors(text: str, k: int = K, s: int = S) -> Column:
+    """array<struct<position, anchor>> of the text column's closed syncmers; positions in characters from 0."""
+    return F.expr(anchors_sql(text, k, s))
 
 
 #: One anchor of a fingerprint: the upper half of its hash, then its first position.
@@ -57,7 +62,7 @@ PACKED = "(a.anchor & -4294967296L) | a.position"
 
 
 def sketch(found: str, size: int = SKETCH, sparse: int = SPARSE) -> Column:
-    """struct<n, anchors>: the number of distinct hashes in a column of anchors, and the least of them with their first positions."""
+    """struct<n, anchors>: the number of distinct hashes in a column, or expression, of anchors, and the least of them with their first positions."""
     ordered = f"sort_array(transform({found}, a -> {PACKED}))"
     distinct = f"transform(array({ordered}), o -> filter(o, (x, i) -> i = 0 OR shiftright(x, 32) <> shiftright(o[i - 1], 32)))[0]"
     return F.expr(f"transform(array({distinct}), d -> named_struct('n', size(d), 'anchors', slice(d, 1, greatest({size}, size(d) div {sparse}))))[0]")
@@ -93,8 +98,13 @@ def likeness(a: str, b: str, slack: int = SLACK) -> Column:
     return F.expr(f"transform(array({both}), m -> transform(array({offsets}), o -> {share})[0])[0]")
 
 
-def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """df with next_<column> of the row that follows in ascending order of a long column; the first follows the last."""
+def with_next(df: DataFrame, order: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """df with next_<column> of the row that follows in ascending order of a long column; the first follows the last.
+
+    derived columns are expressions over row.<column of df>; they are made where the rows have arrived, so that they are
+    not shuffled, and may be among `columns`.
+    """
+    derived = derived or {}
     key = F.coalesce(F.col(order).cast("long"), F.lit(LAST_ID))
     n, low = df.select(F.count(F.lit(1)), F.min(key)).first()
     levels = 0
@@ -115,15 +125,17 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     place = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
     places = F.array_compact(F.array(place(F.col("range"), 0), F.when(opens, place(F.col("range") - 1, 1)), F.when(F.col("key") == low, place(F.lit(len(bounds)), 2))))
     dealt = dealt.select("row", "key", F.explode(places).alias("place"))
-    w = W.partitionBy("place.range").orderBy("place.guest", "key", *(f"row.{c}" for c in columns[:1]))
-    led = dealt.select("row", F.col("place.guest").alias("guest"), *(F.lead(f"row.{c}").over(w).alias(f"next_{c}") for c in columns)).where("guest = 0")
-    return led.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in [f"next_{x}" for x in columns]), *(f"next_{c}" for c in columns))
+    dealt = dealt.repartition(F.col("place.range")).select("*", *(c.alias(n) for n, c in derived.items()))
+    value = lambda c: F.col(c if c in derived else f"row.`{c}`")
+    w = W.partitionBy("place.range").orderBy("place.guest", "key", *(value(c) for c in columns[:1]))
+    led = dealt.select("row", F.col("place.guest").alias("guest"), *derived, *(F.lead(value(c)).over(w).alias(f"next_{c}") for c in columns)).where("guest = 0")
+    own = [c for c in df.columns if c not in (*derived, *(f"next_{x}" for x in columns))]
+    return led.select(*(F.col(f"row.`{c}`").alias(c) for c in own), *derived, *(f"next_{c}" for c in columns))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    own = docs.withColumn("found", anchors("text")).select("doc_id", "text", sketch("found").alias("sketch"))
-    pairs = with_next(own, "doc_id", ["text", "sketch"])
+    pairs = with_next(docs, "doc_id", ["text", "sketch"], {"sketch": sketch(anchors_sql("row.text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
