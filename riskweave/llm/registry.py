@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mpeg_audio, near_dups, packing, pii, quality, sharding, toxicity, url_filters
+from . import bpe, fingerprints, mpeg_audio, near_dups, packing, pii, prefix_trie, quality, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_prefix_trie": prefix_trie.OP11_SQL}
