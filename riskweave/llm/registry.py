@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, fingerprints, mpeg_audio, near_dups, packing, pii, prefix_trie, quality, sharding, toxicity, url_filters
+from . import bpe, collocations, fingerprints, mpeg_audio, near_dups, ngram_trie, packing, pii, prefix_trie, quality, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_lm_scores": ngram_trie.op12_lm_scores,
     "op13_collocations": collocations.op13_collocations,
 }
 
