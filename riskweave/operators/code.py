@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,25 +35,24 @@ RAW = "repo string, path string, start_line int, end_line int, max_depth int"
 
 
 def regions(files: DataFrame, spaces: int = 4, min_depth: int = 3, min_lines: int = 3) -> DataFrame:
-    """Runs of deep lines of each file: indentation in-row, runs by a vectorised helper; only regions leave the batch."""
+    """Runs of deep lines of each file: indentation in-row, runs by array operations over all lines of a batch at once; only
+    regions leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[] for _ in range(5)]
-            for repo, path, depth in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                d = depth.values.to_numpy() if depth.is_valid else np.zeros(0, np.int32)
-                deep = np.flatnonzero(d >= min_depth)
-                if not len(deep):
-                    continue
-                island = np.cumsum((d >= 0) & (d < min_depth))[deep]
-                first = np.flatnonzero(np.r_[True, island[1:] != island[:-1]])
-                start, end = deep[first], deep[np.r_[first[1:] - 1, len(deep) - 1]]
-                most = np.maximum.reduceat(d[deep], first)
-                for s, e, m in zip(start, end, most, strict=True):
-                    if e - s + 1 >= min_lines:
-                        for column, value in zip(out, (repo.as_py(), path.as_py(), int(s), int(e), int(m)), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["repo", "path", "start_line", "end_line", "max_depth"])
+            lists = b.column(2)
+            d, ends = lists.flatten().to_numpy(), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+            file = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            deep = np.flatnonzero(d >= min_depth)
+            island = np.cumsum((d >= 0) & (d < min_depth))[deep]  # files break runs as shallow lines do
+            first = np.flatnonzero(np.r_[True, (island[1:] != island[:-1]) | (file[deep][1:] != file[deep][:-1])]) if len(deep) else deep
+            start, end = deep[first], deep[np.r_[first[1:], len(deep)] - 1] if len(deep) else deep
+            most = np.maximum.reduceat(d[deep], first) if len(deep) else d[deep]
+            kept = end - start + 1 >= min_lines
+            of = file[start[kept]]
+            begin = (ends - np.diff(ends, prepend=0))[of]
+            numbers = [pa.array(x.astype(np.int32)) for x in (start[kept] - begin, end[kept] - begin, most[kept])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *numbers], names=["repo", "path", "start_line", "end_line", "max_depth"])
 
     depths = files.select("repo", "path", F.transform(F.split("content", "\n"), lambda x: indent(x, spaces)).alias("depth"))
     return _finished(depths.mapInArrow(run, RAW))
@@ -78,10 +78,23 @@ def by_severity(found: DataFrame) -> DataFrame:
 
 
 def at_position(positions: DataFrame, found: DataFrame, severity: str = "medium") -> DataFrame:
-    """positions (repo, path, line, ...) that fall in a region at or over a severity, each with the best such region; repeats stay."""
-    r = at_least(found, severity).select("repo", "path", F.struct("start_line", "end_line", "score", "severity", "reasons").alias("_region"))
-    numbered = positions.withColumn("_place", F.monotonically_increasing_id())
-    on = (numbered["repo"] == r["repo"]) & (numbered["path"] == r["path"]) & numbered["line"].between(r["_region.start_line"], r["_region.end_line"])
-    hit = numbered.join(r, on).select(numbered["*"], "_region")
-    w = W.partitionBy("repo", "path", "_place").orderBy(F.desc("_region.score"), "_region.start_line")
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_place").select(*positions.columns, "_region.*")
+    """positions (repo, path, line, ...) that fall in a region at or over a severity, each with the best such region; repeats stay.
+
+    The regions of a file are one array, sorted by line, which meets the file's positions in a join by file; each position finds
+    its region by binary search in its row. Regions that overlap, as those of other sources may, are searched best first.
+    """
+    one = F.struct("start_line", "end_line", "score", "severity", "reasons")
+    kept = at_least(found, severity).groupBy("repo", "path").agg(F.array_sort(F.collect_list(one)).alias("_regions"))
+    neighbours = F.zip_with(F.slice("_regions", 1, F.size("_regions") - 1), F.slice("_regions", 2, F.size("_regions")), lambda a, b: a["end_line"] >= b["start_line"])
+    ranked = F.array_sort("_regions", lambda a, b: F.when((a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["start_line"] < b["start_line"])), -1).otherwise(1))
+    kept = kept.withColumn("_ranked", F.when(F.exists(neighbours, lambda x: x), ranked))
+    near = positions.join(kept, ["repo", "path"])
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    begun = lambda s: F.get("_regions", middle(s))["start_line"] <= F.col("line")
+    narrowed = lambda s: F.struct(F.when(begun(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(begun(s), s["hi"]).otherwise(middle(s)).alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_regions") + F.lit(1.0))).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size("_regions").alias("hi"))
+    last = F.aggregate(steps, start, lambda s, _: F.when(s["lo"] < s["hi"], narrowed(s)).otherwise(s), lambda s: s["lo"] - 1)  # the last that begins at the line or before
+    holds = lambda r: F.col("line").between(r["start_line"], r["end_line"])
+    region = F.when(F.col("_ranked").isNotNull(), F.get(F.filter("_ranked", holds), F.lit(0))).otherwise(F.get("_regions", last))
+    return near.withColumn("_region", region).where(holds(F.col("_region"))).select(*positions.columns, "_region.*")

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.paths import is_excluded
+from .numbering import join_weighed
 
 
 def commit_paths(touches: DataFrame, max_files: int = 50) -> DataFrame:
-    """Distinct (repo, walk_seq, path) of commits with 2 to max_files files. One exchange serves all three steps."""
+    """Distinct (repo, walk_seq, path) of commits with 2 to max_files files. Touches are read once, and one exchange serves all
+    steps; a very large commit is counted by a window, which spills, before any set of it is made."""
     d = touches.select("repo", "walk_seq", "path").repartition("repo", "walk_seq").distinct()
-    sizes = d.groupBy("repo", "walk_seq").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, max_files))
-    return d.join(sizes.drop("_n"), ["repo", "walk_seq"])
+    counted = d.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("repo", "walk_seq")))
+    return counted.where(F.col("_n").between(2, max_files)).drop("_n")
 
 
 def co_change(touches: DataFrame, max_files: int = 50, exclude=()) -> DataFrame:
@@ -26,9 +28,16 @@ def co_change(touches: DataFrame, max_files: int = 50, exclude=()) -> DataFrame:
 
 
 def strengths(pairs: DataFrame, churn: DataFrame, min_support: int = 5) -> DataFrame:
-    """Both directions of each supported pair: (repo, path, partner, strength, shared_commits)."""
+    """Both directions of each supported pair: (repo, path, partner, strength, shared_commits).
+
+    A path in very many pairs has very many commits: those with over a thousandth of all are broadcast, fewer than a thousand.
+    Eager: the commits of churn are summed up, so let churn be a stored table.
+    """
+    total = churn.agg(F.sum("commits")).first()[0] or 0
     revs = lambda s: churn.select("repo", F.col("path").alias(f"path_{s}"), F.col("commits").alias(f"revs_{s}"))
-    p = pairs.where(F.col("shared_commits") >= min_support).join(revs("a"), ["repo", "path_a"], "left").join(revs("b"), ["repo", "path_b"], "left")
+    p = pairs.where(F.col("shared_commits") >= min_support)
+    for end, other in ("ab", "ba"):
+        p = join_weighed(p, revs(end), ["repo", f"path_{end}"], f"revs_{end}", total, f"path_{other}")
     most = F.greatest(F.coalesce("revs_a", F.lit(0)), F.coalesce("revs_b", F.lit(0)))
     p = p.withColumn("_most", most).where("_most > 0").withColumn("strength", F.col("shared_commits") / F.col("_most"))
     way = lambda a, b: F.struct(F.col(a).alias("path"), F.col(b).alias("partner"))

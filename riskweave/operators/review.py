@@ -10,11 +10,12 @@ KEY = ["change_id", "repo", "path"]
 
 
 def all_changes(*sets: DataFrame) -> DataFrame:
-    """Distinct paths of several lists (staged and not)."""
-    out = sets[0]
-    for s in sets[1:]:
-        out = out.unionByName(s)
-    return out.dropDuplicates(KEY)
+    """Distinct paths of several lists (staged and not), the paths of an earlier list before those of a later one: pos is the
+    first list's number times 2^32 plus the place there."""
+    out = sets[0].select(*KEY, F.col("pos").cast("long").alias("pos"))
+    for i, s in enumerate(sets[1:], 1):
+        out = out.unionByName(s.select(*KEY, (F.col("pos") + F.lit(i << 32)).alias("pos")))
+    return out.groupBy(*KEY).agg(F.min("pos").alias("pos"))
 
 
 def working_set(changes: DataFrame) -> DataFrame:

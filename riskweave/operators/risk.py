@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.paths import repo_key
 from ..functions.score import additive_core, risk_score, tier, trend
 from ..params import LOW_CONFIDENCE, SIGNALS, THRESHOLDS, WEIGHTS
+from .numbering import numbered
 
 RAW = (*SIGNALS, "complexity")
 
@@ -48,12 +49,14 @@ def scored(norm: DataFrame, weights: dict | None = None, thresholds: dict | None
 
 
 def ranked(risk: DataFrame) -> DataFrame:
-    """Adds rank within the repo: score descending, path ascending."""
-    return risk.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("score"), "path")))
+    """Adds rank within the repo: score descending, path ascending. Eager, see numbered()."""
+    return numbered(risk, ["repo"], [F.desc("score"), F.col("path")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def top(risk: DataFrame, n: int = 20) -> DataFrame:
-    return ranked(risk).where(F.col("rank") <= max(1, n))
+    """The first n of each repo with their rank; each task keeps n of a repo before any exchange."""
+    place = F.row_number().over(W.partitionBy("repo").orderBy(F.desc("score"), "path"))
+    return risk.withColumn("rank", place).where(F.col("rank") <= max(1, n))
 
 
 def in_order(risk: DataFrame) -> DataFrame:

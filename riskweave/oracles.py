@@ -10,6 +10,7 @@ R = 6
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 _TIER = lambda s: f"CASE WHEN {s} < 25 THEN 'low' WHEN {s} < 50 THEN 'medium' WHEN {s} < 75 THEN 'high' ELSE 'critical' END"
 _RANK = lambda s: f"list_position(['low','medium','high','critical'], {s}) - 1"
+# The default globs and the words of bug-fix subjects, as in params.py and functions/commits.py.
 EXCLUDED = r"regexp_matches(path, '^(.*/)?(node_modules|dist|build|out|vendor)/.*$') OR regexp_matches(path, '^(.*/)?([^/]*\.min\.js|[^/]*\.bundle\.js|[^/]*\.map|[^/]*\.lock|package-lock\.json|yarn\.lock|pnpm-lock\.yaml)$')"
 BUGFIX = r"""(regexp_matches(subject, '(?i)\b(bugfix(e[sd])?|fix(e[sd])?|bug|defect|fault|crash|hotfix|patch|regression|broke(n)?)\b') OR regexp_matches(subject, '(?i)\b(close[sd]?|fix(e[sd])?|resolve[sd]?)\s+#[0-9]+')) AND NOT regexp_matches(subject, '(?i)\b(merge|cherry[- ]pick|revert)\b')"""
 RAW = (*SIGNALS, "complexity")
@@ -81,6 +82,7 @@ def sql(select: str, ctes: dict[str, str] = CTES) -> str:
 _PCT = lambda x: f"CAST(CAST(round({x} * 100) AS INT) AS VARCHAR) || '%'"
 _OWN = "CASE dominant " + " ".join(f"WHEN '{s}' THEN share_{s}" for s in SIGNALS) + " END"
 _ROW = f"""'| ' || concat_ws(' | ', rank, replace(path, '|', '\\|'), score, tier, CASE trend WHEN 'rising' THEN '↑ rising' WHEN 'stable' THEN '→ stable' ELSE '↓ cooling' END, freq, churn, authors, {_PCT('ownership')}, {_PCT('coupling')}, complexity, coalesce(dominant || ' ' || {_PCT(_OWN)}, '—')) || ' |'"""
+# The report's heads, as in sources/report.py.
 _HEADS = "| # | File | Score | Tier | Trend | Commits | Churn | Authors | Ownership | Coupling | Complexity | Why |"
 _RULE = "| - | ---- | ----: | ---- | ----- | ------: | ----: | ------: | --------: | -------: | ---------: | ---- |"
 _ROUNDED = lambda *c: ", ".join(f"round({x}, {R}) AS {x}" for x in c)
@@ -90,8 +92,11 @@ SELECTS: dict[str, str] = {
     "s1_log_dump": "SELECT repo, walk_seq, author, subject, is_bugfix, path, added, deleted, count(*) AS n FROM touches GROUP BY ALL",
     "s2_walk_order": "SELECT repo, sha, walk_seq FROM commits",
     "s3_text_contents": "SELECT doc_id, length(text) AS n FROM documents WHERE strlen(text) <= 1500000 AND NOT contains(text, chr(0))",
-    "s4_changed_paths": "SELECT change_id, repo, path FROM changes",
-    "s5_snapshot": f"SELECT repo, path, commits, bugfix_commits, lines_added, lines_deleted, n_authors, first_seen, last_seen, recent_commits, {_ROUNDED('recency_weight')} FROM churn",
+    "s1_log_lines": "SELECT repo, walk_seq, author, subject, is_bugfix, path, added, deleted FROM touches",
+    "s4_changed_paths": "SELECT change_id, repo, path, CAST(3 * pos AS BIGINT) AS pos FROM changes",
+    "s5_snapshot": f"SELECT repo, path, commits, bugfix_commits, lines_added, lines_deleted, n_authors, first_seen, last_seen, recent_commits, minor_contributors, {_ROUNDED('recency_weight', 'top_share')} FROM churn_all JOIN minor USING (repo, path) JOIN seen USING (repo, path)",
+    "s5_snapshot_pairs": "SELECT a.repo, a.path AS path_a, b.path AS path_b, count(*) AS shared_commits FROM commit_paths a JOIN (SELECT * FROM commit_paths) b ON a.repo = b.repo AND a.walk_seq = b.walk_seq AND a.path < b.path GROUP BY ALL",
+    "s5_resumed_scan": "SELECT repo, path, score, rank, tier, sentence FROM explained",
     "s6_json_report": f"SELECT repo, rank, path, score, tier, trend, dominant, core_pct, sentence AS summary, {_ROUNDED('share_freq', 'share_coupling')} FROM explained",
     "s7_markdown_report": f"""SELECT repo, CAST(rank + 6 AS INT) AS line_no, {_ROW} AS line FROM explained UNION ALL SELECT repo, CAST(i AS INT), CASE i WHEN 1 THEN '# Hotspot Risk Report' WHEN 3 THEN n || CASE WHEN n = 1 THEN ' scored file' ELSE ' scored files' END || ', ranked by risk (relative within this repo — not a literal "% buggy").' WHEN 5 THEN '{_HEADS}' WHEN 6 THEN '{_RULE}' ELSE '' END FROM (SELECT repo, count(*) AS n FROM risk GROUP BY repo) g, range(1, 7) r(i) UNION ALL SELECT repo, CAST(count(*) + 7 AS INT), '' FROM risk GROUP BY repo""",
     "p1_since_window": "SELECT repo, walk_seq, sha FROM commits WHERE author_ts >= TIMESTAMP '1998-08-02' - INTERVAL 24 MONTH",
@@ -121,6 +126,7 @@ SELECTS: dict[str, str] = {
     "w3_regions_by_window": f"SELECT repo, path, start_line, end_line, max_depth, line_count, score, severity, {_REASONS} AS reasons, region_rank FROM regions",
     "w6_normalised_by_window": f"SELECT repo, path, {_ROUNDED('norm_churn')} FROM norm",
     "l1_top_files": "SELECT repo, path, score, rank FROM risk WHERE rank <= 20",
+    "l1_hotspots": "SELECT repo, path, score, rank FROM risk WHERE rank <= 20",
     "l2_newest_commits": "SELECT repo, count(*) AS n, sum(added)::BIGINT AS added FROM touches WHERE walk_seq <= 50 GROUP BY repo",
     "l3_order": "SELECT repo, path, score FROM risk",
     "j4_changed_with_score": "SELECT change_id, repo, path, score, tier, row_number() OVER (PARTITION BY change_id ORDER BY score DESC, path) AS place FROM set_ JOIN (SELECT repo, path, score, tier FROM risk) r USING (repo, path)",
@@ -130,7 +136,7 @@ SELECTS: dict[str, str] = {
     "j7_regions": f"SELECT repo, path, start_line AS line, '⚠ Risk: ' || severity || ' · depth 0 · ' || line_count || ' lines' AS label FROM regions WHERE {_RANK('severity')} >= 1",
     "j8_change_review": f"SELECT change_id, repo, path, 'scored' AS kind, CAST(score AS VARCHAR) AS what FROM set_ JOIN (SELECT repo, path, score FROM risk) r USING (repo, path) UNION ALL SELECT change_id, repo, path, 'new', NULL FROM set_ ANTI JOIN risk USING (repo, path) UNION ALL SELECT s.change_id, s.repo, s.path, 'hint', p.partner FROM set_ s JOIN partners p USING (repo, path) WHERE partner_rank = 1 AND strength >= 0.02::DOUBLE AND NOT EXISTS (SELECT 1 FROM set_ q WHERE q.change_id = s.change_id AND q.repo = s.repo AND lower(q.path) = lower(p.partner))",
     "c14_names": "SELECT DISTINCT repo, path, string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS INT) AS segments FROM touches",
-    "u2_working_set": "SELECT change_id, repo, path, pos FROM set_",
+    "u2_working_set": "SELECT change_id, repo, path, CAST(pos + 500 AS BIGINT) AS pos FROM set_ UNION ALL SELECT change_id, repo, 'docs/Second.md', CAST(4294967296 + min(pos) - 5 AS BIGINT) FROM changes GROUP BY ALL",
     "u3_commit_paths": "SELECT repo, walk_seq, path FROM commit_paths",
     "c7_explanation": f"SELECT repo, path, dominant, core_pct, partner, line, sentence, {_ROUNDED(*(f'share_{s}' for s in SIGNALS))} FROM explained",
     "c10_activity": f"SELECT repo, path, concat_ws(' · ', 'Changed ' || freq || '× by ' || authors || CASE WHEN authors = 1 THEN ' author' ELSE ' authors' END, CASE WHEN ownership >= 0.6::DOUBLE THEN 'fragmented ownership' WHEN ownership >= 0.3::DOUBLE THEN 'shared ownership' END, CASE WHEN coupling >= 0.6::DOUBLE THEN 'strongly coupled to other files' WHEN coupling >= 0.3::DOUBLE THEN 'coupled to other files' END, CASE WHEN churn > 0 THEN churn || ' lines churned' END) AS activity, 'commits ' || freq || ' · churn ' || churn || ' · authors ' || authors || ' · ownership ' || {_PCT('ownership')} || ' fragmented · coupling ' || {_PCT('coupling')} || ' · complexity ' || complexity AS signals, CASE tier WHEN 'critical' THEN '!!' WHEN 'high' THEN '!' WHEN 'medium' THEN '·' ELSE '' END AS badge, CASE trend WHEN 'rising' THEN '↑' WHEN 'stable' THEN '→' ELSE '↓' END AS arrow FROM risk",

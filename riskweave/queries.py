@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import testdata as td
 from .functions import code as fc
 from .functions import commits as fm
 from .functions import paths as fp
 from .functions import text as ft
-from .operators import churn, code, coupling, explain, history, review, risk, tree
+from .operators import churn, code, coupling, history, review, risk, tree
 from .params import SIGNALS, Params
 from .plans import scan
 from .sources import report, snapshot, tables
-from .sources.shared import new_folder, stored
+from .sources.shared import drop_stored, new_folder, stored
 
 P = Params()
 QUERIES = {}
@@ -37,11 +38,15 @@ def history_of(spark, sf):
     """Churn and links, stored: touches are derived once and read twice."""
     t = stored(td.touches(spark, sf), "touches")
     files = stored(churn_of(spark, sf, t), "churn")
-    return files, stored(scan.links_of(t, files, P), "links")
+    links = stored(scan.links_of(t, files, P), "links")
+    drop_stored(t)
+    return files, links
 
 
 def links_of(spark, sf):
-    return history_of(spark, sf)[1]
+    files, links = history_of(spark, sf)
+    drop_stored(files)
+    return links
 
 
 def partners_of(spark, sf):
@@ -50,16 +55,18 @@ def partners_of(spark, sf):
 
 def norm_of(spark, sf, history=None):
     files, links = history or history_of(spark, sf)
-    return risk.normalised(stored(risk.signals(files, code.complexity(td.files(spark, sf)), coupling.coupling_signal(links)), "signals"))
+    raw = stored(risk.signals(files, code.complexity(td.files(spark, sf)), coupling.coupling_signal(links)), "signals")
+    if history is None:
+        drop_stored(files, links)
+    return risk.normalised(raw)
 
 
-def risk_of(spark, sf, history=None):
-    return risk.ranked(risk.scored(norm_of(spark, sf, history)))
+def risk_of(spark, sf):
+    return scan.scan(td.touches(spark, sf), td.files(spark, sf), Params(explain=False), td.commits(spark, sf))
 
 
 def explained_of(spark, sf):
-    own = history_of(spark, sf)
-    return explain.explained(risk_of(spark, sf, own), coupling.partners(own[1], P.top_k))
+    return scan.scan(td.touches(spark, sf), td.files(spark, sf), P, td.commits(spark, sf))
 
 
 def regions_of(spark, sf):
@@ -76,7 +83,7 @@ def set_of(spark, sf):
 
 @query
 def s1_log_dump(spark, sf):
-    """Dumps of 500 commits each, made from the touches and parsed again."""
+    """Dumps of 500 commits each, made from the touches and parsed again as whole texts."""
     t = td.touches(spark, sf)
     row = F.format_string("%d\t%d\t%s", "added", "deleted", "path")
     one = t.groupBy("repo", "walk_seq", "sha", "author", "author_date", "subject").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
@@ -88,6 +95,21 @@ def s1_log_dump(spark, sf):
     return parsed.join(walk, "sha").groupBy("repo", F.col("w").alias("walk_seq"), "author", "subject", "is_bugfix", "path", "added", "deleted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def s1_log_lines(spark, sf):
+    """Dumps of 5000 commits in blocks of 1000 lines, which cut commits anywhere, parsed line by line."""
+    t = td.touches(spark, sf)
+    c = t.groupBy("repo", "walk_seq", "sha", "author", "author_date", "subject").agg(F.array_sort(F.collect_list(F.struct("row_no", F.format_string("%d\t%d\t%s", "added", "deleted", "path").alias("t")))).alias("r"))
+    head = F.concat_ws("\0", F.col("sha").cast("string"), "author", "author_date", "subject")
+    lines = c.select("repo", "walk_seq", F.posexplode(F.concat(F.array(head, F.lit("")), F.transform("r", lambda x: x["t"]), F.array(F.lit("")))).alias("i", "value"))
+    dump = F.floor((F.col("walk_seq") - 1) / 5000)
+    order = W.partitionBy("repo", "segment").orderBy("walk_seq", "i")
+    lines = lines.withColumn("segment", dump).withColumn("at", F.row_number().over(order)).withColumn("block", F.floor(F.col("at") / 1000))
+    parsed = history.parse_log_lines(lines)
+    walk = td.commits(spark, sf).select(F.col("sha").cast("string").alias("sha"), F.col("walk_seq").alias("w"))
+    return parsed.join(walk, "sha").select("repo", F.col("w").alias("walk_seq"), "author", "subject", "is_bugfix", "path", "added", "deleted")
+
+
 @query
 def s2_walk_order(spark, sf):
     return history.with_walk_order(td.commits(spark, sf).drop("walk_seq")).select("repo", "sha", "walk_seq")
@@ -101,16 +123,42 @@ def s3_text_contents(spark, sf):
 
 @query
 def s4_changed_paths(spark, sf):
-    c = td.changes(spark, sf).select("change_id", "repo", F.explode(F.array(F.concat(F.lit("  ./"), "path"), F.replace("path", F.lit("/"), F.lit("\\")), F.lit(" "))).alias("value"))
-    return tables.changed_paths(c)
+    """Each path written twice in other ways, and blank lines between; the first place counts."""
+    c = td.changes(spark, sf).select("change_id", "repo", "pos", F.posexplode(F.array(F.concat(F.lit("  ./"), "path"), F.replace("path", F.lit("/"), F.lit("\\")), F.lit(" "))).alias("i", "value"))
+    return tables.changed_paths(c.withColumn("pos", 3 * F.col("pos") + F.col("i")))
+
+
+SAVED_FIRST = ("BUILDING", "MACHINERY")
+
+
+def snapshot_of(spark, sf):
+    path, t, c = new_folder(spark, "snapshots"), td.touches(spark, sf), td.commits(spark, sf)
+    some = F.col("repo").isin(*SAVED_FIRST)
+    for touches, commits in ((t.where(some), c.where(some)), (t, c)):
+        drop_stored(*scan.resumed(touches, P, commits, path)[2])
+    return snapshot.load(spark, path, snapshot.hits(spark, path, history.heads(c), scan.settings_of(P)))
 
 
 @query
 def s5_snapshot(spark, sf):
-    path = new_folder(spark, "snapshot")
-    snapshot.save(churn_of(spark, sf), path, F.concat(F.lit("head-"), "repo"))
-    df = snapshot.load(spark, path, since_months=0)
-    return rounded(df.select("repo", "path", "commits", "bugfix_commits", "lines_added", "lines_deleted", "n_authors", "first_seen", "last_seen", "recent_commits", "recency_weight"), "recency_weight")
+    """Churn of all repos as a snapshot has it, excluded paths too: two repos saved first, the others by a resumed walk."""
+    df = churn.with_ownership(snapshot_of(spark, sf)[0])
+    return rounded(df.select("repo", "path", "commits", "bugfix_commits", "lines_added", "lines_deleted", "n_authors", "first_seen", "last_seen", "recent_commits", "recency_weight", "top_share", "minor_contributors"), "recency_weight", "top_share")
+
+
+@query
+def s5_snapshot_pairs(spark, sf):
+    """Co-change of all repos as a snapshot has it."""
+    return snapshot_of(spark, sf)[1]
+
+
+@query
+def s5_resumed_scan(spark, sf):
+    """The whole scan, of which two repos' histories come from a snapshot."""
+    path, t, c = new_folder(spark, "snapshots"), td.touches(spark, sf), td.commits(spark, sf)
+    some = F.col("repo").isin(*SAVED_FIRST)
+    drop_stored(*scan.resumed(t.where(some), P, c.where(some), path)[2])
+    return scan.scan(t, td.files(spark, sf), P, c, path).select("repo", "path", "score", "rank", "tier", "sentence")
 
 
 @query
@@ -194,8 +242,7 @@ def a1_file_churn(spark, sf):
 
 @query
 def a2_author_commits(spark, sf):
-    f = churn.file_churn(churn.file_author(td.touches(spark, sf)))
-    return f.select("repo", "path", F.explode("author_commits").alias("a")).select("repo", "path", F.col("a.name").alias("author"), "a.commits")
+    return churn.file_author(td.touches(spark, sf)).where("coalesce(author, '') <> ''").select("repo", "path", "author", "commits")
 
 
 @query
@@ -272,7 +319,13 @@ def w6_normalised_by_window(spark, sf):
 
 @query
 def l1_top_files(spark, sf):
-    return risk.top(risk_of(spark, sf).drop("rank"), 20).select("repo", "path", "score", "rank")
+    return risk.top(risk_of(spark, sf).drop("rank"), P.top_n).select("repo", "path", "score", "rank")
+
+
+@query
+def l1_hotspots(spark, sf):
+    """The job of the top list: the ranking's first files."""
+    return scan.hotspots(risk_of(spark, sf), P).select("repo", "path", "score", "rank")
 
 
 @query
@@ -320,8 +373,7 @@ def j7_regions(spark, sf):
 @query
 def j8_change_review(spark, sf):
     """All change sets at once: scored files, those without history and hints, one row for each."""
-    own = history_of(spark, sf)
-    scored, unknown, hints = scan.change_review(td.changes(spark, sf), stored(risk_of(spark, sf, own), "risk"), coupling.partners(own[1], P.top_k), Params(hint_floor=0.02))
+    scored, unknown, hints = scan.change_review(td.changes(spark, sf), risk_of(spark, sf), partners_of(spark, sf), Params(hint_floor=0.02))
     kinds = (scored.select("change_id", "repo", "path", F.lit("scored").alias("kind"), F.col("score").cast("string").alias("what")), unknown.select("change_id", "repo", "path", F.lit("new").alias("kind"), F.lit(None).cast("string").alias("what")), hints.select("change_id", "repo", "path", F.lit("hint").alias("kind"), F.col("partner").alias("what")))
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
@@ -342,9 +394,10 @@ def c14_names(spark, sf):
 
 @query
 def u2_working_set(spark, sf):
-    c = td.changes(spark, sf)
-    later = c.withColumns({"path": F.upper("path"), "pos": F.col("pos") + 1000})
-    return review.working_set(review.all_changes(c, c, later)).select("change_id", "repo", "path", "pos")
+    """Two lists: the second has other spellings at smaller places, and a file of its own."""
+    first = td.changes(spark, sf)
+    second = first.select("change_id", "repo", F.explode(F.array(F.upper("path"), F.lit("docs/Second.md"))).alias("path"), (F.col("pos") - 5).alias("pos"))
+    return review.working_set(review.all_changes(first.withColumn("pos", F.col("pos") + 500), second)).select("change_id", "repo", "path", "pos")
 
 
 @query

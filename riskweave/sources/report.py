@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import cell, percent, trend_label, why_cell
 from ..params import SIGNALS
@@ -17,14 +16,14 @@ RULE = "| - | ---- | ----: | ---- | ----- | ------: | ----: | ------: | --------
 
 
 def markdown(report: DataFrame, explain: bool = True) -> DataFrame:
-    """One row per line, by repo and line_no; rows of ranked files start at line 7. One pass: the first file brings the head,
-    the last one the closing blank line, and the number of files is the last rank."""
+    """One row per line, by repo and line_no; rows of ranked files start at line 7. The first file brings the head, the last
+    one the closing blank line, and the number of files is the last rank, one row for each repo."""
     text = lambda c: F.col(c).cast("string")
     cells = [text("rank"), cell(F.col("path")), text("score"), F.col("tier"), trend_label(F.col("trend")), text("freq"), text("churn"), text("authors"), *(F.concat(percent(F.col(c)).cast("string"), F.lit("%")) for c in ("ownership", "coupling")), F.col("complexity").cast("bigint").cast("string")]
     if explain:
         own = F.coalesce(*(F.when(F.col("dominant") == s, F.col(f"shares.{s}")) for s in SIGNALS))
         cells.append(cell(why_cell(F.col("dominant"), own)))
-    counted = report.withColumn("_n", F.max("rank").over(W.partitionBy("repo")))
+    counted = report.join(report.groupBy("repo").agg(F.max("rank").alias("_n")), "repo")
     n = F.col("_n")
     note = F.concat(n.cast("string"), F.when(n == 1, " scored file").otherwise(" scored files"), F.lit(NOTE))
     head = [F.lit(TITLE), F.lit(""), note, F.lit(""), F.lit(HEADS + (" Why |" if explain else "")), F.lit(RULE + (" ---- |" if explain else ""))]

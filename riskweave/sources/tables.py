@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import repo_key
-from ..operators.history import parse_log, with_walk_order
+from ..operators.history import parse_log_lines, with_walk_order
 
 COMMITS = "repo string, walk_seq bigint, sha string, author string, author_date string, author_ts timestamp, subject string, is_merge boolean"
 MAX_BYTES, SNIFF_BYTES = 1_500_000, 8_000
 
 
 def read_log_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Touches from a folder of dumps: <repo>.log, or <repo>.<segment>.log for large repos."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(name, r"^(.*?)(?:\.([0-9]+))?\.log$", 1).alias("repo"), F.regexp_extract(name, r"\.([0-9]+)\.log$", 1).alias("_s"))
-    return parse_log(files.withColumn("segment", F.coalesce(F.col("_s").try_cast("bigint"), F.lit(0))), segment="segment")
+    """Touches from a folder of dumps: <repo>.log, or <repo>.<segment>.log.
+
+    A dump may have any size: it is read by lines, in as many blocks as the file has splits, see parse_log_lines().
+    """
+    name = F.col("_metadata.file_name")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.regexp_extract(name, r"^(.*?)(?:\.([0-9]+))?\.log$", 1).alias("repo"), F.coalesce(F.regexp_extract(name, r"\.([0-9]+)\.log$", 1).try_cast("bigint"), F.lit(0)).alias("segment"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return parse_log_lines(lines)
 
 
 def read_commits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -45,6 +50,14 @@ def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> Da
 
 
 def changed_paths(lines: DataFrame) -> DataFrame:
-    """Distinct normalised paths of (change_id, repo, value) lines; blank lines go."""
+    """Distinct normalised paths of (change_id, repo, value, pos) lines, each at its first place; blank lines go."""
     clean = lines.withColumn("path", repo_key(F.regexp_replace("value", r"^\s+|\s+$", ""))).where("path <> ''")
-    return clean.select("change_id", "repo", "path").distinct()
+    return clean.groupBy("change_id", "repo", "path").agg(F.min(F.col("pos").cast("long")).alias("pos"))
+
+
+def read_changed_paths(spark: SparkSession, root: str) -> DataFrame:
+    """(change_id, repo, path, pos) of root/change_id=<id>/repo=<repo>/list=<n>/<any file>, a path a line: the list's number, then
+    the line, make pos, so that the first list's spelling counts."""
+    files = spark.read.schema("value string, change_id string, repo string, list int").text(root, wholetext=True)
+    lines = files.select("change_id", "repo", "list", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    return changed_paths(lines.withColumn("pos", F.col("list").cast("long") * F.lit(1 << 32) + F.col("line")))

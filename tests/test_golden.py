@@ -34,7 +34,7 @@ def log(spark):
 
 
 def test_recorded_log(log):
-    f = {r["path"]: r for r in churn.file_churn(churn.file_author(log)).collect()}
+    f = {r["path"]: r for r in churn.file_churn(churn.file_author(log), arrays=True).collect()}
     assert set(f) == {"src/core/gitReader.ts", "src/core/types.ts", "assets/logo.png", "src/core/new/util.ts", "README.md", "lib/b.ts"}
     g = f["src/core/gitReader.ts"]
     assert (g["commits"], g["lines_added"], g["lines_deleted"], g["bugfix_commits"]) == (2, 13, 3, 1)
@@ -218,13 +218,18 @@ def test_report(spark):
 
 
 def test_snapshot(spark, log, tmp_path):
-    f = churn.file_churn(churn.file_author(log))
-    path = str(tmp_path / "s")
-    snapshot.save(f, path, "h1")
-    snapshot.save(f.limit(2), path, "h2")
-    snapshot.save(f, path, "h1")
-    assert snapshot.load(spark, path, "r", "h1", 0).count() == 6 and snapshot.load(spark, path, head_sha="h2").count() == 2 and snapshot.load(spark, path, head_sha="no").isEmpty()
-    a, b = (sorted(map(str, x.select("path", "commits", "authors", "first_seen").collect())) for x in (f, snapshot.load(spark, path, head_sha="h1")))
+    f, pairs = churn.file_churn(churn.file_author(log), arrays=True), coupling.co_change(log)
+    path, heads = str(tmp_path / "s"), lambda sha: spark.createDataFrame([("r", sha)], "repo string, head_sha string")
+    found = lambda sha, settings="": snapshot.hits(spark, path, heads(sha), settings)
+    assert found("h1").isEmpty() and snapshot.load(spark, path, found("h1"))[0].isEmpty()
+    snapshot.save(f, pairs, heads("h1"), path)
+    snapshot.save(f.limit(2), pairs.limit(1), heads("h2"), path)
+    snapshot.save(f, pairs, heads("h1"), path)
+    snapshot.save(f, pairs, heads(None), path)
+    assert [snapshot.load(spark, path, found(h))[0].count() for h in ("h1", "h2", "no")] == [6, 2, 0] and found("h1", "since=3").isEmpty()
+    assert [snapshot.load(spark, path, found(h), "r")[1].count() for h in ("h1", "h2")] == [3, 1]
+    columns = ["path", "commits", "authors", "first_seen", "n_authors", "top_share", "minor_contributors", "fragmentation", "bugfix_density"]
+    a, b = (sorted(map(str, x.select(columns).collect())) for x in (f, churn.with_ownership(snapshot.load(spark, path, found("h1"))[0])))
     assert a == b
 
 
@@ -241,8 +246,9 @@ def test_readers(spark, tmp_path):
     (root / "r" / "big.ts").write_bytes(b"x" * 2000)
     got = tables.read_files(spark, str(root), 1000).collect()
     assert [(x["repo"], x["path"], x["content"]) for x in got] == [("r", "lib/a.ts", "ok �")]
-    lines = spark.createDataFrame([("c", "r", v) for v in (" ./a\\b.ts ", "a/b.ts", "  ", "c")], "change_id string, repo string, value string")
-    assert sorted(r["path"] for r in tables.changed_paths(lines).collect()) == ["a/b.ts", "c"]
+    lines = spark.createDataFrame([("c", "r", v) for v in (" ./a\\b.ts ", "a/b.ts", "  ", "c")], "change_id string, repo string, value string").withColumn("pos", F.monotonically_increasing_id())
+    got = tables.changed_paths(lines).orderBy("pos").collect()
+    assert [r["path"] for r in got] == ["a/b.ts", "c"] and got[0]["pos"] == 0
 
 
 def test_walk(spark):
