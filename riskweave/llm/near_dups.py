@@ -20,7 +20,9 @@ w - 4/9 (w + z) + 1. A text enters its prefix once for each class of partner siz
 as long as that class needs; occurrences that no other text holds count in the prefix but make no row. So a passage that
 very many texts share, however close to 0.8 it brings them, is joined on only by texts that own less than the prefix
 beside it. Rows of a prefix entry's most frequent component meet the others there, not each other; entries meet only if
-sizes and positions leave 4/9 (w + z) possible, and each pair is verified once. This stage loses no link among the texts
+sizes and positions leave 4/9 (w + z) possible, and each pair is verified once. Entries carry the parity of the text's
+occurrences in each of PARITY classes; two texts differ in no more parities than in occurrences, of which linked ones have (w + z)
+/ 9 at most, so that of texts that consist of the same common passages only near ones leave the join. This stage loses no link among the texts
 that enter it, also between texts that share no band.
 
 A pair of similarity exactly 0.8 that shares no bucket (2e-6) is found only if both texts enter the last stage. Links
@@ -55,6 +57,8 @@ FRUITFUL = 20  # a leader round is followed by another if more than one in so ma
 HOT_SHARE = 1000
 GROUP = 30_000  # shingles that are signed together
 STEPS = 4
+PARITY = 512  # classes of occurrences, 64 to a column
+PARITIES = [f"parity{i}" for i in range(PARITY // 64)]
 SHARED_BANDS = 3  # that a further leader and a member have in common, to be verified in a leader round
 U = np.uint64
 
@@ -292,13 +296,20 @@ def prefix_entries(bags: DataFrame) -> DataFrame:
         ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32)))]
 
+    def parities(values):
+        out = np.zeros((len(values), PARITY // 64), np.int64)
+        for i, v in enumerate(values):
+            bits = np.bincount(np.frombuffer(v, np.uint32) % PARITY, minlength=PARITY) & 1
+            out[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+        return [pa.array(c) for c in out.T]
+
     occurring = add_columns(bags.select("node", "bag"), ["bag"], [T.StructField("occ", T.ArrayType(T.IntegerType()))], unpack)
     occurring = stored(occurring.select("node", F.explode("occ").alias("occ")), "occurring")
     total = occurring.count()
     held = stored(occurring.groupBy("occ").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "held")
     known = join_unique(occurring, held, "occ", "df", total)
     known = known.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "occ"))).alias("known"))
-    e = bags.select("node", "comp", "weight").join(known, "node")
+    e = add_columns(bags.select("node", "comp", "weight", "bag"), ["bag"], [T.StructField(p, T.LongType()) for p in PARITIES], parities).drop("bag").join(known, "node")
     step, w = float(np.log(1 / THRESHOLD) / STEPS), F.col("weight")
     size_class = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
     own, alone = size_class(w), (w - F.size("known")).cast("int")
@@ -311,7 +322,7 @@ def prefix_entries(bags: DataFrame) -> DataFrame:
         return F.transform(rows, lambda x, i: F.struct(x["occ"].alias("occ"), F.least(own, c).alias("low"), F.greatest(own, c).alias("high"), (alone + i).alias("pos")))
 
     all_ = F.flatten(F.transform(F.sequence(size_class(least), size_class(F.floor(w / THRESHOLD + 1e-9))), entered))
-    out = stored(e.select("node", "comp", "weight", F.explode(all_).alias("e")).select("e.*", "node", "comp", "weight"), "entries")
+    out = stored(e.select("node", "comp", "weight", *PARITIES, F.explode(all_).alias("e")).select("e.*", "node", "comp", "weight", *PARITIES), "entries")
     drop_stored(occurring, held)
     return out
 
@@ -324,11 +335,12 @@ def prefix_pairs(bags: DataFrame) -> DataFrame:
     most = per_comp.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     most = stored(most.select(*key, F.col("most.comp").alias("main")), "main")
     met = stored(entries.join(most, key), "met")
-    others = met.where("comp <> main").select(*key, *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "weight", "pos")))
+    others = met.where("comp <> main").select(*key, *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "weight", "pos", *PARITIES)))
     ahead = F.least(F.col("weight") - F.col("pos"), F.col("weight_a") - F.col("pos_a"))  # what may be common from here on
     sizes = F.least("weight", "weight_a") * 5 >= F.greatest("weight", "weight_a") * 4
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_a"))) for p in PARITIES), F.lit(0)) * 9 <= F.col("weight") + F.col("weight_a")
     once = (F.col("comp") == F.col("main")) | (F.col("node") > F.col("node_a"))
-    found = met.join(others, key).where((F.col("comp") != F.col("comp_a")) & once & sizes & (ahead * 9 >= (F.col("weight") + F.col("weight_a")) * 4))
+    found = met.join(others, key).where((F.col("comp") != F.col("comp_a")) & once & sizes & (ahead * 9 >= (F.col("weight") + F.col("weight_a")) * 4) & differ)
     swapped = F.col("node_a") < F.col("node")
     ends = lambda first, other: F.when(swapped, F.col(first)).otherwise(F.col(other))
     pairs = found.select(ends("node_a", "node").alias("a"), ends("node", "node_a").alias("b"), ends("comp_a", "comp").alias("comp_a"), ends("comp", "comp_a").alias("comp_b"))
@@ -378,6 +390,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while fruitful:  # another leader for each band, as long as a good part of its pairs are links
         apart = rest.where("comp <> lead_comp")
         first = apart.groupBy("band").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("f")).select("band", F.col("f.node").alias("a"), F.col("f.comp").alias("comp_a"))
+        first = stored(first, "first")  # a table, so that the rows of a hot band can be split in the join
         met = rest.join(first, "band").where("comp <> comp_a").groupBy("a", F.col("node").alias("b")).agg(F.min("comp_a").alias("comp_a"), F.min("comp").alias("comp_b"), F.count(F.lit(1)).alias("n"))
         new = stored(met.where(F.col("n") >= SHARED_BANDS).drop("n"), "pairs")
         found = stored(verified(new, bags), "links")
@@ -387,7 +400,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             comps = merged(found)
             before, rest = rest, mixed(rest)
             drop_stored(before)
-        drop_stored(new, found)
+        drop_stored(new, found, first)
     rest_texts = stored(rest.groupBy("node").agg(F.first("comp").alias("comp")).join(bags, "node"), "rest")
     new = prefix_pairs(rest_texts)
     found = stored(verified(new, bags), "links")

@@ -458,3 +458,15 @@ def test_pipeline_against_plain_python(spark, prose, tmp_path):
     assert len(kept) == len(set(classes.values())) == len({of[i] for i in kept}) and kept <= set(of)
     assert all(r["doc_tokens"] == tokens[r["doc_id"]] for r in rows)
     assert sum(r["length"] for r in rows) == sum(tokens[i] for i in kept) and len({900, 901} & kept) == 1
+
+
+def test_texts_of_common_passages(spark):
+    """Texts of 5 of 20 common passages, of which pairs with 4 of 5 in common are just under 0.8: only links leave the join."""
+    r = random.Random(1)
+    passages = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(20)]
+    texts = [" ".join(r.sample(passages, 5)) for _ in range(600)]
+    signed = near_dups.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp"), "weight", "bag")
+    pairs = {(x["a"], x["b"]) for x in near_dups.prefix_pairs(signed).collect()}
+    bags = [bag(t) for t in texts]
+    true = {(i, j) for j in range(len(texts)) for i in range(j) if 9 * sum((bags[i] & bags[j]).values()) >= 4 * (bags[i].total() + bags[j].total())}
+    assert true <= pairs and len(pairs) < 2 * len(true) + 20
