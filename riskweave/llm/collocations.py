@@ -34,6 +34,7 @@ from .packed import Numbers, U, mix, pack, pack_sorted, steps, targets, unpack,
 SUPPORT, LONGEST, SHARDS, TOP = 30, 4, 16, 2000
 CHUNK = 1_000_000  # words of a chunk
 RANGE = 2_000_000  # entries of a range of keys
+PARTS = 64
 BREAK = b"\xff"  # in no UTF-8 text
 FACTOR = U(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, tabs as spaces, piece breaks marked.
@@ -249,8 +250,11 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
         cuts = cuts.join(known.select("lang", F.col("key").alias(part), F.col("a").alias(count)), ["lang", part])
     cuts = cuts.withColumn("score", F.expr(f"CAST({exact('a')} * 2000000 AS DECIMAL(38, 0)) DIV ({exact('l')} + {exact('r')})"))
     lowest = cuts.groupBy("lang", "key").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("lang", "key", "c.score", "c.l", "c.r")
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "key", "phrase", "a").join(lowest, ["lang", "key"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    ranked = kept.select("lang", "key", "phrase", "a").join(lowest, ["lang", "key"]).withColumn("part", F.pmod("key", F.lit(PARTS)))
+    # the first of each part, then of those, so that a language's last task reads PARTS x top rows at most
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     out = stored(ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
     drop_stored(phrases, n)
     return out
