@@ -48,7 +48,7 @@ QUANTUM, NONE = 20, 255
 HOT = 256
 CHUNK = 1_000_000  # tokens of a chunk
 RANGE = 1_000_000  # words of a range
-SHARD = 1_500_000  # n-grams of a shard
+SHARD = 750_000  # n-grams of a shard
 END = b"\n"  # no word: it is white space
 BEGIN, UNKNOWN = 0, (1 << 31) - 1  # numbers of the begin of a text and of words that training texts lack
 
@@ -186,9 +186,10 @@ def below(pointers: EliasFano, level: EliasFano, parent: np.ndarray, child: np.n
 
 
 def chunked(docs: DataFrame, held: F.Column) -> DataFrame:
-    """(chunk, doc_ids, held, sizes, tokens, hashes, ids): a stored table. Number 0 is the end token."""
+    """(chunk, doc_ids, held, sizes, tokens, hashes, order, ids): a stored table. Number 0 is the end token; hashes of words are
+    ascending, order has their numbers."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("order", T.BinaryType()), T.StructField("ids", T.BinaryType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -199,7 +200,9 @@ def chunked(docs: DataFrame, held: F.Column) -> DataFrame:
 
         def closed():
             ids = np.concatenate(parts)
-            values = made, *rows, len(ids), pack(word_hashes(list(numbers))), pack(ids)
+            hashes = word_hashes(list(numbers))
+            order = np.argsort(hashes)
+            values = made, *rows, len(ids), pack_sorted(hashes[order]), pack(order.astype(np.uint32)), pack(ids)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for whole in batches:
@@ -235,10 +238,9 @@ def count_words(chunks: DataFrame, ranges: int) -> DataFrame:
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                chunk, held, sizes, hashes, ids = (b.column(c)[row].as_py() for c in range(5))
-                h, counts = unpack(hashes), np.bincount(unpack(ids)[learned(held, sizes)], minlength=unpack_len(hashes))
-                order = np.argsort(h)
-                h, counts = h[order], counts[order].astype(U)
+                chunk, held, sizes, hashes, order, ids = (b.column(c)[row].as_py() for c in range(6))
+                h = unpack_sorted(hashes)
+                counts = np.bincount(unpack(ids)[learned(held, sizes)], minlength=len(h))[unpack(order)].astype(U)
                 cuts = np.searchsorted(targets(h, ranges), np.arange(ranges + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 columns = [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array([f(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()) for f, x in ((pack_sorted, h), (pack, counts)))]
@@ -265,14 +267,10 @@ def count_words(chunks: DataFrame, ranges: int) -> DataFrame:
         return pa.table([t["chunk"], t["range"], pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(once * total.sum()), pa.array(once * (total > 0).sum())], names=["chunk", "range", "numbers", "counts", "train", "distinct"])
 
     ship(chunks.sparkSession)
-    parts = chunks.select("chunk", "held", "sizes", "hashes", "ids").mapInArrow(sent, "range int, chunk long, hashes binary, counts binary")
+    parts = chunks.select("chunk", "held", "sizes", "hashes", "order", "ids").mapInArrow(sent, "range int, chunk long, hashes binary, counts binary")
     return stored(parts.groupBy("range").applyInArrow(numbered, "chunk long, range int, numbers binary, counts binary, train long, distinct long"), "words")
 
 
-def unpack_len(b: bytes) -> int:
-    return int.from_bytes(b[1:9], "little")
-
-
 @dataclass
 class Grams:
     """The n-grams of a chunk: pairs and triples by shard, then ascending, and for each token the place of its own.
@@ -346,11 +344,10 @@ def grams(word: np.ndarray, train: np.ndarray, sizes: list[int], hot: np.ndarray
     return Grams(every_xy[order], every_count[order], every_shard[order], own[z_order], z[z_order], z_count[z_order], moved[place[:n]], triples, np.where(triples >= 0, own[triple], -1))
 
 
-def words_of(hashes: bytes, ids: bytes, replies: list) -> tuple[np.ndarray, np.ndarray]:
+def words_of(order: bytes, ids: bytes, replies: list) -> tuple[np.ndarray, np.ndarray]:
     """(number, training count) of each token."""
     replies = sorted(replies, key=lambda r: r["range"])
-    order, i = np.argsort(unpack(hashes)), unpack(ids)
-    out = []
+    order, i, out = unpack(order), unpack(ids), []
     for name in ("numbers", "counts"):
         a = np.empty(len(order), U)
         a[order] = np.concatenate([unpack(r[name]) for r in replies])
@@ -364,8 +361,8 @@ def sent_grams(chunks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                chunk, held, sizes, hashes, ids, replies = (b.column(c)[row].as_py() for c in range(6))
-                g = grams(words_of(hashes, ids, replies)[0], learned(held, sizes), sizes, hot, shards)
+                chunk, held, sizes, order, ids, replies = (b.column(c)[row].as_py() for c in range(6))
+                g = grams(words_of(order, ids, replies)[0], learned(held, sizes), sizes, hot, shards)
                 cuts = np.searchsorted(g.shard, np.arange(shards + 1))
                 z_cuts = np.searchsorted(g.parent, cuts)
                 out = ([], [], [], [], [], [])
@@ -377,7 +374,7 @@ def sent_grams(chunks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "chunk", "xy", "xy_count", "parent_z", "z_count"])
 
     ship(chunks.sparkSession)
-    return chunks.select("chunk", "held", "sizes", "hashes", "ids", "replies").mapInArrow(run, "shard int, chunk long, xy binary, xy_count binary, parent_z binary, z_count binary")
+    return chunks.select("chunk", "held", "sizes", "order", "ids", "replies").mapInArrow(run, "shard int, chunk long, xy binary, xy_count binary, parent_z binary, z_count binary")
 
 
 def mapped(blob: bytes) -> np.ndarray:
@@ -485,8 +482,8 @@ def score(docs: DataFrame, held: F.Column, model_path: str | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                doc_ids, held_, sizes, hashes, ids, replies, said = (b.column(c)[row].as_py() for c in range(7))
-                word, c = words_of(hashes, ids, replies)
+                doc_ids, held_, sizes, order, ids, replies, said = (b.column(c)[row].as_py() for c in range(7))
+                word, c = words_of(order, ids, replies)
                 g = grams(word, learned(held_, sizes), sizes, hot_words, shards)
                 said = sorted(said, key=lambda r: r["shard"])
                 p2, l3, l2, p3 = (np.r_[VALUES[np.concatenate([unpack(r[name]) for r in said])] if said else np.zeros(0), last] for name, last in (("p2", 0.0), ("l3", 1.0), ("l2", 1.0), ("p3", 0.0)))
@@ -509,7 +506,7 @@ def score(docs: DataFrame, held: F.Column, model_path: str | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     asked = answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("shard", "p2", "l3", "l2", "p3")).alias("said"))
-    whole = chunks.join(told, "chunk").join(asked, "chunk", "left").select("doc_ids", "held", "sizes", "hashes", "ids", "replies", F.coalesce("said", F.array()).alias("said"))
+    whole = chunks.join(told, "chunk").join(asked, "chunk", "left").select("doc_ids", "held", "sizes", "order", "ids", "replies", F.coalesce("said", F.array()).alias("said"))
     out = stored(whole.mapInArrow(run, schema), "scores")
     drop_stored(chunks, words, answers)
     return out
