@@ -67,13 +67,13 @@ class BoostedTrees:
 class Logistic:
     """Ridge logistic regression by Newton steps on standardised features."""
 
-    def __init__(self, l2: float = 1.0, steps: int = 25):
-        self.l2, self.steps = l2, steps
+    def __init__(self, l2: float = 1.0, steps: int = 25, least: float = 1e-9):
+        self.l2, self.steps, self.least = l2, steps, least
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
         weight = np.ones(len(y)) if weight is None else weight
         self.mean, self.scale = x.mean(0), x.std(0)
-        self.scale[self.scale < 1e-9] = 1
+        self.scale = np.where(self.scale < 1e-9, 1, np.maximum(self.scale, self.least))
         self.w = np.zeros(x.shape[1] + 1)
         for _ in range(self.steps):
             if self.step(*self.slopes(x, y, weight)) < 1e-6:
@@ -96,7 +96,7 @@ class Logistic:
         return most
 
     def copy(self) -> Logistic:
-        out = Logistic(self.l2, self.steps)
+        out = Logistic(self.l2, self.steps, self.least)
         out.mean, out.scale, out.w = self.mean, self.scale, self.w.copy()
         return out
 

@@ -1,11 +1,13 @@
 """Quality classifier: co-training of a text-content view and a page-metadata view.
 
 The content view sees the text (letters, capitals, symbols, repetition, vocabulary, line layout); the metadata view sees
-only the record's other fields (source, language, n_chars). Each view's logistic regression starts from the labelled
+only the record's other fields (source, language, n_chars) and, without any label, what the corpus holds of the record's source:
+its rows, its share of repeated lengths, the place of the record's length among its lengths, and its share of the record's
+language. Sources are taken together in SOURCES groups by a hash, so that these statistics are a small table. Each view's logistic regression starts from the labelled
 training rows. In each of ROUNDS rounds both score every unlabelled row outside the held-out fifth; a view's most
-confident rows (the outer SHARE, in the classes' own proportion) become pseudo-labelled training rows of the other view,
-good and bad ones each only if the view is right on PRECISION of the labelled rows kept out of its fit that lie as far
-out, so that a view that can't tell doesn't teach. At the end each view is calibrated (isotonic) on these rows, and a
+confident rows (the outer SHARE, in the next round twice, then thrice that, in the classes' own proportion) become
+pseudo-labelled training rows of the other view unless that is sure of them itself, good and bad ones each only as far in as the
+view is right on PRECISION of the labelled rows kept out of its fit, so that a view that can't tell doesn't teach. At the end each view is calibrated (isotonic) on these rows, and a
 logistic regression over both calibrated views gives the quality of all documents.
 
 Learned from at most MAX_TRAIN labelled rows (those with the least hash of doc_id, one for each doc_id) outside the
@@ -16,13 +18,15 @@ driver sees two small matrices from each. Scoring is one narrow pass over all te
 Defined cases: null and empty texts are scored by the same features, all near 0; very long texts as a whole; a null
 source, lang or n_chars is a value of its own; a doc_id labelled more than once is good only if all its labels say so;
 of a repeated labelled doc_id one row is learned from, unlabelled rows count as often as they occur; without labels of
-both kinds every score is 1, with a warning; rows are independent; columns of the input named like an output are replaced.
+both kinds every score is 1, with a warning; rows with a null doc_id are scored and never learned from; rows depend on each other
+only by the statistics of sources; columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import warnings
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from operator import eq
 
@@ -37,6 +41,7 @@ from .models import Isotonic, Logistic
 
 MAX_TRAIN = 20_000
 ROUNDS, SHARE, PRECISION = 3, 0.2, 0.94
+LEAST_SCALE = 0.25  # of a metadata feature: statistics that hardly differ among labelled sources are no reason to be sure of others
 STEPS = 2  # Newton steps for each view and round
 WEIGHT = 0.25  # of all pseudo-labelled rows together, against the labelled rows
 SOURCES = 64
@@ -65,19 +70,39 @@ def content(text: str | None) -> list[float]:
     ]
 
 
-def metadata(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """Features of the record's fields; nothing of the text."""
-    known = {"en": 0, "de": 1, "fr": 2, "es": 3}.get(lang or "", 4)
+LANGS = ("en", "de", "fr", "es")
+CUTS = [i / 20 for i in range(1, 20)]
+
+
+def statistics(docs: DataFrame) -> dict[int, tuple]:
+    """{group of sources: (log of its rows, share of repeated lengths, CUTS of its lengths, share of each of LANGS and of the rest)},
+    over all rows: at most SOURCES + 1 rows reach the driver."""
+    home = F.when(F.col("source").isNotNull(), F.crc32(F.encode("source", "UTF-8")) % SOURCES).otherwise(F.lit(-1)).cast("int")
+    per = docs.groupBy(home.alias("home")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("n_chars").alias("sized"), F.approx_count_distinct("n_chars", 0.02).alias("sizes"), F.percentile_approx("n_chars", CUTS, 1000).alias("cuts"),
+        *(F.count_if(F.col("lang") == x).alias(x) for x in LANGS))
+    out = {}
+    for r in per.collect():
+        shares = [r[x] / r["rows"] for x in LANGS]
+        out[r["home"]] = (float(np.log1p(r["rows"])), max(0.0, 1 - r["sizes"] / max(1, r["sized"])), list(r["cuts"] or []), [*shares, max(0.0, 1 - sum(shares))])
+    return out
+
+
+def metadata(source: str | None, lang: str | None, n_chars: int | None, known: dict[int, tuple]) -> list[float]:
+    """Features of the record's fields and of its source's statistics; nothing of the text."""
+    which = {x: i for i, x in enumerate(LANGS)}.get(lang or "", 4)
     home = zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % SOURCES if source is not None else -1
     size = np.log1p(max(0, n_chars or 0))
-    return [*(float(i == known) for i in range(5)), *(float(i == home) for i in range(SOURCES)), float(n_chars is None), size, size * size]
+    rows, repeated, cuts, shares = known.get(home, (0.0, 0.0, [], [0.0] * 5))
+    place = bisect_left(cuts, n_chars) / len(cuts) if cuts and n_chars is not None else 0.5
+    return [*(float(i == which) for i in range(5)), *(float(i == home) for i in range(SOURCES)), float(n_chars is None), size, size * size, rows, repeated, place, abs(2 * place - 1), shares[which]]
 
 
 class CoTrained:
     """Both views with their calibrations and the combination."""
 
-    def __init__(self, views, calibrations, combined):
-        self.views, self.calibrations, self.combined = views, calibrations, combined
+    def __init__(self, views, calibrations, combined, known=None):
+        self.views, self.calibrations, self.combined, self.known = views, calibrations, combined, known or {}
 
     def probabilities(self, xs: list[np.ndarray]) -> np.ndarray:
         p = np.stack([c(v.margin(x)) for v, c, x in zip(self.views, self.calibrations, xs, strict=True)], 1)
@@ -87,16 +112,16 @@ class CoTrained:
     def scores(self, *columns) -> np.ndarray:
         if self.views is None or not columns[0]:
             return np.ones(len(columns[0]))
-        return self.probabilities([np.array([content(t) for t in columns[0]]), np.array([metadata(*r) for r in zip(*columns[1:], strict=True)])])
+        return self.probabilities([np.array([content(t) for t in columns[0]]), np.array([metadata(*r, self.known) for r in zip(*columns[1:], strict=True)])])
 
 
 INPUTS = ["text", "source", "lang", "n_chars"]
 VIEWS = [T.StructField(f"view{k}", T.ArrayType(T.FloatType())) for k in (0, 1)]
 
 
-def with_views(docs: DataFrame) -> DataFrame:
+def with_views(docs: DataFrame, known: dict[int, tuple]) -> DataFrame:
     """docs' inputs with the features of both views."""
-    both = lambda t, s, g, n: [[content(a) for a in t], [metadata(*r) for r in zip(s, g, n, strict=True)]]
+    both = lambda t, s, g, n: [[content(a) for a in t], [metadata(*r, known) for r in zip(s, g, n, strict=True)]]
     return add_columns(docs, INPUTS, VIEWS, both)
 
 
@@ -106,7 +131,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def bounds(pool: DataFrame, views: list[Logistic], kept: list[np.ndarray], y: np.ndarray, good: float, share: float) -> list[tuple[float, float]]:
     """For each view the margins at or under which, and at or over which, its unlabelled rows count as labelled. kept, y: the
-    labelled rows that judge whether the view is precise so far out; where it isn't, the bound is infinite."""
+    labelled rows that judge how far in the view is precise; where it isn't anywhere, the bound is infinite."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,15 +141,24 @@ def bounds(pool: DataFrame, views: list[Logistic], kept: list[np.ndarray], y: np
     m = pool.mapInArrow(run, "m0 double, m1 double")
     at = [float(share * (1 - good)), float(1 - share * good)]
     got = m.agg(*(F.percentile_approx(f"m{k}", at, 10_000).alias(f"m{k}") for k in (0, 1))).first()
-    precise = lambda right: (right.sum() + 1) / (len(right) + 2) >= PRECISION
     out = []
     for v, x, g in zip(views, kept, got, strict=True):
         low, high = g or (-np.inf, np.inf)
         own = v.margin(x)
-        out.append((low if precise(y[own <= low] == 0) else -np.inf, high if precise(y[own >= high] == 1) else np.inf))
+        out.append((min(low, precise_to(own, y == 0)), max(high, -precise_to(-own, y == 1))))
     return out
 
 
+def precise_to(margin: np.ndarray, right: np.ndarray) -> float:
+    """The largest margin up to which PRECISION of the rows are right, a right and a wrong one added; minus infinity if there is
+    none."""
+    order = np.argsort(margin, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    last = np.r_[margin[order][1:] != margin[order][:-1], True] if len(order) else np.zeros(0, bool)
+    good = np.flatnonzero(last & ((np.cumsum(right[order]) + 1) / (n + 2) >= PRECISION))
+    return float(margin[order][good[-1]]) if len(good) else -np.inf
+
+
 def pseudo_labelled(pool: DataFrame, teachers: list[Logistic], limits: list[tuple[float, float]], views: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each view the gradient, the curvature and the number of the rows that the other view is sure of and it isn't itself."""
 
@@ -158,10 +192,10 @@ def co_train(xs: list[np.ndarray], y: np.ndarray, pool: DataFrame, calibrate: np
     if len(set(y[fit_on])) < 2 or len(set(y[calibrate])) < 2:
         fit_on = calibrate = np.ones(len(y), bool)
     good = y[fit_on].mean()
-    views = [Logistic().fit(x[fit_on], y[fit_on]) for x in xs]
-    for _ in range(rounds):
+    views = [Logistic(least=least).fit(x[fit_on], y[fit_on]) for x, least in zip(xs, (1e-9, LEAST_SCALE), strict=True)]
+    for turn in range(rounds):
         teachers = [v.copy() for v in views]
-        limits = bounds(pool, teachers, [x[calibrate] for x in xs], y[calibrate], good, share)
+        limits = bounds(pool, teachers, [x[calibrate] for x in xs], y[calibrate], good, min(1.0, share * (turn + 1)))
         for _ in range(STEPS):
             for k, (g, h, n) in enumerate(pseudo_labelled(pool, teachers, limits, views)):
                 weight = WEIGHT * fit_on.sum() / max(n, 1)
@@ -174,17 +208,20 @@ def co_train(xs: list[np.ndarray], y: np.ndarray, pool: DataFrame, calibrate: np
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> CoTrained:
     ship(docs.sparkSession)
-    own = with_views(training_rows(docs, labels, F.min("quality"), limit, INPUTS)).select("doc_id", "y", "fold", "view0", "view1").toPandas()
+    stats = statistics(docs)
+    own = with_views(training_rows(docs, labels, F.min("quality"), limit, INPUTS), stats).select("doc_id", "y", "fold", "view0", "view1").toPandas()
     if own["y"].nunique() < 2:
         warnings.warn("no labels of both kinds among the training rows: every document gets a quality of 1", stacklevel=2)
         return CoTrained(None, None, None)
     own = own.sort_values("doc_id", kind="stable")
     known = labels.where("quality IS NOT NULL").select("doc_id").distinct()
     rest = docs.where(~is_held_out() & F.col("doc_id").isNotNull()).select("doc_id", *INPUTS)
-    pool = stored(with_views(rest).select("doc_id", "view0", "view1").join(known, "doc_id", "left_anti").select("view0", "view1"), "pool")
+    pool = stored(with_views(rest, stats).select("doc_id", "view0", "view1").join(known, "doc_id", "left_anti").select("view0", "view1"), "pool")
     xs = [np.array(own[f"view{k}"].tolist(), float) for k in (0, 1)]
     try:
-        return co_train(xs, own["y"].to_numpy(float), pool, own["fold"].to_numpy() == 1)
+        model = co_train(xs, own["y"].to_numpy(float), pool, own["fold"].to_numpy() == 1)
+        model.known = stats
+        return model
     finally:
         drop_stored(pool)
 

@@ -204,7 +204,7 @@ def test_quality_query(spark, prose, tmp_path):
     model = quality.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:200], LABELS))
     for i, t, lang, source, n in docs[::7]:
         odds = []
-        for view, calibrated, x in zip(model.views, model.calibrations, (quality.content(t), quality.metadata(source, lang, n)), strict=True):
+        for view, calibrated, x in zip(model.views, model.calibrations, (naive_content(t), naive_metadata(docs, source, lang, n)), strict=True):
             z = [min(8, max(-8, (a - m) / s)) for a, m, s in zip(x, view.mean, view.scale, strict=True)]
             p = min(1 - 1e-4, max(1e-4, stepped(calibrated, sum(a * w for a, w in zip([*z, 1], view.w, strict=True)))))
             odds.append(np.log(p / (1 - p)))
@@ -218,6 +218,107 @@ def test_metadata_view_sees_no_text():
     assert "text" not in quality.metadata.__code__.co_varnames
 
 
+def of_junk(r, kind, n=24):
+    """Plain words, or such with one of two kinds of junk."""
+    words = [r.choice(("river", "stone", "garden", "window", "letter", "market")) for _ in range(n)]
+    if kind == "echo":
+        words = [w for w in words[: n // 3 + 1] for _ in range(3)]
+    return " ".join(w + "!!" * (kind == "bangs") for w in words)
+
+
+def test_both_views_teach(spark, tmp_path):
+    """Labels know one kind of junk and half of the sources. The other kind comes from known sources, and the known kind from other
+    sources: each view can learn the rest from the other only, and does."""
+    r, docs, labels = random.Random(5), [], []
+    names, taken = [], set()
+    for i in range(400):
+        if zlib.crc32(f"site{i}".encode()) % quality.SOURCES not in taken and len(names) < 20:
+            taken.add(zlib.crc32(f"site{i}".encode()) % quality.SOURCES)
+            names.append(f"site{i}")
+    groups = [("labelled", range(10), "bangs")] * 3 + [("pool", range(10), "echo"), ("pool", range(10, 20), "bangs")] * 3
+    for i in range(6000):
+        group, sources, junk = groups[i % len(groups)]
+        s = r.choice(sources)
+        text = of_junk(r, junk if s % 2 else "plain", r.randrange(15, 40))
+        docs.append((i, text, "en", names[s], len(text)))
+        if group == "labelled":
+            labels.append((i, int(s % 2 == 0), 0))
+    df, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    before, after = (fitted(df, known, rounds) for rounds in (0, quality.ROUNDS))
+    held = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5 == 0 and groups[d[0] % len(groups)][0] == "pool"]
+    right = lambda model, k, junk: np.mean([(model.views[k].margin(np.array([x]))[0] >= 0) == (names.index(d[3]) % 2 == 0) for d in held if groups[d[0] % len(groups)][2] == junk for x in [(quality.content(d[1]), quality.metadata(d[3], d[2], d[4], model.known))[k]]])
+    content, metadata = [right(m, 0, "echo") for m in (before, after)], [right(m, 1, "bangs") for m in (before, after)]
+    assert content[0] < 0.8 and content[1] > 0.95, (content, metadata)
+    assert metadata[0] < 0.93 and metadata[1] > 0.97, (content, metadata)
+    scored = after.scores(*([d[i] for d in held] for i in (1, 3, 2, 4)))
+    assert np.mean([(p >= 0.5) == (names.index(d[3]) % 2 == 0) for p, d in zip(scored, held, strict=True)]) > 0.97
+
+
+def fitted(df, known, rounds):
+    was, quality.ROUNDS = quality.co_train.__defaults__, rounds
+    quality.co_train.__defaults__ = (rounds, *was[1:])
+    try:
+        return quality.fit(df, known)
+    finally:
+        quality.co_train.__defaults__, quality.ROUNDS = was, was[0]
+
+
+def test_one_round_of_teaching(spark):
+    """bounds() and pseudo_labelled() against loops over rows."""
+    r = np.random.default_rng(3)
+    x = [r.normal(size=(900, 3)), r.normal(size=(900, 2))]
+    truth = x[0][:, 0] + x[1][:, 0] > 0
+    views = [quality.Logistic().fit(v[:300], truth[:300].astype(float)) for v in x]
+    pool = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(*x, strict=True)], "view0 array<float>, view1 array<float>").repartition(3)
+    sure = [np.r_[np.abs(r.normal(size=(60, 1))) * 4, np.abs(r.normal(size=(60, 1))) * -4][:, [0] * v.shape[1]] * np.r_[1, np.zeros(v.shape[1] - 1)] for v in x]
+    y = np.r_[np.ones(60), np.zeros(60)]
+    limits = quality.bounds(pool, views, sure, y, 0.5, 0.4)
+    for (low, high), view, v, s in zip(limits, views, x, sure, strict=True):
+        m, own = np.sort(view.margin(v.astype(np.float32).astype(float))), view.margin(s)
+        far = [t for t in own if (sum(y[i] == 0 for i in range(120) if own[i] <= t) + 1) / (sum(own <= t) + 2) >= quality.PRECISION]
+        up = [t for t in own if (sum(y[i] == 1 for i in range(120) if own[i] >= t) + 1) / (sum(own >= t) + 2) >= quality.PRECISION]
+        assert low == max(far) or (low <= max(far) and abs(np.searchsorted(m, low) / len(m) - 0.2) < 0.01)
+        assert high == min(up) or (high >= min(up) and abs(np.searchsorted(m, high) / len(m) - 0.8) < 0.01)
+    assert not np.isinf(limits[0]).all() and not np.isinf(limits[1]).all()
+    said = [[None if lo < m < hi else float(m >= hi) for m in view.margin(v.astype(np.float32).astype(float))] for view, v, (lo, hi) in zip(views, x, limits, strict=True)]
+    for k, (g, h, n) in enumerate(quality.pseudo_labelled(pool, views, limits, views)):
+        rows = [i for i in range(900) if said[1 - k][i] is not None and said[k][i] is None]
+        assert n == len(rows) > 20
+        expected = views[k].slopes(x[k][rows].astype(np.float32).astype(float), np.array([said[1 - k][i] for i in rows]), np.ones(len(rows)))
+        assert np.allclose(g, expected[0], atol=1e-4) and np.allclose(h, expected[1], atol=1e-4)
+
+
+def naive_content(text):
+    """The content view's features, character by character and word by word."""
+    text = text or ""
+    raw = text.encode()
+    size = max(1, len(raw))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    count = lambda chars: sum(b < 128 and chr(b) in chars for b in raw)
+    classes = [lower, upper, "0123456789", ".", ",;:", "#$%&*+/<=>@\\^_`|~{}[]", "!?", " \n\t\r"]
+    words, lines = text.split(), text.split("\n")
+    n, lengths = max(1, len(words)), [len(x) for x in lines]
+    mean = sum(lengths) / len(lengths)
+    sd = (sum((x - mean) ** 2 for x in lengths) / len(lengths)) ** 0.5
+    out = [count(c) / size for c in classes] + [sum(b >= 128 for b in raw) / size]
+    out += [count(upper) / max(1, count(lower) + count(upper)), count(classes[5]) / n, count("!?") / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n]
+    out += [np.log(1 + len(set(words))) - 0.8 * np.log(1 + len(words)), size / n, np.log(1 + len(words)), size / max(1, len(text)), np.log(1 + len(lines)), np.log(1 + mean), np.log(1 + max(lengths)), sd / (1 + mean)]
+    return out + [len(set(lines)) / len(lines), sum(x.rstrip().endswith((".", "!", "?")) for x in lines) / len(lines)]
+
+
+def naive_metadata(docs, source, lang, n):
+    """The metadata view's features from all records (id, text, lang, source, n_chars)."""
+    home = lambda s: -1 if s is None else zlib.crc32(s.encode()) % 64
+    mine = [d for d in docs if home(d[3]) == home(source)]
+    sizes = sorted(d[4] for d in mine if d[4] is not None)
+    cuts = [sizes[max(0, -(-len(sizes) * i // 20) - 1)] for i in range(1, 20)]
+    place = sum(c < n for c in cuts) / 19
+    same = [d for d in mine if d[2] == lang or (d[2] not in quality.LANGS and lang not in quality.LANGS)]
+    repeated = max(0.0, 1 - len(set(sizes)) / len(sizes))
+    langs = [float(lang == x) for x in quality.LANGS]
+    return [*langs, float(not any(langs)), *(float(i == home(source)) for i in range(64)), 0.0, np.log(1 + n), np.log(1 + n) ** 2, np.log(1 + len(mine)), repeated, place, abs(2 * place - 1), len(same) / len(mine)]
+
+
 def test_packing_query(spark, prose, tmp_path):
     docs, _ = labelled(prose, 60)
     docs += [(90, None, "en", "s", 0), (91, "", "en", "s", 0), (92, prose(5, 3000), "en", "s", 0)]
