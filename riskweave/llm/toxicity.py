@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a whole text: hits of a fixed and of a learned lexicon (counts, densities, distinct terms), hits near a
+Features of a whole text: hits of a lexicon that is learned from the labels alone (counts, densities, distinct terms), hits near a
 second-person word, obfuscated hits, and the rates of capitals, punctuation and obfuscation. The learned lexicon holds
 words and word beginnings that are far likelier in toxic than in other labelled training texts.
 
@@ -13,7 +13,7 @@ number is bounded by the thresholds LEAST, SHARE and LOG_ODDS alone. Scoring is
 
 Defined cases: null and empty texts are scored like any text without words; very long texts by the same features, over
 all their words; a doc_id labelled more than once is toxic if any of its labels says so; of a repeated doc_id one row is
-learned from; without labels of both kinds every score is 0, with a warning; rows are independent; columns of the input
+learned from; rows with a null doc_id are scored and never learned from; without labels of both kinds every score is 0, with a warning; rows are independent; columns of the input
 named like an output are replaced.
 """
 
@@ -38,14 +38,13 @@ LEAST, SHARE, LOG_ODDS = 4, 0.007, 2.5  # a term has LEAST contexts, and SHARE o
 PREFIXES = (4, 5, 6)
 NEAR = 5
 
-# Common insults and second-person words of the corpus's languages.
-INSULTS = frozenset("idiot moron stupid scum loser pathetic worthless trash clown disgusting dumb jerk fool idiota imbécil estúpido basura payaso asqueroso imbécile stupide ordure minable débile dégoûtant dumm blöd abschaum trottel versager erbärmlich widerlich".split())
+# Second-person words of the corpus's languages.
 SECOND = frozenset("you your yours yourself ya u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tuyo".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 WORD = re.compile(r"[^\W_](?:[\w@$!*|'’-]*\w)?")
 MIXED = re.compile(r"[^\W\d_][@$!*|0-9]+[^\W\d_]|(?:\b[^\W\d_][.\-_*]){3,}")
-FEATURES = ("fixed_hits", "fixed_density", "hits", "density", "distinct", "stem_hits", "stem_density", "near_second", "second_density", "obfuscated", "mixed_rate", "capital_share", "capital_words", "exclaim_rate", "question_rate", "repeat_punct", "log_words")
+FEATURES = ("hits", "density", "distinct", "stem_hits", "stem_density", "near_second", "second_density", "obfuscated", "mixed_rate", "capital_share", "capital_words", "exclaim_rate", "question_rate", "repeat_punct", "log_words")
 
 
 def words_of(text: str) -> list[str]:
@@ -59,7 +58,7 @@ def terms_of(text: str) -> set[str]:
 
 
 class Lexicon:
-    """Learned terms; code(word) is 1 for a listed word, 2 for a listed beginning, 4 for an obfuscated term, 8 for a fixed insult, 16 for a second-person word."""
+    """Learned terms; code(word) is 1 for a listed word, 2 for a listed beginning, 4 for an obfuscated term, 16 for a second-person word."""
 
     def __init__(self, terms):
         self.words = frozenset(t for t in terms if not t.endswith("*"))
@@ -74,17 +73,17 @@ class Lexicon:
         """Whether a word without a hit is a term once its look-alike characters are letters."""
         plain = w.translate(LEET).replace("-", "").replace("'", "").replace("’", "")
         bare = plain.replace("*", "")
-        if bare != w and (bare in self.words or bare in INSULTS or self._begins(bare)):
+        if bare != w and (bare in self.words or self._begins(bare)):
             return True
         stars = plain.count("*")
         if not stars or len(bare) < max(3, stars + 1):
             return False
         any_letter = lambda x: re.compile(re.escape(x).replace(r"\*", "."))
         whole = any_letter(plain)
-        return any(map(whole.fullmatch, (*self.words, *INSULTS))) or any(any_letter(plain[: len(s)]).fullmatch(s) for s in self.stems)
+        return any(map(whole.fullmatch, self.words)) or any(any_letter(plain[: len(s)]).fullmatch(s) for s in self.stems)
 
     def _code(self, w: str) -> int:
-        c = (w in self.words) | 8 * (w in INSULTS) | 16 * (w in SECOND)
+        c = (w in self.words) | 16 * (w in SECOND)
         c |= 2 * self._begins(w)
         return c or 4 * self._hidden(w)
 
@@ -119,7 +118,7 @@ def dense(text: str | None, lexicon: Lexicon) -> list[float]:
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     caps = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
     return [
-        np.log1p(of(8)), of(8) / n, np.log1p(of(1)), of(1) / n, len({words[i] for i in hit}), np.log1p(of(2)), of(2) / n, np.log1p(near), of(16) / n,
+        np.log1p(of(1)), of(1) / n, len({words[i] for i in hit}), np.log1p(of(2)), of(2) / n, np.log1p(near), of(16) / n,
         np.log1p(of(4)), len(MIXED.findall(text)) / n if not text.isalpha() else 0, upper / size, caps / n, text.count("!") / n, text.count("?") / n, (text.count("!!") + text.count("??")) / n, np.log1p(len(words)),
     ]
 

@@ -223,8 +223,8 @@ def test_toxicity(spark, prose):
     assert len(got) == 403 and all(0 <= v <= 1 for v in got.values()) and got[400] == got[401]
     assert np.mean([(got[i] >= 0.5) == bool(t) for i, _, t in rows[300:]]) >= 0.97
     assert {r["toxicity"] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
-    f = dict(zip(toxicity.FEATURES, toxicity.dense("You idiot! sc@m id1ot GO AWAY!! really?", toxicity.Lexicon(["scum"])), strict=True))
-    assert f["fixed_hits"] > 0 and f["near_second"] > 0 and f["capital_words"] > 0 and f["exclaim_rate"] > 0 and f["mixed_rate"] > 0 and f["obfuscated"] > 0
+    f = dict(zip(toxicity.FEATURES, toxicity.dense("You scum! sc@m sc*m GO AWAY!! really?", toxicity.Lexicon(["scum"])), strict=True))
+    assert f["hits"] > 0 and f["near_second"] > 0 and f["capital_words"] > 0 and f["exclaim_rate"] > 0 and f["mixed_rate"] > 0 and f["obfuscated"] > 0
 
 
 def test_quality(spark, prose):

@@ -137,8 +137,8 @@ def test_near_hits_at_every_size(k):
 
 def test_obfuscated_terms():
     lex = toxicity.Lexicon(["morlock", "grub*", "scum"])
-    code = {w: lex.codes([w])[0] for w in ("morlock", "m0rlock", "m*rlock", "mor*lock", "grubzit", "gr*bzit", "grub", "scvm", "sc*m", "s**m", "*", "idi0t", "river")}
-    assert code["morlock"] == 1 and code["grubzit"] == 2 and all(code[w] == 4 for w in ("m0rlock", "m*rlock", "mor*lock", "gr*bzit", "sc*m", "idi0t"))
+    code = {w: lex.codes([w])[0] for w in ("morlock", "m0rlock", "m*rlock", "mor*lock", "grubzit", "gr*bzit", "grub", "scvm", "sc*m", "s**m", "*", "mor1ock", "river")}
+    assert code["morlock"] == 1 and code["grubzit"] == 2 and all(code[w] == 4 for w in ("m0rlock", "m*rlock", "mor*lock", "gr*bzit", "sc*m"))
     assert all(code[w] == 0 for w in ("scvm", "s**m", "*", "river"))
 
 
@@ -185,13 +185,47 @@ def stepped(iso, m):
     return iso.y[-1]
 
 
+def naive_words(text):
+    return re.findall(r"[^\W_](?:[\w@$!*|'’-]*\w)?", (text or "").lower())
+
+
+def naive_terms(rows):
+    """The lexicon from (text, toxic) training rows: terms with enough words before them in toxic rows, far likelier there."""
+    forms = lambda w: [w] + [f"{w[:n]}*" for n in (4, 5, 6) if len(w) > n]
+    before, holds, size = defaultdict(set), [Counter(), Counter()], Counter(y for _, y in rows)
+    for t, y in rows:
+        words = naive_words(t)
+        holds[y].update({f for w in words for f in forms(w)})
+        if y:
+            for a, w in zip([""] + words, words):
+                for f in forms(w):
+                    before[f].add(a)
+    odds = lambda f: np.log((holds[1][f] + 0.5) / (size[1] + 1) / ((holds[0][f] + 0.5) / (size[0] + 1)))
+    kept = {f for f, a in before.items() if len(a) >= max(toxicity.LEAST, toxicity.SHARE * size[1]) and odds(f) >= toxicity.LOG_ODDS}
+    return {f for f in kept if not any(f"{f[:n]}*" in kept for n in (4, 5, 6) if len(f.rstrip("*")) > n)}
+
+
+def naive_toxic(text, terms):
+    """The toxicity features for texts without look-alike characters."""
+    text = text or ""
+    words, n = naive_words(text), max(1, len(naive_words(text)))
+    listed, begins = [w in terms for w in words], [any(f"{w[:k]}*" in terms for k in (4, 5, 6)) for w in words]
+    hit, you = [i for i in range(len(words)) if listed[i] or begins[i]], [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in hit)
+    caps = sum(len(w) > 2 and w.isupper() for w in text.split())
+    size = max(1, len(text))
+    return [np.log(1 + sum(listed)), sum(listed) / n, len({words[i] for i in hit}), np.log(1 + sum(begins)), sum(begins) / n, np.log(1 + near), len(you) / n, 0.0, 0.0, sum(c.isupper() for c in text) / size, caps / n, text.count("!") / n, text.count("?") / n, (text.count("!!") + text.count("??")) / n, np.log(1 + len(words))]
+
+
 def test_toxicity_query(spark, prose, tmp_path):
     docs, labels = labelled(prose, 300)
     folder = written(spark, tmp_path, docs, labels[:200])
     out = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, folder).collect()}
     model = toxicity.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:200], LABELS))
+    terms = naive_terms([(docs[i][1], y) for i, _, y in labels[:200] if zlib.crc32(str(i).encode()) % 5])
+    assert terms == model.lexicon.words | {f"{x}*" for x in model.lexicon.stems} and terms
     for i, t, *_ in docs:
-        expected = stepped(model.calibration, walked(model.trees, toxicity.dense(t, model.lexicon)))
+        expected = stepped(model.calibration, walked(model.trees, naive_toxic(t, terms)))
         assert abs(out[i]["score"] - expected) < 1e-9 and out[i]["predicted"] == int(out[i]["score"] >= 0.5)
         assert out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
     assert np.mean([out[i]["predicted"] == t for i, _, t in labels[200:]]) >= 0.97
