@@ -11,7 +11,7 @@ from ..sources.shared import stored
 HOT = 1000
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column | str], out: str) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[Column | str], out: str, kind: str = "bigint") -> DataFrame:
     """df with numbers from 1 within each group, by `order`; no task holds a whole group.
 
     Rows are dealt to ranges of (group, order) and sorted there; a group's rows in a range are numbered from the range's first,
@@ -26,7 +26,7 @@ def numbered(df: DataFrame, group: list[str], order: list[Column | str], out: st
     on = F.col("_part") == F.col("_p")
     for g in group:
         on &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    numbers = rows.join(runs, on).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
+    numbers = rows.join(runs, on).select(*df.columns, (F.col("_at") + F.col("_shift")).cast(kind).alias(out))
     numbers.stored_at = placed.stored_at
     return numbers
 

@@ -50,7 +50,7 @@ def scored(norm: DataFrame, weights: dict | None = None, thresholds: dict | None
 
 def ranked(risk: DataFrame) -> DataFrame:
     """Adds rank within the repo: score descending, path ascending. Eager, see numbered()."""
-    return numbered(risk, ["repo"], [F.desc("score"), F.col("path")], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return numbered(risk, ["repo"], [F.desc("score"), F.col("path")], "rank", "int")
 
 
 def top(risk: DataFrame, n: int = 20) -> DataFrame:

@@ -1,0 +1,266 @@
+"""Plans and shapes that must hold when one repository, path or file has very many rows; files and jobs end to end."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskweave import testdata as td
+from riskweave.operators import churn, code, coupling, history, numbering, review, risk
+from riskweave.params import Params
+from riskweave.plans import scan
+from riskweave.sources import report, snapshot, tables
+from riskweave.sources.shared import drop_stored, new_folder, stored
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df, kind="executedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+def windows(df):
+    return [x for x in plan_of(df, "optimizedPlan").splitlines() if "Window [" in x]
+
+
+# numbering and hot keys
+
+
+def test_numbers_across_ranges(spark):
+    """One group over several ranges, ties, nulls and many small groups, against a sort on the driver."""
+    r = random.Random(1)
+    data = [("big" if i % 3 else f"g{i % 40}", r.randrange(50) if i % 11 else None, i) for i in range(4000)] + [(None, 1, -1), (None, 2, -2)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbering.numbered(df, ["g"], [F.col("v").desc_nulls_last(), F.col("i")], "n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(got.stored_at).groupBy("g").agg(F.countDistinct(F.shiftright("_at", 33)).alias("n")).where("g = 'big'").first()["n"]
+    assert parts > 1
+    place = {(x["g"], x["i"]): x["n"] for x in got.collect()}
+    for g in {x[0] for x in data}:
+        mine = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is None, -(x[1] or 0), x[2]))
+        assert [place[g, x[2]] for x in mine] == list(range(1, len(mine) + 1))
+    drop_stored(got)
+
+
+def test_no_window_over_a_whole_repo(spark):
+    c = td.commits(spark, SF)
+    ranking = scan.scan(td.touches(spark, SF), None, Params(explain=False), c)
+    numbered = risk.ranked(ranking.drop("rank"))
+    for df in (numbered, history.with_walk_order(c.drop("walk_seq"))):
+        found = [w for w in windows(df)]
+        assert found and all("_part" in w for w in found)
+    assert rows_of(numbered.select("repo", "path", "rank")) == rows_of(ranking.select("repo", "path", "rank"))
+    explained = scan.scan(td.touches(spark, SF), None, Params(), c)
+    assert not windows(report.markdown(explained))
+    assert "WindowGroupLimit" in plan_of(risk.top(ranking, 3)) and "WindowGroupLimit" in plan_of(history.newest(c, 3))
+
+
+def test_no_author_lists_in_a_scan(spark):
+    t, c = td.touches(spark, SF), td.commits(spark, SF)
+    assert "collect_list" not in plan_of(scan.churn_of(t, commits=c), "optimizedPlan")
+    authors = stored(churn.file_author(t, commits=c), "authors")
+    plain, lists = churn.file_churn(authors), churn.file_churn(authors, arrays=True)
+    assert rows_of(plain) == rows_of(lists.select(plain.columns))
+    assert rows_of(plain) == rows_of(churn.with_ownership(lists.select("repo", *snapshot.names(snapshot.FIELDS))).select(plain.columns))
+    drop_stored(authors)
+
+
+def test_hub_path(spark):
+    """One path in half of all pairs: it meets its commits by broadcast, and its rows are spread by the partner."""
+    pairs = [("r", "hub", f"p{i}", 5 + i % 7) for i in range(3000)] + [("r", f"p{i}", f"p{i + 1}", 6) for i in range(0, 3000)] + [("s", "hub", "x", 9)]
+    files = [("r", "hub", 50_000)] + [("r", f"p{i}", 10 + i % 5) for i in range(2900)] + [("s", "hub", 7)]
+    p, f = spark.createDataFrame(pairs, "repo string, path_a string, path_b string, shared_commits long"), spark.createDataFrame(files, "repo string, path string, commits long")
+    got = {(x["repo"], x["path"], x["partner"]): x["strength"] for x in coupling.strengths(p, f).collect()}
+    revs = {(a, b): n for a, b, n in files}
+    want = {}
+    for repo, a, b, n in pairs:
+        most = max(revs.get((repo, a), 0), revs.get((repo, b), 0))
+        if most:
+            want[repo, a, b] = want[repo, b, a] = n / most
+    assert got == want
+    plan = plan_of(coupling.strengths(p, f))
+    assert "BroadcastHashJoin" in plan
+
+
+def test_touches_are_read_once_for_pairs(spark):
+    plan = plan_of(coupling.co_change(td.touches(spark, SF)), "optimizedPlan")
+    assert sum("l_linenumber" in x and "Relation" in x for x in plan.splitlines()) == 1
+
+
+# log dumps
+
+
+def dump(n, seed=3):
+    r, out = random.Random(seed), []
+    for c in range(n):
+        out += [f"sha{c}\0Ann é {c % 3}\x002026-01-{1 + c % 28:02d}T10:00:00+02:00\0fix #{c} x", ""]
+        out += [f"{r.randrange(9)}\t{r.randrange(9)}\tsrc/f{r.randrange(30)}.ts" + "\r" * (c % 2) for _ in range(r.randrange(6))] + ["-\t-\tlogo.png", ""]
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("splits", [7, 60])
+def test_dump_in_splits(spark, tmp_path, splits):
+    """A dump cut anywhere equals the dump read as one text; no file is read whole."""
+    text = dump(400)
+    for name, value in (("big.log", text), ("other.0.log", dump(5, 1)), ("other.1.log", "stray line\n1\t1\tnone\n" + dump(5, 2))):
+        (tmp_path / name).write_text(value)
+    whole = history.parse_log(spark.createDataFrame([("big", text)], "repo string, value string"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(text.encode()) // splits + 1))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = tables.read_log_dumps(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path / "big.log"), lineSep="\n").rdd.getNumPartitions() >= splits
+        assert rows_of(df.where("repo = 'big'")) == rows_of(whole)
+        other = df.where("repo = 'other'").select("walk_seq").distinct().orderBy("walk_seq").collect()
+        assert [x[0] for x in other] == [*range(1, 6), *(2**32 + i for i in range(1, 6))] and df.where("path = 'none'").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+# snapshots
+
+
+def test_resumed_scan_equals_a_cold_one(spark, tmp_path):
+    """Half of the repositories come from snapshots; other globs need no new walk; an old version, an empty save and a new head are misses."""
+    t, c, files = td.touches(spark, SF), td.commits(spark, SF), td.files(spark, SF)
+    path = str(tmp_path / "s")
+    repos = sorted(r[0] for r in c.select("repo").distinct().collect())
+    heads = history.heads(c)
+    half = F.col("repo").isin(repos[:2])
+    scan.scan(t.where(half), files, Params(explain=False), c.where(half), path)
+    found = lambda h=heads, p=Params(): sorted(r["repo"] for r in snapshot.hits(spark, path, h, scan.settings_of(p)).collect())
+    assert found() == repos[:2]
+    cold = scan.scan(t, files, Params(), c)
+    # rows of repos that are hits are not read: without their touches the result is the same
+    resumed = scan.scan(t.where(~half), files, Params(), c.where(~half), path, heads)
+    assert rows_of(resumed.select("repo", "path", "score", "rank", "sentence")) == rows_of(cold.select("repo", "path", "score", "rank", "sentence"))
+    assert found() == repos
+    globs = Params(exclude=("lib/**",), explain=False)
+    other = scan.scan(t.where("false"), files, globs, c.where("false"), path, heads)
+    assert rows_of(other.select("repo", "path", "score", "rank")) == rows_of(scan.scan(t, files, globs, c).select("repo", "path", "score", "rank")) and other.where("path LIKE 'dist/%'").count() > 0
+    assert found(heads.withColumn("head_sha", F.lit("moved"))) == found(p=Params(since_months=3, as_of="1998-08-02")) == []
+    markers = spark.read.parquet(f"{path}/markers")
+    old = str(tmp_path / "old")
+    markers.withColumn("schema_version", F.lit(snapshot.VERSION - 1)).write.parquet(f"{old}/markers")
+    assert snapshot.hits(spark, old, heads, scan.settings_of(Params())).isEmpty()
+    scan.resumed(t.where("false"), Params(), None, str(tmp_path / "none"), heads)
+    assert snapshot.hits(spark, str(tmp_path / "none"), heads, scan.settings_of(Params())).isEmpty()
+
+
+def test_snapshot_layout(spark, tmp_path):
+    """Files are bounded by the buckets, not by the repositories, and one repository is read from its bucket."""
+    path, n = str(tmp_path / "s"), 500
+    f = spark.range(n).select(F.concat(F.lit("repo"), "id").alias("repo"), F.lit("a.ts").alias("path"), F.lit(1).cast("long").alias("commits"))
+    for name in snapshot.names(snapshot.FIELDS):
+        if name not in f.columns:
+            kind = {"authors": "array<string>", "author_commits": "array<struct<name:string,commits:bigint>>"}.get(name, "timestamp" if name.endswith("_ts") else "string" if name.endswith("_seen") else "double" if name == "recency_weight" else "bigint")
+            f = f.withColumn(name, F.lit(None).cast(kind))
+    pairs = f.select("repo", F.lit("a").alias("path_a"), F.when(F.col("repo") != "repo7", F.lit("b")).alias("path_b"), F.lit(2).cast("long").alias("shared_commits"))
+    heads = f.select("repo", F.lit("h").alias("head_sha"))
+    snapshot.save(f, pairs, heads, path, buckets=16)
+    files = list((tmp_path / "s" / "churn").rglob("part-*.parquet"))
+    assert len(files) <= 16 + 4 and len(list((tmp_path / "s" / "churn").glob("bucket=*"))) == 16
+    found = snapshot.hits(spark, path, heads)
+    one, own = snapshot.load(spark, path, found, "repo7", buckets=16)
+    assert [r["repo"] for r in one.collect()] == ["repo7"] and own.isEmpty()
+    scans = [x for x in plan_of(one).splitlines() if "PartitionFilters" in x and "bucket" in x]
+    assert any("(bucket#" in x.split("PartitionFilters")[1] and " = " in x.split("PartitionFilters")[1] for x in scans)
+    zeros = snapshot.load(spark, path, found, buckets=16)[0].first()
+    assert (zeros["lines_added"], zeros["authors"], zeros["first_seen"], zeros["recency_weight"]) == (0, [], "", 0.0)
+
+
+# working sets
+
+
+def test_lists_to_review(spark, tmp_path):
+    """Files of changed paths, in two lists with two spellings, through to the review: the first list's spelling and order count."""
+    lists = {("c1", "r", 0): "b.ts\n./src\\A.ts\n\n", ("c1", "r", 1): "src/a.ts\nB.TS\nnew.ts\nb.ts\n", ("c2", "x y", 0): "only.ts"}
+    for (change, repo, n), text in lists.items():
+        folder = tmp_path / f"change_id={change}" / f"repo={repo}" / f"list={n}"
+        folder.mkdir(parents=True)
+        (folder / "paths.txt").write_text(text)
+    read = tables.read_changed_paths(spark, str(tmp_path))
+    got = [(r["change_id"], r["repo"], r["path"]) for r in review.working_set(read).orderBy("change_id", "pos").collect()]
+    assert got == [("c1", "r", "b.ts"), ("c1", "r", "src/A.ts"), ("c1", "r", "new.ts"), ("c2", "x y", "only.ts")]
+    ranks = spark.createDataFrame([("r", "b.ts", 80, "critical"), ("r", "src/A.ts", 90, "critical")], "repo string, path string, score int, tier string")
+    partners = spark.createDataFrame([("r", "b.ts", 1, "z.ts", 0.8, 12), ("r", "src/A.ts", 1, "B.ts", 0.9, 12)], "repo string, path string, partner_rank int, partner string, strength double, shared_commits long")
+    scored, unknown, hints = scan.change_review(read, ranks, partners)
+    assert [r["path"] for r in scored.orderBy("place").collect()] == ["src/A.ts", "b.ts"]
+    assert sorted(r["path"] for r in unknown.collect()) == ["new.ts", "only.ts"] and [r["partner"] for r in hints.collect()] == ["z.ts"]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_union_keeps_the_first_place(spark, turned):
+    a = spark.createDataFrame([("c", "r", "x", 9), ("c", "r", "y", 3)], "change_id string, repo string, path string, pos int")
+    b = spark.createDataFrame([("c", "r", "x", 1), ("c", "r", "z", 2)], "change_id string, repo string, path string, pos int")
+    got = {r["path"]: r["pos"] for r in review.all_changes(*((b, a) if turned else (a, b))).repartition(3).collect()}
+    assert got == ({"x": 1, "z": 2, "y": 2**32 + 3} if turned else {"x": 9, "y": 3, "z": 2**32 + 2})
+
+
+# the rest
+
+
+def test_window_to_the_hour(spark):
+    as_of = F.lit("2026-06-15 12:00:00").cast("timestamp")
+    at = [dt.datetime(2026, 5, 15, 6), dt.datetime(2026, 5, 15, 12), dt.datetime(2026, 5, 15, 18), None]
+    c = spark.createDataFrame([("r", i, t) for i, t in enumerate(at)], "repo string, walk_seq long, author_ts timestamp")
+    assert [r["walk_seq"] for r in history.since(c, 1, as_of).orderBy("walk_seq").collect()] == [1, 2]
+    late = c.withColumn("commit_ts", F.lit("2026-06-01").cast("timestamp"))
+    assert history.since(late, 1, as_of).count() == 4
+    assert history.since(c, 1, F.lit("2026-03-31 00:00:00").cast("timestamp")).count() == 3
+
+
+def test_positions_by_search(spark):
+    """Many regions in a file, positions on all lines, repeats and other files, against a loop; one exchange for the positions."""
+    r, rows, at = random.Random(2), [], 0
+    for _ in range(300):
+        at += r.randrange(1, 6)
+        end = at + r.randrange(0, 5)
+        rows.append(("r", "a.ts", at, end, r.randrange(100), "high", ["nested"]))
+        at = end + 1
+    schema = "repo string, path string, start_line int, end_line int, score int, severity string, reasons array<string>"
+    found, pos = spark.createDataFrame(rows, schema), spark.range(0, at + 9).select(F.lit("r").alias("repo"), F.when(F.col("id") % 50 == 49, "b.ts").otherwise("a.ts").alias("path"), F.col("id").cast("int").alias("line"))
+    pos = pos.unionByName(pos.where("line < 40"))
+    got = sorted((x["line"], x["start_line"]) for x in code.at_position(pos, found).collect())
+    want = sorted((line, s) for line in [*range(at + 9), *range(40)] if line % 50 != 49 for _, _, s, e, *_ in rows if s <= line <= e)
+    assert got == want and len(got) > 300
+    plan = plan_of(code.at_position(pos, found).hint("nothing"), "optimizedPlan")
+    assert "Window" not in plan and plan.count("Join") == 1
+
+
+def test_regions_over_a_batch(spark):
+    """Files whose runs touch the next file's, empty ones and nulls, as by the window."""
+    deep = "            x"
+    texts = [f"{deep}\n" * 3 + deep, f"{deep}\n{deep}\n{deep}", "", None, "x", f"{deep}\n\n{deep}\n{deep}\nx\n{deep}", *(("\n".join(r.choice(("x", deep, "", "    y")) for _ in range(40))) for r in [random.Random(5)] for _ in range(30))]
+    df = spark.createDataFrame([("r", f"f{i}", t) for i, t in enumerate(texts)], "repo string, path string, content string").coalesce(1)
+    assert rows_of(code.regions(df)) == rows_of(code.regions_by_window(df)) and code.regions(df).count() > 10
+
+
+def test_texts_are_not_shuffled_by_a_scan(spark):
+    """Complexity comes first: what meets churn is six numbers a file."""
+    cx = code.complexity(td.files(spark, SF))
+    assert "Exchange" not in plan_of(cx)
+    used = risk.signals(scan.churn_of(td.touches(spark, SF)), cx)
+    for line in plan_of(used).splitlines():
+        assert not ("Exchange" in line and "content" in line)
+
+
+def test_jobs_leave_one_table(spark):
+    """Of the stored tables of a scan only its result is left."""
+    root = new_folder(spark, "x").rsplit("/", 1)[0]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root))}
+    before = names()
+    out = scan.scan(td.touches(spark, SF), td.files(spark, SF), Params(), td.commits(spark, SF))
+    assert {out.stored_at.rsplit("/", 1)[1]} == names() - before
+    assert scan.hotspots(out, Params(top_n=2)).count() == 2 * out.select("repo").distinct().count()
