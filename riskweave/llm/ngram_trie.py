@@ -295,8 +295,8 @@ def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     inner = key[order]
     new = np.r_[True, inner[1:] != inner[:-1]] if len(key) else np.zeros(0, bool)
-    place = np.empty(len(key), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return inner[new], place
 
 
@@ -306,40 +306,42 @@ def grams(word: np.ndarray, train: np.ndarray, sizes: list[int], hot: np.ndarray
     y[begins] = x[begins] = BEGIN
     second = begins[np.array(sizes, np.int64) > 1] + 1
     x[second] = BEGIN
-    pairs = np.r_[y << U(32) | word, U(0)]  # with that of two begins
-    xy, place = ranked(pairs)
+    xy, place = ranked(np.r_[y << U(32) | word, U(0)])  # the last is that of two begins
     known = y != UNKNOWN
-    xy_count = np.bincount(place[:n][train & known], minlength=len(xy))
-    context = np.r_[0, place[: n - 1]]
-    context[begins] = place[n]
     context_known = known & (x != UNKNOWN)
+    del x, y
+    xy_count = np.bincount(place[:n][train & known], minlength=len(xy)).astype(np.int32)
+    context = np.r_[np.int32(0), place[: n - 1]]
+    context[begins] = place[n]
     is_hot = lambda w: np.isin(w, hot)
     first, follow = xy >> U(32), xy & U(0xFFFFFFFF)
     hot_first = is_hot(first)
     shard = targets(mix(np.where(hot_first, xy, first)), shards)
     spread = hot_first & is_hot(follow)
     key, triple = ranked(context.astype(U) << U(32) | word)
-    z_count = np.bincount(triple[train & context_known], minlength=len(key))
-    parent, z = (key >> U(32)).astype(np.int64), key & U(0xFFFFFFFF)
+    z_count = np.bincount(triple[train & context_known], minlength=len(key)).astype(np.int32)
+    parent, z = (key >> U(32)).astype(np.int32), (key & U(0xFFFFFFFF)).astype(np.uint32)
+    del context, key, known, context_known
     ok3 = ((xy[parent] >> U(32)) != UNKNOWN) & ((xy[parent] & U(0xFFFFFFFF)) != UNKNOWN)
-    z_shard = np.where(spread[parent], targets(mix(mix(xy[parent]) + z), shards), shard[parent])
     # contexts of two hot words stand in the shard of each of their triples too
-    away = np.flatnonzero(spread[parent] & (z_shard != shard[parent]) & ok3)
-    extra, of_extra = ranked(z_shard[away].astype(U) << U(32) | parent[away].astype(U))
+    away = np.flatnonzero(spread[parent] & ok3)
+    z_shard = targets(mix(mix(xy[parent[away]]) + z[away]), shards)
+    away, z_shard = (a[z_shard != shard[parent[away]]] for a in (away, z_shard))
+    extra, of_extra = ranked(z_shard.astype(U) << U(32) | parent[away].astype(U))
     ok2 = first != UNKNOWN
     every_shard, every_xy = np.r_[shard, (extra >> U(32)).astype(np.int64)], np.r_[xy, xy[(extra & U(0xFFFFFFFF)).astype(np.int64)]]
-    every_count, keep = np.r_[xy_count, np.zeros(len(extra), np.int64)], np.r_[ok2, np.ones(len(extra), bool)]
+    every_count, keep = np.r_[xy_count, np.zeros(len(extra), np.int32)], np.r_[ok2, np.ones(len(extra), bool)]
     narrow = every_shard.astype(np.uint16) if shards < 1 << 16 else every_shard
     order = np.lexsort((every_xy, narrow)) if len(extra) else np.argsort(narrow, kind="stable")
     order = order[keep[order]]
-    moved = np.full(len(every_xy), -1)
-    moved[order] = np.arange(len(order))
+    moved = np.full(len(every_xy), -1, np.int32)
+    moved[order] = np.arange(len(order), dtype=np.int32)
     own = moved[parent]
     own[away] = moved[len(xy) + of_extra]
     z_order = np.argsort(own, kind="stable")
     z_order = z_order[ok3[z_order]]
-    z_moved = np.full(len(key), -1)
-    z_moved[z_order] = np.arange(len(z_order))
+    z_moved = np.full(len(parent), -1, np.int32)
+    z_moved[z_order] = np.arange(len(z_order), dtype=np.int32)
     triples = z_moved[triple]
     return Grams(every_xy[order], every_count[order], every_shard[order], own[z_order], z[z_order], z_count[z_order], moved[place[:n]], triples, np.where(triples >= 0, own[triple], -1))
 
@@ -368,7 +370,7 @@ def sent_grams(chunks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 out = ([], [], [], [], [], [])
                 for s in np.flatnonzero(np.diff(cuts)):
                     i, k = slice(cuts[s], cuts[s + 1]), slice(z_cuts[s], z_cuts[s + 1])
-                    row_ = int(s), chunk, pack_sorted(g.xy[i]), pack(g.xy_count[i].astype(np.uint32)), pack_sorted((g.parent[k] - cuts[s]).astype(U) << U(32) | g.z[k]), pack(g.z_count[k].astype(np.uint32))
+                    row_ = int(s), chunk, pack_sorted(g.xy[i]), pack(g.xy_count[i].astype(np.uint32)), pack_sorted((g.parent[k] - cuts[s]).astype(U) << U(32) | g.z[k].astype(U)), pack(g.z_count[k].astype(np.uint32))
                     for column, value in zip(out, row_, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "chunk", "xy", "xy_count", "parent_z", "z_count"])
