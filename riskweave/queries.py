@@ -61,12 +61,16 @@ def norm_of(spark, sf, history=None):
     return risk.normalised(raw)
 
 
-def risk_of(spark, sf):
-    return scan.scan(td.touches(spark, sf), td.files(spark, sf), Params(explain=False), td.commits(spark, sf))
+def risk_of(spark, sf, p=Params(explain=False)):
+    """The scan of the shared tables; their touches are stored first, as they are joins."""
+    t = stored(td.touches(spark, sf), "touches")
+    out = scan.scan(t, td.files(spark, sf), p, td.commits(spark, sf))
+    drop_stored(t)
+    return out
 
 
 def explained_of(spark, sf):
-    return scan.scan(td.touches(spark, sf), td.files(spark, sf), P, td.commits(spark, sf))
+    return risk_of(spark, sf, P)
 
 
 def regions_of(spark, sf):
@@ -132,10 +136,11 @@ SAVED_FIRST = ("BUILDING", "MACHINERY")
 
 
 def snapshot_of(spark, sf):
-    path, t, c = new_folder(spark, "snapshots"), td.touches(spark, sf), td.commits(spark, sf)
+    path, t, c = new_folder(spark, "snapshots"), stored(td.touches(spark, sf), "touches"), td.commits(spark, sf)
     some = F.col("repo").isin(*SAVED_FIRST)
     for touches, commits in ((t.where(some), c.where(some)), (t, c)):
         drop_stored(*scan.resumed(touches, P, commits, path)[2])
+    drop_stored(t)
     return snapshot.load(spark, path, snapshot.hits(spark, path, history.heads(c), scan.settings_of(P)))
 
 
@@ -155,10 +160,12 @@ def s5_snapshot_pairs(spark, sf):
 @query
 def s5_resumed_scan(spark, sf):
     """The whole scan, of which two repos' histories come from a snapshot."""
-    path, t, c = new_folder(spark, "snapshots"), td.touches(spark, sf), td.commits(spark, sf)
+    path, t, c = new_folder(spark, "snapshots"), stored(td.touches(spark, sf), "touches"), td.commits(spark, sf)
     some = F.col("repo").isin(*SAVED_FIRST)
     drop_stored(*scan.resumed(t.where(some), P, c.where(some), path)[2])
-    return scan.scan(t, td.files(spark, sf), P, c, path).select("repo", "path", "score", "rank", "tier", "sentence")
+    out = scan.scan(t, td.files(spark, sf), P, c, path).select("repo", "path", "score", "rank", "tier", "sentence")
+    drop_stored(t)
+    return out
 
 
 @query
@@ -373,7 +380,11 @@ def j7_regions(spark, sf):
 @query
 def j8_change_review(spark, sf):
     """All change sets at once: scored files, those without history and hints, one row for each."""
-    scored, unknown, hints = scan.change_review(td.changes(spark, sf), risk_of(spark, sf), partners_of(spark, sf), Params(hint_floor=0.02))
+    files, links = history_of(spark, sf)
+    raw = stored(risk.signals(files, code.complexity(td.files(spark, sf)), coupling.coupling_signal(links)), "signals")
+    ranking, partners = risk.ranked(risk.scored(risk.normalised(raw))), stored(coupling.partners(links, P.top_k), "partners")
+    drop_stored(files, links, raw)
+    scored, unknown, hints = scan.change_review(td.changes(spark, sf), ranking, partners, Params(hint_floor=0.02))
     kinds = (scored.select("change_id", "repo", "path", F.lit("scored").alias("kind"), F.col("score").cast("string").alias("what")), unknown.select("change_id", "repo", "path", F.lit("new").alias("kind"), F.lit(None).cast("string").alias("what")), hints.select("change_id", "repo", "path", F.lit("hint").alias("kind"), F.col("partner").alias("what")))
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
