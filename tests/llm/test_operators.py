@@ -610,3 +610,22 @@ def test_texts_of_common_passages(spark):
     bags = [bag(t) for t in texts]
     true = {(i, j) for j in range(len(texts)) for i in range(j) if 9 * sum((bags[i] & bags[j]).values()) >= 4 * (bags[i].total() + bags[j].total())}
     assert true <= pairs and len(pairs) < 2 * len(true) + 20
+
+
+def test_pipeline_over_awkward_rows(spark, odd):
+    """Nulls, empty and very long texts, ties and repeats through all stages: one of each class of the kept rows is packed, whole."""
+    folder, docs, _ = odd
+    df, known = spark.createDataFrame(docs, DOCS), spark.read.parquet(f"{folder}/labels.parquet")
+    good = quality.fit(df, known)
+    left = [d for d, s in zip(docs, good.scores([d[1] for d in docs], [d[3] for d in docs], [d[2] for d in docs], [d[4] for d in docs]), strict=True) if s >= 0.5]
+    mean = toxicity.fit(spark.createDataFrame(left, DOCS), known)
+    left = [d for d in left if mean.scores([d[1]])[0] < 0.5]
+    classes, _ = linked_classes([d[1] for d in left])
+    rows = cp.run(spark, folder).collect()
+    starts = [r["doc_id"] for r in rows if r["start"] == 0]
+    assert len(starts) == len(set(classes.values()))
+    library = Tokenizer.from_file(packing.default_path())
+    lengths = defaultdict(set)
+    for i, t, *_ in left:
+        lengths[i].add(len(library.encode(pii.masked(t, pii.find_spans(t)) or "", add_special_tokens=False).ids) + 1)
+    assert all(r["doc_tokens"] in lengths[r["doc_id"]] for r in rows)
