@@ -46,7 +46,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .base import add_columns, drop_stored, stored, table
 
@@ -249,19 +248,28 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the edges' nodes, comp the least node of its component, by large-star and small-star steps; a stored table.
 
-    Meant for graphs of leaders or of components: a node's neighbours meet in one task.
+    A node's least neighbour is an aggregate that is joined back, by broadcast for hubs, so that no task holds all neighbours of one.
     """
-    state, w = None, W.partitionBy("a")
+    state = None
+
+    def with_least(rows):
+        """rows with the least b of each a as m; the aggregate is a table."""
+        least = stored(rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        return join_unique(rows, least, "a", "n", 2 * now[0]).drop("n"), least
+
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sums = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     now = edges.select(*sums).first()
     while now != state and now[0]:
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least(F.min("b").over(w), F.col("a"))).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.withColumn("m", F.min("b").over(w)).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        both, least = with_least(both)
+        large = both.withColumn("m", F.least("m", "a")).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large, "large")
+        small, least2 = with_least(large)
+        small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        drop_stored(edges)
+        drop_stored(edges, least, large, least2)
         edges, now = after, after.select(*sums).first()
     comps = edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
     out = stored(comps, "components")
