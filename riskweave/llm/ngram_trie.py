@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import new_folder
 from .base import drop_stored, ship, sliced, stored, table
 from .packed import Numbers, U, mix, pack, pack_sorted, steps, targets, unpack, unpack_sorted, word_hashes
 
@@ -185,11 +186,12 @@ def below(pointers: EliasFano, level: EliasFano, parent: np.ndarray, child: np.n
     return out
 
 
-def chunked(docs: DataFrame, held: F.Column) -> DataFrame:
-    """(chunk, doc_ids, held, sizes, tokens, hashes, order, ids): a stored table. Number 0 is the end token; hashes of words are
-    ascending, order has their numbers."""
+def chunked(docs: DataFrame, held: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(chunk, doc_ids, held, sizes, order, ids) and (chunk, tokens, hashes, counts): tables of texts and of their words. Number 0
+    is the end token; hashes of words are ascending, with training counts; order has the words' numbers in that order."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("order", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    fields = [("chunk", T.LongType()), ("doc_ids", T.ArrayType(kind)), ("held", T.ArrayType(T.BooleanType())), ("sizes", T.ArrayType(T.LongType())), ("order", T.BinaryType()), ("ids", T.BinaryType()), ("tokens", T.LongType()), ("hashes", T.BinaryType()), ("counts", T.BinaryType()), ("part", T.IntegerType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -202,8 +204,10 @@ def chunked(docs: DataFrame, held: F.Column) -> DataFrame:
             ids = np.concatenate(parts)
             hashes = word_hashes(list(numbers))
             order = np.argsort(hashes)
-            values = made, *rows, len(ids), pack_sorted(hashes[order]), pack(order.astype(np.uint32)), pack(ids)
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
+            counts = np.bincount(ids[learned(rows[1], rows[2])], minlength=len(order))[order]
+            texts = made, *rows, pack(order.astype(np.uint32)), pack(ids), None, None, None, 0
+            words = made, None, None, None, None, None, len(ids), pack_sorted(hashes[order]), pack(counts.astype(U)), 1
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(texts, words, strict=True), arrow, strict=True)], schema=arrow)
 
         for whole in batches:
             for b in sliced(whole):
@@ -224,23 +228,26 @@ def chunked(docs: DataFrame, held: F.Column) -> DataFrame:
 
     ship(docs.sparkSession)
     rows = docs.select("doc_id", held.alias("held"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    return stored(rows.mapInArrow(run, schema), "chunks")
+    path = new_folder(docs.sparkSession, "chunks")
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    texts, words = (docs.sparkSession.read.schema(schema).parquet(path).where(F.col("part") == i) for i in (0, 1))
+    texts.stored_at, words.stored_at = path, f"{path}/part=1"
+    return texts, words
 
 
 def learned(held: list[bool], sizes: list[int]) -> np.ndarray:
     return np.repeat(~np.array(held, bool), sizes)
 
 
-def count_words(chunks: DataFrame, ranges: int) -> DataFrame:
+def count_words(words: DataFrame, ranges: int) -> DataFrame:
     """(chunk, range, numbers, counts, train, distinct): for each chunk the numbers and training counts of its words, in order of
     their hashes; a stored table. train and distinct of all rows add up to N and V."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                chunk, held, sizes, hashes, order, ids = (b.column(c)[row].as_py() for c in range(6))
-                h = unpack_sorted(hashes)
-                counts = np.bincount(unpack(ids)[learned(held, sizes)], minlength=len(h))[unpack(order)].astype(U)
+                chunk, hashes, counts = (b.column(c)[row].as_py() for c in range(3))
+                h, counts = unpack_sorted(hashes), unpack(counts)
                 cuts = np.searchsorted(targets(h, ranges), np.arange(ranges + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 columns = [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array([f(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()) for f, x in ((pack_sorted, h), (pack, counts)))]
@@ -266,8 +273,8 @@ def count_words(chunks: DataFrame, ranges: int) -> DataFrame:
         once[0] = 1
         return pa.table([t["chunk"], t["range"], pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(once * total.sum()), pa.array(once * (total > 0).sum())], names=["chunk", "range", "numbers", "counts", "train", "distinct"])
 
-    ship(chunks.sparkSession)
-    parts = chunks.select("chunk", "held", "sizes", "hashes", "order", "ids").mapInArrow(sent, "range int, chunk long, hashes binary, counts binary")
+    ship(words.sparkSession)
+    parts = words.select("chunk", "hashes", "counts").mapInArrow(sent, "range int, chunk long, hashes binary, counts binary")
     return stored(parts.groupBy("range").applyInArrow(numbered, "chunk long, range int, numbers binary, counts binary, train long, distinct long"), "words")
 
 
@@ -442,10 +449,11 @@ def answered(sent: DataFrame, hot: dict[int, int], whole: int, keep_tries: bool)
 def score(docs: DataFrame, held: F.Column, model_path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learned from the rows not held; a stored
     table. model_path: a folder for the model, one trie a shard."""
-    spark, chunks = docs.sparkSession, chunked(docs, held)
-    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    chunks, own_words = chunked(docs, held)
+    tokens = own_words.agg(F.sum("tokens")).first()[0] or 0
     ranges, shards = tokens // (8 * RANGE) + 1, 2 * tokens // SHARD + 1
-    words = count_words(chunks, ranges)
+    words = count_words(own_words, ranges)
+    drop_stored(own_words)
     totals = words.agg(F.sum("train"), F.sum("distinct")).first()
     n, v = totals[0] or 0, totals[1] or 0
 
