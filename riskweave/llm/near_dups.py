@@ -46,6 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .base import add_columns, drop_stored, stored, table
 
@@ -54,6 +55,7 @@ BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 FRUITFUL = 20  # a leader round is followed by another if more than one in so many of its pairs are links
 HOT_SHARE = 1000
+MOST_NEIGHBOURS = 1 << 22
 GROUP = 30_000  # shingles that are signed together
 STEPS = 4
 PARITY = 512  # classes of occurrences, 64 to a column
@@ -248,12 +250,15 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the edges' nodes, comp the least node of its component, by large-star and small-star steps; a stored table.
 
-    A node's least neighbour is an aggregate that is joined back, by broadcast for hubs, so that no task holds all neighbours of one.
+    A node's least neighbour comes from a window where there are MOST_NEIGHBOURS edges at most, so that no node has more; else it is
+    an aggregate that is joined back, by broadcast for hubs, so that no task holds all neighbours of one.
     """
     state = None
 
     def with_least(rows):
-        """rows with the least b of each a as m; the aggregate is a table."""
+        """(rows with the least b of each a as m, the table that they read)."""
+        if now[0] <= MOST_NEIGHBOURS:
+            return rows.withColumn("m", F.min("b").over(W.partitionBy("a"))), None
         least = stored(rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         return join_unique(rows, least, "a", "n", 2 * now[0]).drop("n"), least
 
@@ -265,7 +270,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both, least = with_least(both)
         large = both.withColumn("m", F.least("m", "a")).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large, "large")
+        large = stored(large, "large") if least else large
         small, least2 = with_least(large)
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         after = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")

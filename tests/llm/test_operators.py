@@ -629,3 +629,21 @@ def test_pipeline_over_awkward_rows(spark, odd):
     for i, t, *_ in left:
         lengths[i].add(len(library.encode(pii.masked(t, pii.find_spans(t)) or "", add_special_tokens=False).ids) + 1)
     assert all(r["doc_tokens"] in lengths[r["doc_id"]] for r in rows)
+
+
+@pytest.mark.parametrize("most", [0, near_dups.MOST_NEIGHBOURS])
+def test_components(spark, monkeypatch, most):
+    """Chains, stars, rings and loose edges, by windows and by aggregates joined back."""
+    monkeypatch.setattr(near_dups, "MOST_NEIGHBOURS", most)
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(60)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 301), (302, 303), (7, 7)]
+    edges += [(400 + r.randrange(50), 400 + r.randrange(50)) for _ in range(60)]
+    r.shuffle(edges)
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {x["node"]: x["comp"] for x in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    joined = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in joined}
