@@ -12,18 +12,21 @@ class of offsets SLACK characters wide. So texts that share a passage in place a
 sections were reordered is like the original by its largest section only. It is exact where both fingerprints hold all
 anchors, else an estimate from them whose error falls with the texts' length.
 
-Neighbours in the order of doc_id come without a join or a global sort: rows are dealt into ranges of doc_id whose bounds
-are ids that occur, and the first row of each range is dealt to the range before it, too; the first of all follows the
-last of all. The number of ranges grows with the rows, up to MOST_RANGES; then the ranges grow.
+Neighbours in the order of doc_id come without a join or a global sort: rows are dealt into ranges whose starts are rows
+that occur, and the first row of each range is dealt to the range before it, too; the first of all follows the last of
+all. A doc_id (or null) that fills several ranges is split by the hashes of its texts. The number of ranges grows with the
+rows, up to MOST_RANGES; then the ranges grow.
 
 Defined cases: a null text is empty; very long texts are read whole; a null doc_id comes last; rows of one doc_id, and
-all of null, are one range and ordered by their texts, so that repeated rows follow each other; a single document is its
-own neighbour; two empty texts are alike (1), an empty and another are not (0); an empty table gives no rows; columns of
+all of null, are ordered by the hashes of their texts, so that repeated rows follow each other (and lie in one range); a
+single document is its own neighbour; two empty texts are alike (1), an empty and another are not (0); an empty table gives no rows; columns of
 the input that are not asked for are not looked at, and with_next() keeps all but those named next_<column>.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,6 +37,8 @@ K, S = 12, 10
 SKETCH, SPARSE, SLACK = 64, 16, 64
 ROWS_A_RANGE, MOST_RANGES = 2000, 1 << 16
 LAST_ID = (1 << 63) - 1
+#: In place of a start's tie: all rows of its key belong to the range that it opens.
+ANY_TIE = -1 << 63
 
 
 def anchors_sql(text: str, k: int = K, s: int = S) -> str:
@@ -98,6 +103,54 @@ def likeness(a: str, b: str, slack: int = SLACK) -> Column:
     return F.expr(f"transform(array({both}), m -> transform(array({offsets}), o -> {share})[0])[0]")
 
 
+def start_at(starts: list[tuple[int, int]], n: Column, part: str) -> Column:
+    """The key or tie of start n, counted from 1; of the last or first one where there is no such start, null where there is none."""
+    numbers = [s[("key", "tie").index(part)] for s in starts]
+    at = F.from_json(F.lit(str(numbers)), "array<bigint>")  # folded to one literal, however many there are
+    return F.try_element_at(at, F.greatest(F.least(n, F.lit(len(starts))), F.lit(1)))
+
+
+def start_is(starts: list[tuple[int, int]], n: Column, part: str) -> Column:
+    """Whether start n exists and has the row's own key or tie."""
+    return F.coalesce((n > 0) & (start_at(starts, n, part) == F.col(part)), F.lit(False))
+
+
+def starts_before(starts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted starts are at or before the row's (key, tie), by binary search."""
+    if not starts:
+        return F.lit(0)
+
+    def fits(lo: Column, step: Column) -> Column:
+        key, tie = (start_at(starts, lo + step, part) for part in ("key", "tie"))
+        return (lo + step <= len(starts)) & ((key < F.col("key")) | ((key == F.col("key")) & (tie <= F.col("tie"))))
+
+    steps = F.lit([1 << i for i in reversed(range(len(starts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(fits(lo, step), lo + step).otherwise(lo))
+
+
+def range_starts(df: DataFrame) -> tuple[list[tuple[int, int]], tuple[int, int]]:
+    """The sorted (key, tie) with which ranges of df(key, tie) open, and the first of all rows; there is a range before the first start.
+
+    A key that fills several ranges is split by its ties, which are hashes: of each equal part of their values, the least one
+    that occurs opens a range.
+    """
+    n, low = df.select(F.count(F.lit(1)), F.min("key")).first()
+    levels = 0
+    while 1 << levels < min(n // ROWS_A_RANGE, MOST_RANGES):
+        levels += 1
+    shares = [(i + 1) / (1 << levels) for i in range((1 << levels) - 1)]
+    filled = Counter(df.select(F.percentile_approx("key", shares, 100_000)).first()[0] if shares and n else [])
+    starts = [(key, ANY_TIE) for key in sorted(filled)]
+    if any(times > 1 for times in filled.values()):
+        at = starts_before(starts)
+        many = F.try_element_at(F.from_json(F.lit(str([filled[key] for key, _ in starts])), "array<int>"), F.greatest(at, F.lit(1)))
+        part = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("many")), F.col("many") - 1)
+        hot = df.select("key", "tie", F.when(start_is(starts, at, "key"), many).alias("many")).where("many > 1")
+        opening = [(r["key"], r["tie"]) for r in hot.groupBy("key", part.alias("part")).agg(F.min("tie").alias("tie")).collect()]
+        starts = sorted([s for s in starts if filled[s[0]] == 1] + opening)
+    return starts, (low, min((tie for key, tie in starts if key == low), default=ANY_TIE))
+
+
 def with_next(df: DataFrame, order: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """df with next_<column> of the row that follows in ascending order of a long column; the first follows the last.
 
@@ -105,29 +158,19 @@ def with_next(df: DataFrame, order: str, columns: list[str], derived: dict[str,
     not shuffled, and may be among `columns`.
     """
     derived = derived or {}
-    key = F.coalesce(F.col(order).cast("long"), F.lit(LAST_ID))
-    n, low = df.select(F.count(F.lit(1)), F.min(key)).first()
-    levels = 0
-    while 1 << levels < min(n // ROWS_A_RANGE, MOST_RANGES):
-        levels += 1
-    shares = [(i + 1) / (1 << levels) for i in range((1 << levels) - 1)]
-    bounds = sorted(set(df.select(F.percentile_approx(key, shares, 100_000)).first()[0])) if shares and n else []
+    value = lambda c: F.col(c if c in derived else f"row.`{c}`")
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    dealt = df.select(row.alias("row"), key.alias("key"))
-    if bounds:
-        at = F.from_json(F.lit(str(bounds)), "array<bigint>")  # folded to one literal, however many there are
-        steps = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))])
-        fits = lambda lo, step: (lo + step <= len(bounds)) & (F.element_at(at, F.least(lo + step, F.lit(len(bounds)))) <= F.col("key"))
-        dealt = dealt.withColumn("range", F.aggregate(steps, F.lit(0), lambda lo, step: F.when(fits(lo, step), lo + step).otherwise(lo)))
-        opens = (F.col("range") > 0) & (F.element_at(at, F.greatest("range", F.lit(1))) == F.col("key"))
-    else:
-        dealt, opens = dealt.withColumn("range", F.lit(0)), F.lit(False)
+    tie = F.xxhash64(derived.get(columns[0], F.col(f"row.`{columns[0]}`")))
+    dealt = df.select(row.alias("row"), F.coalesce(F.col(order).cast("long"), F.lit(LAST_ID)).alias("key")).withColumn("tie", tie)
+    starts, (low, least) = range_starts(dealt)
+    dealt = dealt.withColumn("range", starts_before(starts))
+    opens = start_is(starts, F.col("range"), "key") & (start_is(starts, F.col("range"), "tie") | (start_at(starts, F.col("range"), "tie") == ANY_TIE))
+    first = (F.col("key") == low) & ((F.lit(least) == ANY_TIE) | (F.col("tie") == least))
     place = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
-    places = F.array_compact(F.array(place(F.col("range"), 0), F.when(opens, place(F.col("range") - 1, 1)), F.when(F.col("key") == low, place(F.lit(len(bounds)), 2))))
-    dealt = dealt.select("row", "key", F.explode(places).alias("place"))
+    places = F.array_compact(F.array(place(F.col("range"), 0), F.when(opens, place(F.col("range") - 1, 1)), F.when(first, place(F.lit(len(starts)), 2))))
+    dealt = dealt.select("row", "key", "tie", F.explode(places).alias("place"))
     dealt = dealt.repartition(F.col("place.range")).select("*", *(c.alias(n) for n, c in derived.items()))
-    value = lambda c: F.col(c if c in derived else f"row.`{c}`")
-    w = W.partitionBy("place.range").orderBy("place.guest", "key", *(value(c) for c in columns[:1]))
+    w = W.partitionBy("place.range").orderBy("place.guest", "key", "tie", value(columns[0]))
     led = dealt.select("row", F.col("place.guest").alias("guest"), *derived, *(F.lead(value(c)).over(w).alias(f"next_{c}") for c in columns)).where("guest = 0")
     own = [c for c in df.columns if c not in (*derived, *(f"next_{x}" for x in columns))]
     return led.select(*(F.col(f"row.`{c}`").alias(c) for c in own), *derived, *(f"next_{c}" for c in columns))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from riskweave.llm import fingerprints, near_dups, quality, sharding, toxicity
@@ -104,6 +105,23 @@ def test_fingerprints(spark, prose, tmp_path, monkeypatch):
     assert got[ids[10]]["fingerprint"] == "" and 0.1 < a["near_edited"] < 0.7
 
 
+@pytest.mark.parametrize("hot", [0, 40, 1000, None])
+def test_one_id_on_half_of_all_rows_is_split(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 5)
+    rows = [(7 * i % 101, f"text {i}") for i in range(60)] + [(hot, f"row {i % 70}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t, seed=42)) - (h >> 63 << 64)
+    place = lambda r: (fingerprints.LAST_ID if r[0] is None else r[0], signed(r[1]), r[1])
+    order = sorted(rows, key=place)
+    want = Counter((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order))
+    out = fingerprints.with_next(df, "doc_id", ["text"])
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in out.collect()) == want
+    keyed = df.selectExpr(f"coalesce(doc_id, {fingerprints.LAST_ID}) AS key", "xxhash64(text) AS tie")
+    starts, first = fingerprints.range_starts(keyed)
+    sizes = Counter(r[0] for r in keyed.select(fingerprints.starts_before(starts)).collect())
+    assert max(sizes.values()) < 25 and len(sizes) > 12 and first[0] == order[0][0]
+
+
 def test_syncmers_are_closed_and_context_free(spark):
     t = "".join(random.Random(5).choice("abcdef") for _ in range(200))
     df = spark.createDataFrame([(t,), ("zz" + t + "yyy",)], "text string")
