@@ -3,7 +3,8 @@
 A k-mer of characters is an anchor when the least hash among its inner s-mers is that of the first or the last one.
 Whether a k-mer is an anchor depends on nothing around it, so texts that share a passage share its anchors, and their
 positions line up. The text is laid out as four bytes a character, so that each s-mer is one slice. A text of fewer than
-k characters is its own single anchor; an empty one has none.
+k characters is its own single anchor; an empty one has none. For the same reason the anchors of two parts put together are
+those of either part and of the k - 1 characters on both sides of the seam: the edited text's are not sought anew.
 
 The fingerprint of a text holds the number of its distinct anchors and, of the least of them by hash (SKETCH at least, one
 in SPARSE of a long text, all of a short one), the hash and the first position. Likeness is positional: of the anchors of
@@ -15,7 +16,8 @@ anchors, else an estimate from them whose error falls with the texts' length.
 Neighbours in the order of doc_id come without a join or a global sort: rows are dealt into ranges whose starts are rows
 that occur, and the first row of each range is dealt to the range before it, too; the first of all follows the last of
 all. A doc_id (or null) that fills several ranges is split by the hashes of its texts. The number of ranges grows with the
-rows, up to MOST_RANGES; then the ranges grow.
+rows, up to MOST_RANGES; then the ranges grow. Ranges are sorted once: the next text, and then the next sketch, are looked up
+in rows that lie in order, so that neither anchors nor sketches are shuffled or sorted.
 
 Defined cases: a null text is empty; very long texts are read whole; a null doc_id comes last; rows of one doc_id, and
 all of null, are ordered by the hashes of their texts, so that repeated rows follow each other (and lie in one range); a
@@ -41,18 +43,25 @@ LAST_ID = (1 << 63) - 1
 ANY_TIE = -1 << 63
 
 
-def anchors_sql(text: str, k: int = K, s: int = S) -> str:
-    """anchors() as an SQL expression."""
+#: One anchor as a number: the upper half of its hash, then its position.
+UPPER, LOWER = "-4294967296L", "4294967295L"
+PACKED = f"(a.anchor & {UPPER}) | a.position"
+
+
+def anchors_sql(text: str, k: int = K, s: int = S, packed: bool = False) -> str:
+    """anchors() as an SQL expression; packed: an array of numbers as PACKED has them."""
     n = f"char_length({text})"
-    smers = f"transform(sequence(0, {n} - {s}), i -> xxhash64(substring(b, 4 * i + 1, {4 * s})))"
+    smers = f"transform(sequence(1, 4 * {n} - {4 * s - 1}, 4), i -> xxhash64(substring(b, i, {4 * s})))"
+    entry = lambda at, anchor: f"({anchor} & {UPPER}) | {at}" if packed else f"struct({at} AS position, {anchor} AS anchor)"
     if k > 2 * s:
         raise ValueError("k is at most 2 s")
     inside = range(1, k - s)
     least = lambda at: " AND ".join(f"g[i + {at}] <= g[i + {j}]" for j in (*inside, 0, k - s) if j != at)  # noqa: E731  # stops at the first that is less
-    edge = "g[i + 1] >= g[i] OR g[i + 1] >= g[i + 2]" if k - s == 2 else f"({least(0)}) OR ({least(k - s)})"
-    taken = f"transform(filter(sequence(0, {n} - {k}), i -> {edge}), i -> struct(i AS position, xxhash64(g[i], g[i + {k - s}]) AS anchor))"  # k <= 2 s: both edges together are the k-mer
+    edge = "g[i + 1] >= least(g[i], g[i + 2])" if k - s == 2 else f"({least(0)}) OR ({least(k - s)})"
+    taken = f"transform(filter(sequence(0, {n} - {k}), i -> {edge}), i -> {entry('i', f'xxhash64(g[i], g[i + {k - s}])')})"  # k <= 2 s: both edges together are the k-mer
     many = f"transform(array(encode({text}, 'UTF-32')), b -> transform(array({smers}), g -> {taken})[0])[0]"
-    one = f"array(struct(0 AS position, xxhash64(encode({text}, 'UTF-32')) AS anchor))"
+    whole = f"xxhash64(encode({text}, 'UTF-32'))"
+    one = f"array({entry('0', whole)})"
     none = f"filter({one}, x -> false)"
     return f"CASE WHEN {n} >= {k} THEN {many} WHEN {n} > 0 THEN {one} ELSE {none} END"
 
@@ -62,15 +71,38 @@ def anchors(text: str, k: int = K, s: int = S) -> Column:
     return F.expr(anchors_sql(text, k, s))
 
 
-#: One anchor of a fingerprint: the upper half of its hash, then its first position.
-PACKED = "(a.anchor & -4294967296L) | a.position"
+def joined_sql(first: str, found: str, rest: str, k: int = K, s: int = S) -> str:
+    """The packed anchors of concat(first, rest) as an SQL expression, from those of a text that begins with `first`."""
+    n, before = f"at + char_length({rest})", f"least(at, {k - 1})"
+    moved = lambda text, by: f"transform(array({by}), d -> transform({anchors_sql(text, k, s, packed=True)}, a -> a + d))[0]"
+    none = "filter(array(0L), a -> false)"
+    seam = f"concat(right({first}, {before}), left({rest}, {k - 1}))"  # the whole of a text of fewer than k characters
+    across = f"CASE WHEN {n} < {k} OR {before} + least(char_length({rest}), {k - 1}) >= {k} THEN {moved(seam, f'at - {before}')} ELSE {none} END"
+    after = f"CASE WHEN char_length({rest}) >= {k} THEN {moved(rest, 'at')} ELSE {none} END"
+    # lengths are bound, as a lambda would count them again for each anchor
+    return f"transform(array(char_length({first})), at -> concat(transform(array(at - {k}), e -> filter({found}, a -> (a & {LOWER}) <= e))[0], {across}, {after}))[0]"
+
+
+#: The first entry of each hash in a column of sorted packed anchors; the sketch of a column of such entries.
+DISTINCT = "filter({o}, (x, i) -> i = 0 OR shiftright(x, 32) <> shiftright({o}[i - 1], 32))"
+LEAST = "named_struct('n', size({d}), 'anchors', slice({d}, 1, greatest({size}, size({d}) div {sparse})))"
 
 
 def sketch(found: str, size: int = SKETCH, sparse: int = SPARSE) -> Column:
     """struct<n, anchors>: the number of distinct hashes in a column, or expression, of anchors, and the least of them with their first positions."""
     ordered = f"sort_array(transform({found}, a -> {PACKED}))"
-    distinct = f"transform(array({ordered}), o -> filter(o, (x, i) -> i = 0 OR shiftright(x, 32) <> shiftright(o[i - 1], 32)))[0]"
-    return F.expr(f"transform(array({distinct}), d -> named_struct('n', size(d), 'anchors', slice(d, 1, greatest({size}, size(d) div {sparse}))))[0]")
+    distinct = f"transform(array({ordered}), o -> {DISTINCT.format(o='o')})[0]"
+    return F.expr(f"transform(array({distinct}), d -> {LEAST.format(d='d', size=size, sparse=sparse)})[0]")
+
+
+def sketched(df: DataFrame, found: dict[str, str], size: int = SKETCH, sparse: int = SPARSE) -> DataFrame:
+    """df with columns of sketches in place of expressions of packed anchors.
+
+    Step by step, so that arrays are sorted outside of any lambda: there Spark sorts them as plain numbers.
+    """
+    df = df.withColumns({c: F.expr(f"sort_array({x})") for c, x in found.items()})
+    df = df.withColumns({c: F.expr(DISTINCT.format(o=c)) for c in found})
+    return df.withColumns({c: F.expr(LEAST.format(d=c, size=size, sparse=sparse)) for c in found})
 
 
 def fingerprint(sk: str) -> Column:
@@ -151,39 +183,48 @@ def range_starts(df: DataFrame) -> tuple[list[tuple[int, int]], tuple[int, int]]
     return starts, (low, min((tie for key, tie in starts if key == low), default=ANY_TIE))
 
 
-def with_next(df: DataFrame, order: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
-    """df with next_<column> of the row that follows in ascending order of a long column; the first follows the last.
+def in_ranges(df: DataFrame, order: str, by: str) -> DataFrame:
+    """(row, by, key, tie, range, guest): df's rows without `by`, that column, and where they lie in ascending order of a long column.
 
-    derived columns are expressions over row.<column of df>; they are made where the rows have arrived, so that they are
-    not shuffled, and may be among `columns`.
+    following() sees each row's successor; the first row follows the last. Rows with a guest over 0 are the successors of
+    their range's last row, and to be dropped then.
     """
-    derived = derived or {}
-    value = lambda c: F.col(c if c in derived else f"row.`{c}`")
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    tie = F.xxhash64(derived.get(columns[0], F.col(f"row.`{columns[0]}`")))
-    dealt = df.select(row.alias("row"), F.coalesce(F.col(order).cast("long"), F.lit(LAST_ID)).alias("key")).withColumn("tie", tie)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != by))
+    dealt = df.select(row.alias("row"), F.col(f"`{by}`").alias("by"), F.coalesce(F.col(f"`{order}`").cast("long"), F.lit(LAST_ID)).alias("key"))
+    dealt = dealt.withColumn("tie", F.xxhash64("by"))
     starts, (low, least) = range_starts(dealt)
     dealt = dealt.withColumn("range", starts_before(starts))
     opens = start_is(starts, F.col("range"), "key") & (start_is(starts, F.col("range"), "tie") | (start_at(starts, F.col("range"), "tie") == ANY_TIE))
     first = (F.col("key") == low) & ((F.lit(least) == ANY_TIE) | (F.col("tie") == least))
     place = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
     places = F.array_compact(F.array(place(F.col("range"), 0), F.when(opens, place(F.col("range") - 1, 1)), F.when(first, place(F.lit(len(starts)), 2))))
-    dealt = dealt.select("row", "key", "tie", F.explode(places).alias("place"))
-    dealt = dealt.repartition(F.col("place.range")).select("*", *(c.alias(n) for n, c in derived.items()))
-    w = W.partitionBy("place.range").orderBy("place.guest", "key", "tie", value(columns[0]))
-    led = dealt.select("row", F.col("place.guest").alias("guest"), *derived, *(F.lead(value(c)).over(w).alias(f"next_{c}") for c in columns)).where("guest = 0")
-    own = [c for c in df.columns if c not in (*derived, *(f"next_{x}" for x in columns))]
-    return led.select(*(F.col(f"row.`{c}`").alias(c) for c in own), *derived, *(f"next_{c}" for c in columns))
+    dealt = dealt.select("row", "by", "key", "tie", F.explode(places).alias("place")).select("row", "by", "key", "tie", "place.range", "place.guest")
+    return dealt.repartition(F.col("range"))
+
+
+def following(column: str | Column) -> Column:
+    """A column's value in the next row of in_ranges(). The window is by columns alone, so that a second one finds the rows sorted."""
+    return F.lead(column).over(W.partitionBy("range").orderBy("guest", "key", "tie", "by"))
+
+
+def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """df with next_<column> of the row that follows in ascending order of a long column; the first follows the last."""
+    value = lambda c: F.col("by" if c == columns[0] else f"row.`{c}`")
+    led = in_ranges(df, order, columns[0]).withColumns({f"next_{c}": following(value(c)) for c in columns}).where("guest = 0")
+    own = [c for c in df.columns if c not in [f"next_{x}" for x in columns]]
+    return led.select(*(value(c).alias(c) for c in own), *(f"`next_{c}`" for c in columns))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    pairs = with_next(docs, "doc_id", ["text", "sketch"], {"sketch": sketch(anchors_sql("row.text"))})
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
-    pairs = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", "edited", anchors("edited").alias("found")).withColumn("edited_sketch", sketch("found"))
-    return pairs.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"),
+    rows = in_ranges(docs, "doc_id", "text").withColumn("next", F.coalesce(following("by"), F.lit("")))
+    n = F.char_length("by")
+    half = F.shiftright(n, 1)  # a quotient counts as nullable, and arrays that may hold nulls are not sorted as plain numbers
+    rows = rows.withColumns({"n_chars": n.cast("long"), "kept": F.substr("by", F.lit(1), n - half), "taken": F.substr("next", F.lit(1), half)}).drop("next")
+    rows = rows.withColumns({"edited_sha256": F.sha2(F.concat("kept", "taken"), 256), "found": F.expr(anchors_sql("by", packed=True))})
+    rows = sketched(rows, {"sketch": "found", "edited_sketch": joined_sql("kept", "found", "taken")}).drop("found", "kept", "taken")
+    rows = rows.withColumn("next_sketch", following("sketch")).where("guest = 0")
+    return rows.select(
+        "row.doc_id", "n_chars", "edited_sha256", fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
     )

@@ -122,6 +122,26 @@ def test_one_id_on_half_of_all_rows_is_split(spark, monkeypatch, hot):
     assert max(sizes.values()) < 25 and len(sizes) > 12 and first[0] == order[0][0]
 
 
+def test_anchors_of_parts_are_those_of_the_whole(spark):
+    r = random.Random(5)
+    made = lambda n: "".join(r.choice("ab\u00e9\U0001f600") for _ in range(n))
+    rows = [(made(n), made(m)) for n in (*range(0, 16), 40) for m in (*range(0, 16), 24, 60)]
+    df = spark.createDataFrame([(a, b, a + made(i % 30), a + b) for i, (a, b) in enumerate(rows)], "first string, rest string, longer string, whole string")
+    df = df.withColumn("found", F.expr(fingerprints.anchors_sql("longer", packed=True)))
+    df = df.select(F.expr(fingerprints.joined_sql("first", "found", "rest")).alias("joined"), F.expr(fingerprints.anchors_sql("whole", packed=True)).alias("packed"), fingerprints.anchors("whole").alias("anchors"))
+    # arrays that may hold nulls would be sorted as objects
+    assert not df.select(F.expr(fingerprints.anchors_sql("'text'", packed=True)).alias("x")).schema["x"].dataType.containsNull
+    for row in df.collect():
+        assert row["joined"] == row["packed"] == [a["anchor"] >> 32 << 32 | a["position"] for a in row["anchors"]]
+
+
+def test_edited_texts_are_not_hashed_anew(spark, tmp_path):
+    docs_of(spark, ["some text", "another one"]).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = fingerprints.op4_fingerprints(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "sort_array(found#" in line]
+    assert len(made) == 1 and "AS edited_sketch" in made[0] and "xxhash64(substring(" in made[0]
+
+
 def test_syncmers_are_closed_and_context_free(spark):
     t = "".join(random.Random(5).choice("abcdef") for _ in range(200))
     df = spark.createDataFrame([(t,), ("zz" + t + "yyy",)], "text string")
